@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import browse, scalar, search
 
-MODULES = (search,)
+MODULES = (search, browse, scalar)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,16 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bytes to floats; a length that is no multiple of four gives NULL."""
     for blob in blobs:
         yield blob.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for vector in vectors:
         yield vector.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
