@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, scalar, search
+from . import browse, ingest, scalar, search
 
-MODULES = (search, browse, scalar)
+MODULES = (search, browse, scalar, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,7 +53,7 @@ def title_from_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_only_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls bare, padded and followed by a word, and document titles."""
     url = F.col("url")
-    titles = F.array(url, F.concat(F.lit(" \t"), url, F.lit(" \n")), F.concat(url, F.lit(" x")), F.upper(url), F.lit(" "))
+    titles = F.array(url, F.concat(F.lit(" \t"), url, F.lit("\u00a0\n")), F.concat(url, F.lit(" x")), F.upper(url), F.lit(" "))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.posexplode(titles).alias("form", "title"))
     docs = bookmarks(spark, sf_dir).select(F.length("url").cast("bigint").alias("key"), F.lit(9).alias("form"), "title")
     return pages.union(docs).select("key", "form", "title", text.is_url_only_title(F.col("title")).alias("url_only"))
@@ -131,7 +131,7 @@ def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     response = (
         F.when(F.col("turn") % 3 == 0, F.concat(F.lit("ok\n  SUMMARY:  "), flat, F.lit(" \nmore\nKEYWORDS: a, "), "role"))
         .when(F.col("turn") % 3 == 1, F.concat(F.lit("SUMMARY: first\nSUMMARY: "), flat, F.lit("\nKEYWORDS:x\n\tKEYWORDS:")))
-        .otherwise(F.concat(F.lit("summary: no\n"), F.col("text"), F.lit("\nKEYWORDS: "), "role"))
+        .otherwise(F.concat(F.lit("summary: no\n"), F.col("text"), F.lit("\nKEYWORDS:\u00a0"), "role"))
     )
     parsed = prompts.parse_response(response)
     return rows.select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", "p.summary", "p.keywords")
