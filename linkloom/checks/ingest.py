@@ -90,8 +90,7 @@ def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalized(spec: feeds.FeedSpec, pages: DataFrame) -> DataFrame:
-    items = feeds.page_items(spec, feeds.decode_pages(spec, pages))
-    return feeds.normalize(spec, items, BATCH_TIME)
+    return feeds.reachable(feeds.landed_rows(spec, pages, BATCH_TIME))
 
 
 def feed_normalize_x(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +111,8 @@ def feed_normalize_github(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All feeds merged into an empty catalog: two of them carry the same urls."""
     pages = all_pages(spark, sf_dir)
-    rows = feeds.union_feeds([_normalized(spec, pages) for spec in feeds.select_feeds(feeds.FEEDS)])
-    batch = catalog.collapse_batch(rows, feeds.BATCH_ORDER)
+    landed = feeds.landed_feeds(feeds.select_feeds(feeds.FEEDS), pages, BATCH_TIME)
+    batch = catalog.collapse_batch(feeds.reachable(landed), feeds.BATCH_ORDER)
     return _slim(catalog.new_rows(_empty(spark), batch, BATCH_TIME))
 
 

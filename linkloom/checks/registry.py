@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, ingest, scalar, search
+from . import browse, enriching, ingest, scalar, search
 
-MODULES = (search, browse, scalar, ingest)
+MODULES = (search, browse, scalar, ingest, enriching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

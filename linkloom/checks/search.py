@@ -78,7 +78,9 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = marked.filter(F.coalesce("toxic", F.lit(0)) == 0).select(
         *[F.when(F.col("toxic").isNotNull(), "").otherwise(F.col(c)).alias(c) if c == "summary" else c for c in rows.columns]
     )
-    updated = index_plan.updated_postings(index_plan.index_rows(rows), labels, after)
+    base = index_plan.index_rows(rows)
+    recent = index_plan.recent_postings(base.limit(0), labels, after)
+    updated = index_plan.live_postings(base, recent, labels)
     return updated.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 

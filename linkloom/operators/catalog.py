@@ -107,6 +107,12 @@ def repeated_urls(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return stored.union(batch.filter(F.col("batch_rows") > 1).select("url")).distinct()
 
 
+def batch_ids(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Ids of the rows a collapsed batch touches: the stored id where the url is known."""
+    stored = existing.select("url", F.col("id").alias("_stored"))
+    return batch.select("id", "url").join(stored, "url", "left").select(F.coalesce("_stored", "id").alias("id"))
+
+
 def orphans(existing: DataFrame, current: DataFrame, source: str) -> DataFrame:
     """Stored rows of ``source``, hidden ones included, whose url the feed no longer has."""
     mine = existing.filter(F.col("source") == source)

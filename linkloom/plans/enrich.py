@@ -18,6 +18,7 @@ from ..operators import catalog, listing
 from ..schema import BOOKMARK_COLUMNS, FAILED, PENDING, SUCCESS
 from ..session import stage, timestamp
 from ..sources.tables import TableStore
+from . import index as index_plan
 
 QUEUE, REPROCESS, MANUAL = "queue", "reprocess", "manual"
 
@@ -193,6 +194,10 @@ def save_enriched(store: TableStore, done: DataFrame, batch_id: str) -> int:
     if vector_buckets:
         changes["vectors"] = catalog.put_vectors(store.read("vectors", vector_buckets), made)
         touched["vectors"] = vector_buckets
+    if index_plan.is_current(store):
+        index_changes, index_touched = index_plan.changes_for(store, done.select("id"), bookmarks)
+        changes |= index_changes
+        touched |= index_touched
     return store.commit(batch_id, changes, touched)
 
 
@@ -241,9 +246,16 @@ def add_manual(store: TableStore, urls: Iterable[str], batch_time: str, batch_id
     rejected = stage(catalog.already_stored(stored, wanted), "rejected")
     rows = catalog.manual_rows(stored, wanted, batch_time)
     done = stage(enrich_rows(rows, batch_time, mode=MANUAL, **models_and_pages), "manual")
-    changes = {"bookmarks": stored.unionByName(done.select(*stored.columns))}
+    bookmarks = stored.unionByName(done.select(*stored.columns))
+    changes, touched = {"bookmarks": bookmarks}, {"bookmarks": buckets}
     made = done.filter(F.col("embedding").isNotNull()).select("id", "embedding", "embedded_text_hash")
     vector_buckets = store.touched("vectors", made)
-    changes["vectors"] = catalog.put_vectors(store.read("vectors", vector_buckets), made)
-    store.commit(batch_id, changes, {"bookmarks": buckets, "vectors": vector_buckets})
+    if vector_buckets:
+        changes["vectors"] = catalog.put_vectors(store.read("vectors", vector_buckets), made)
+        touched["vectors"] = vector_buckets
+    if index_plan.is_current(store):
+        index_changes, index_touched = index_plan.changes_for(store, done.select("id"), bookmarks)
+        changes |= index_changes
+        touched |= index_touched
+    store.commit(batch_id, changes, touched)
     return rejected

@@ -1,4 +1,9 @@
-"""Building and maintaining the stored full-text index."""
+"""Building and maintaining the stored full-text index.
+
+``postings`` is one large table sorted by term. A change of some bookmarks does not rewrite it:
+their ids go to ``stale_ids``, which hides their old postings, and their new postings go to
+``postings_recent``, bucketed by id. Building the index again folds both back in.
+"""
 
 from __future__ import annotations
 
@@ -31,6 +36,8 @@ def build_index(store: TableStore, batch_id: str) -> int:
     version = store.spark.createDataFrame([(INDEX_VERSION_KEY, INDEX_VERSION)], "key string, value string")
     changes = {
         "postings": index_rows(bookmarks),
+        "postings_recent": store.empty("postings_recent"),
+        "stale_ids": store.empty("stale_ids"),
         "doc_lengths": fulltext.doc_lengths(bookmarks),
         "sync_state": catalog.put_state(store.read("sync_state"), version),
     }
@@ -43,25 +50,42 @@ def ensure_index(store: TableStore, batch_id: str) -> None:
         build_index(store, batch_id)
 
 
-def updated_postings(postings: DataFrame, changed_ids: DataFrame, bookmarks: DataFrame) -> DataFrame:
-    """Postings after the bookmarks of ``changed_ids`` were inserted, changed or deleted."""
+def live_postings(base: DataFrame, recent: DataFrame, stale_ids: DataFrame) -> DataFrame:
+    return catalog.delete_ids(base, stale_ids).unionByName(recent)
+
+
+def recent_postings(recent: DataFrame, changed_ids: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """Recent postings after the bookmarks of ``changed_ids`` were inserted, changed or deleted.
+
+    ``bookmarks`` holds the next state of at least these rows; ids it lacks leave the index.
+    """
     now = bookmarks.join(changed_ids.select("id").distinct(), "id", "left_semi").select(*BOOKMARK_COLUMNS)
-    return catalog.delete_ids(postings, changed_ids).unionByName(index_rows(now).select(*postings.columns))
+    return catalog.delete_ids(recent, changed_ids).unionByName(index_rows(now).select(*recent.columns))
 
 
-def update_index(store: TableStore, changed_ids: DataFrame, batch_id: str) -> int:
-    """Bring the index up to date for some bookmarks only."""
-    bookmarks = store.read("bookmarks")
-    now = bookmarks.join(changed_ids.select("id").distinct(), "id", "left_semi")
-    buckets = store.touched("doc_lengths", changed_ids)
-    lengths = catalog.delete_ids(store.read("doc_lengths", buckets), changed_ids)
+def changes_for(
+    store: TableStore, changed_ids: DataFrame, bookmarks: DataFrame
+) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:
+    """Table changes and touched buckets that bring the index up to date for ``changed_ids``."""
+    ids = changed_ids.select("id").distinct()
+    now = bookmarks.join(ids, "id", "left_semi")
+    buckets = store.touched("doc_lengths", ids)
+    lengths = catalog.delete_ids(store.read("doc_lengths", buckets), ids)
     changes = {
-        "postings": updated_postings(store.read("postings"), changed_ids, bookmarks),
+        "postings_recent": recent_postings(store.read("postings_recent", buckets), ids, bookmarks),
+        "stale_ids": store.read("stale_ids", buckets).union(ids).distinct(),
         "doc_lengths": lengths.unionByName(fulltext.doc_lengths(now)),
     }
-    return store.commit(batch_id, changes, {"doc_lengths": buckets})
+    return changes, dict.fromkeys(changes, buckets)
+
+
+def update_index(store: TableStore, changed_ids: DataFrame, batch_id: str) -> int:
+    """Bring the index up to date for some stored bookmarks."""
+    changes, touched = changes_for(store, changed_ids, store.read("bookmarks"))
+    return store.commit(batch_id, changes, touched)
 
 
 def open_index(store: TableStore) -> tuple[DataFrame, DataFrame]:
     """``(postings, corpus_stats)`` as the search jobs take them."""
-    return store.read("postings"), fulltext.corpus_stats(store.read("doc_lengths"))
+    live = live_postings(store.read("postings"), store.read("postings_recent"), store.read("stale_ids"))
+    return live, fulltext.corpus_stats(store.read("doc_lengths"))

@@ -16,18 +16,18 @@ from ..sources import feeds as feed_source
 from ..sources.feeds import BATCH_ORDER, FeedSpec
 from ..sources.tables import TableStore
 from . import enrich as enrich_plan
+from . import index as index_plan
 
 
 @dataclass
-class FeedFetch:
-    """What one feed contributes. ``rows`` are normalized, ``newest`` is its next mark or NULL."""
+class Fetch:
+    """What the landed pages contribute: new items, next marks, and which feeds were damaged."""
 
-    spec: FeedSpec
     rows: DataFrame
     newest: DataFrame
     quarantine: DataFrame
-    failed: bool
-    has_bad_pages: bool
+    failed: list[str]
+    damaged: list[str]
 
 
 @dataclass
@@ -41,33 +41,45 @@ class SyncResult:
     tally: DataFrame | None = None
 
 
-def new_items(spec: FeedSpec, items: DataFrame, marks: DataFrame, batch_time: str) -> tuple[DataFrame, DataFrame]:
-    """Items after the mark by the rule of the feed, and the newest time visited."""
-    if spec.rule == feed_source.TAKE_WHILE:
-        return (
-            incremental.take_while_newer(items, marks, batch_time),
-            incremental.take_while_marks(items, marks, batch_time),
-        )
-    return incremental.filter_in_page(items, marks), incremental.filter_in_page_marks(items, marks)
-
-
-def fetch_feed(spec: FeedSpec, pages: DataFrame, marks: DataFrame, batch_time: str) -> FeedFetch:
-    """Decode the pages of one feed once, then cut them to what a fetch would take."""
-    decoded = stage(feed_source.decode_pages(spec, pages), f"pages-{spec.name}")
-    mine = marks.filter(F.col("feed") == spec.name)
-    items = feed_source.page_items(spec, decoded)
-    taken, newest = new_items(spec, items, mine, batch_time)
-    reach = feed_source.page_reach(spec, decoded).first()
-    bad = reach is not None and reach.bad_page is not None
-    hit = bad and (reach.last_page is None or reach.bad_page < reach.last_page)
-    if hit and spec.rule == feed_source.IN_PAGE:
-        last = incremental.last_visited_pages(items, mine).first()
-        hit = last is None or last.last_page is None or last.last_page > reach.bad_page
-    failed = bool(hit and (spec.fail_whole or reach.bad_page == reach.first_page))
-    if failed:
-        taken, newest = taken.limit(0), newest.limit(0)
-    rows = feed_source.normalize(spec, taken, batch_time)
-    return FeedFetch(spec, rows, newest, feed_source.quarantine(decoded), failed, bad)
+def _of_rule(specs: list[FeedSpec], rule: str):
+    return F.col("feed").isin([s.name for s in specs if s.rule == rule])
+
+
+def fetch(specs: list[FeedSpec], pages: DataFrame, marks: DataFrame, batch_time: str) -> Fetch:
+    """Decode all pages once, then cut each feed to what a fetch after its mark would take.
+
+    Only rows with one entry per registered feed reach the driver.
+    """
+    landed = stage(feed_source.landed_feeds(specs, pages, batch_time), "landed")
+    read = feed_source.reachable(landed)
+    in_page = read.filter(_of_rule(specs, feed_source.IN_PAGE))
+    take = read.filter(_of_rule(specs, feed_source.TAKE_WHILE))
+    reach = {r.feed: r for r in feed_source.page_reach(landed).collect()}
+    damaged = [s.name for s in specs if s.name in reach and reach[s.name].bad_page is not None]
+    failed = _failed(specs, reach, damaged, in_page, marks)
+    rows = incremental.take_while_newer(take, marks, batch_time, few_feeds=True).unionByName(
+        incremental.filter_in_page(in_page, marks, few_feeds=True)
+    )
+    newest = incremental.take_while_marks(take, marks, batch_time, few_feeds=True).unionByName(
+        incremental.filter_in_page_marks(in_page, marks, few_feeds=True)
+    )
+    healthy = ~F.col("feed").isin(failed)
+    return Fetch(rows.filter(healthy), newest.filter(healthy), feed_source.quarantine(landed), failed, damaged)
+
+
+def _failed(specs, reach, damaged, in_page, marks) -> list[str]:
+    """Feeds that met an unreadable page and give up: on their first page, or on any if ``fail_whole``."""
+    failed = []
+    for spec in (s for s in specs if s.name in damaged):
+        r = reach[spec.name]
+        met = r.last_page is None or r.bad_page < r.last_page
+        if met and spec.rule == feed_source.IN_PAGE:
+            # An earlier page without anything new would have ended the fetch before the bad one.
+            stop = incremental.last_visited_pages(in_page, marks, few_feeds=True).filter(F.col("feed") == spec.name).first()
+            met = stop is None or stop.last_page is None
+        if met and (spec.fail_whole or r.bad_page == r.first_page):
+            failed.append(spec.name)
+    return failed
 
 
 def sync(
@@ -88,72 +100,69 @@ def sync(
     A batch id that was committed before is skipped, so a repeated run changes nothing. Rows,
     deletions and marks become visible in one commit; enrichment is a second one. With ``force``
     marks are ignored and rows a feed no longer has are removed, except for feeds with unreadable
-    pages, whose list would be incomplete.
+    pages, whose list would be incomplete. A stored index follows the changed rows.
     """
     if store.has_batch(batch_id):
         return SyncResult(skipped=True)
     specs = feed_source.select_feeds(enabled, requested)
     state = store.read("sync_state")
     marks = incremental.marks_from_state(state, [s.name for s in specs], force)
-    fetched = [fetch_feed(spec, pages, marks, batch_time) for spec in specs]
-    good = [f for f in fetched if not f.failed]
+    fetched = fetch(specs, pages, marks, batch_time)
+    good = [s for s in specs if s.name not in fetched.failed]
+    keep_orphans = [s.name for s in good if s.name in fetched.damaged]
+    batch = stage(catalog.collapse_batch(fetched.rows, BATCH_ORDER, blank_is_null), "batch")
+    buckets = None if force else store.touched("bookmarks", batch)
+    existing = store.read("bookmarks", buckets)
+    counts = catalog.upsert_stats(existing, fetched.rows, BATCH_ORDER).collect()
     result = SyncResult(
-        failed_feeds=[f.spec.name for f in fetched if f.failed],
-        kept_orphans=[f.spec.name for f in good if force and f.has_bad_pages],
+        stats=store.spark.createDataFrame(counts, "source string, new_items bigint, skipped_items bigint"),
+        quarantine=fetched.quarantine,
+        failed_feeds=fetched.failed,
+        kept_orphans=keep_orphans if force else [],
+        new_items=sum(r.new_items for r in counts),
     )
-    for f in fetched:
-        result.quarantine = f.quarantine if result.quarantine is None else result.quarantine.unionByName(f.quarantine)
-    changes: dict[str, DataFrame] = {}
-    touched: dict[str, list[int]] = {}
-    newest = None
-    if good:
-        rows = stage(feed_source.union_feeds([f.rows for f in good]), "feed-rows")
-        buckets = None if force else store.touched("bookmarks", rows)
-        existing = store.read("bookmarks", buckets)
-        result.stats = stage(catalog.upsert_stats(existing, rows, BATCH_ORDER), "stats")
-        result.new_items = result.stats.agg(F.coalesce(F.sum("new_items"), F.lit(0))).first()[0]
-        merged, deleted = _merge(existing, rows, good, batch_time, force, reprocess, blank_is_null)
-        changes["bookmarks"] = merged
-        if deleted is not None:
-            changes["vectors"] = catalog.delete_ids(store.read("vectors"), deleted)
-        if buckets is not None:
-            touched["bookmarks"] = buckets
-        for f in good:
-            newest = f.newest if newest is None else newest.unionByName(f.newest)
-    moved = [] if newest is None else [incremental.marks_to_state(incremental.advance_marks(marks, newest))]
-    stamp = _refresh_stamp(store, batch_time)
-    for rows in [*moved, stamp]:
-        state = catalog.put_state(state, rows)
-    changes["sync_state"] = state
+    if force or reprocess:
+        swept = [s.name for s in good if s.name not in keep_orphans] if force else []
+        merged = _merge_in_turn(existing, fetched.rows, good, batch_time, swept, reprocess, blank_is_null)
+    else:
+        merged = catalog.upsert(existing, batch, batch_time, blank_is_null).select(*BOOKMARK_COLUMNS)
+    changes = {"bookmarks": merged}
+    touched = {} if buckets is None else {"bookmarks": buckets}
+    gone = None
+    if force:
+        gone = existing.select("id").join(merged.select("id"), "id", "left_anti")
+        changes["vectors"] = catalog.delete_ids(store.read("vectors"), gone)
+    moved = incremental.marks_to_state(incremental.advance_marks(marks, fetched.newest))
+    changes["sync_state"] = catalog.put_state(state, moved.unionByName(_refresh_stamp(store, batch_time)))
+    indexed = index_plan.is_current(store)
+    if indexed:
+        ids = catalog.batch_ids(existing, batch)
+        changed = ids if gone is None else ids.unionByName(gone)
+        index_changes, index_touched = index_plan.changes_for(store, stage(changed, "changed"), merged)
+        changes |= index_changes
+        touched |= index_touched
     store.commit(batch_id, changes, touched)
     if enrichment is not None and (result.new_items > 0 or reprocess):
         result.tally = enrich_plan.enrich(store, batch_time, f"{batch_id}:enrich", enrich_limit, **enrichment)
     return result
 
 
-def _merge(existing, rows, fetched, batch_time, force, reprocess, blank_is_null):
-    """Next bookmark rows and, on force, the ids that were removed.
+def _merge_in_turn(existing, rows, specs, batch_time, swept, reprocess, blank_is_null) -> DataFrame:
+    """Merge one feed after the other, as deletions and resets of a feed are seen by the next.
 
-    Without force and reprocess one merge of all feeds equals merging them in turn. Otherwise a
-    feed must see the deletions and resets of the feeds before it, so they take turns.
+    Without either, one merge of all feeds gives the same rows.
     """
-    if not force and not reprocess:
-        batch = catalog.collapse_batch(rows, BATCH_ORDER, blank_is_null)
-        return catalog.upsert(existing, batch, batch_time, blank_is_null).select(*BOOKMARK_COLUMNS), None
     current = existing
-    for f in fetched:
-        mine = rows.filter(F.col("source") == f.spec.name)
+    for spec in specs:
+        mine = rows.filter(F.col("source") == spec.name)
         batch = stage(catalog.collapse_batch(mine, BATCH_ORDER, blank_is_null), "batch")
-        repeated = catalog.repeated_urls(current, batch)
         following = catalog.upsert(current, batch, batch_time, blank_is_null).select(*BOOKMARK_COLUMNS)
         if reprocess:
-            following = catalog.mark_for_reprocess(following, repeated, "url")
-        if force and not f.has_bad_pages:
-            following = catalog.delete_ids(following, catalog.orphans(following, batch, f.spec.name))
+            following = catalog.mark_for_reprocess(following, catalog.repeated_urls(current, batch), "url")
+        if spec.name in swept:
+            following = catalog.delete_ids(following, catalog.orphans(following, batch, spec.name))
         current = stage(following.select(*BOOKMARK_COLUMNS), "merged")
-    if not force:
-        return current, None
-    return current, existing.select("id").join(current.select("id"), "id", "left_anti")
+    return current
 
 
 def _refresh_stamp(store: TableStore, batch_time: str) -> DataFrame:
@@ -167,11 +176,23 @@ def refresh_due(store: TableStore, now: str) -> bool:
 
 
 def remove(store: TableStore, ids: DataFrame, batch_id: str) -> int:
-    """Delete bookmarks with their vectors and postings in one commit."""
-    changes = {name: catalog.delete_ids(store.read(name), ids) for name in ("bookmarks", "vectors", "postings", "doc_lengths")}
-    return store.commit(batch_id, changes)
+    """Delete bookmarks with their vectors and index entries in one commit."""
+    bookmarks = catalog.delete_ids(store.read("bookmarks"), ids)
+    buckets = store.touched("vectors", ids)
+    changes = {"bookmarks": bookmarks, "vectors": catalog.delete_ids(store.read("vectors", buckets), ids)}
+    touched = {"vectors": buckets}
+    if index_plan.is_current(store):
+        index_changes, index_touched = index_plan.changes_for(store, ids, bookmarks)
+        changes |= index_changes
+        touched |= index_touched
+    return store.commit(batch_id, changes, touched)
 
 
 def edit(store: TableStore, edits: DataFrame, batch_time: str, batch_id: str) -> int:
-    """Apply user edits of ``(id, title, summary, keywords, notes)``."""
-    return store.commit(batch_id, {"bookmarks": catalog.apply_edits(store.read("bookmarks"), edits, batch_time)})
+    """Apply user edits of ``(id, title, summary, keywords, notes)``; a stored index follows."""
+    bookmarks = catalog.apply_edits(store.read("bookmarks"), edits, batch_time)
+    changes, touched = {"bookmarks": bookmarks}, {}
+    if index_plan.is_current(store):
+        index_changes, touched = index_plan.changes_for(store, edits, bookmarks)
+        changes |= index_changes
+    return store.commit(batch_id, changes, touched)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..functions.times import parse_rfc3339, parse_x_time
+from ..operators.skew import computed_once
 from ..schema import BOOKMARK_COLUMNS, PENDING
 from ..session import timestamp
 
@@ -145,16 +146,17 @@ def decode_pages(spec: FeedSpec, pages: DataFrame) -> DataFrame:
     Whether a page is an array or an object is decided on its first character, because reading
     an object with an array schema yields an array of blanks instead of an error.
     """
-    body = F.trim(F.regexp_replace(F.coalesce(F.col("body"), F.lit("")), r"^\s++|(?<!\s)\s++\z", ""))
-    page = pages.filter(F.col("feed") == spec.name).select("feed", "page_no", body.alias("body"))
+    body = F.regexp_replace(F.coalesce(F.col("body"), F.lit("")), r"^\s++|(?<!\s)\s++\z", "")
+    page = computed_once(pages.filter(F.col("feed") == spec.name), ["feed", "page_no"], {"body": body})
     items = f"array<{spec.item_schema}>"
     is_array = F.col("body").startswith("[") & F.col("body").endswith("]")
     joined = join_arrays(F.col("body"))
     bare = F.from_json(joined if spec.joined_arrays else F.col("body"), items)
-    page = page.withColumn("bare", F.when(is_array, bare))
+    parsed = {"bare": F.when(is_array, bare)}
     array_ok = F.col("bare").isNotNull()
     if not spec.joined_arrays:
-        array_ok = array_ok & ~F.col("body").rlike(_SEAM)
+        parsed["seam"] = is_array & F.col("body").rlike(_SEAM)
+        array_ok = array_ok & ~F.col("seam")
     ok = (is_array & array_ok) | (F.col("body") == "null")
     found, cursor = F.col("bare"), F.lit("")
     if spec.list_field:
@@ -162,57 +164,38 @@ def decode_pages(spec: FeedSpec, pages: DataFrame) -> DataFrame:
         schema = f"struct<{spec.list_field}: {items}{cursor_field}, _bad: string>"
         is_object = F.col("body").startswith("{") & F.col("body").endswith("}")
         whole = F.from_json("body", schema, {"columnNameOfCorruptRecord": "_bad"})
-        page = page.withColumn("whole", F.when(is_object, whole))
+        parsed["whole"] = F.when(is_object, whole)
         ok = ok | (is_object & F.col("whole").isNotNull() & F.col("whole._bad").isNull())
         found = F.coalesce(found, F.col(f"whole.{spec.list_field}"))
         if spec.cursor_field:
             cursor = _text(F.col(f"whole.{spec.cursor_field}"))
-    return page.select(
-        "feed",
-        "page_no",
-        F.when(ok, F.coalesce(found, F.array().cast(items))).otherwise(F.array().cast(items)).alias("items"),
-        cursor.alias("cursor"),
-        (~ok).alias("bad"),
-        F.when(~ok, F.col("body")).alias("body"),
+    return computed_once(
+        computed_once(page, ["feed", "page_no", "body"], parsed),
+        ["feed", "page_no"],
+        {
+            "items": F.when(ok, F.coalesce(found, F.array().cast(items))).otherwise(F.array().cast(items)),
+            "cursor": cursor,
+            "bad": ~ok,
+            "body": F.when(~ok, F.col("body")),
+        },
     )
 
 
-def quarantine(decoded: DataFrame) -> DataFrame:
-    """Pages that could not be read."""
-    return decoded.filter("bad").select("feed", "page_no", "body")
-
+def landed_rows(spec: FeedSpec, pages: DataFrame, batch_time: str | Column) -> DataFrame:
+    """The items of one feed as pending bookmark rows, with all a later stage needs of their page.
 
-def page_reach(spec: FeedSpec, decoded: DataFrame) -> DataFrame:
-    """Per feed: ``last_page``, the last page a fetch would read, and ``bad_page``, the first unreadable one."""
-    size = F.size("items")
-    ends = size == 0
+    Page columns are ``feed, page_no, bad, ends`` (the page is the last one a fetch would read) and
+    ``body`` (unreadable pages only); ``pos, ts`` place the item. A page without items keeps one
+    row with a NULL ``pos``.
+    """
+    decoded = decode_pages(spec, pages)
+    ends = F.size("items") == 0
     if spec.page_size:
-        ends = ends | (size < spec.page_size)
+        ends = ends | (F.size("items") < spec.page_size)
     if spec.cursor_field:
         ends = ends | (F.col("cursor") == "")
-    return decoded.groupBy("feed").agg(
-        F.min(F.when(~F.col("bad") & ends, F.col("page_no"))).alias("last_page"),
-        F.min(F.when(F.col("bad"), F.col("page_no"))).alias("bad_page"),
-        F.min("page_no").alias("first_page"),
-    )
-
-
-def page_items(spec: FeedSpec, decoded: DataFrame) -> DataFrame:
-    """``(feed, page_no, pos, ts, item)`` of the pages a fetch reads before its end or first bad page.
-
-    ``page_reach`` of one feed is a single row, so it is used as a scalar.
-    """
-    reach = page_reach(spec, decoded).agg(F.struct(F.max("last_page").alias("last"), F.max("bad_page").alias("bad")))
-    read = decoded.withColumn("reach", reach.scalar()).filter(
-        (F.col("reach.last").isNull() | (F.col("page_no") <= F.col("reach.last")))
-        & (F.col("reach.bad").isNull() | (F.col("page_no") < F.col("reach.bad")))
-    )
-    items = read.select("feed", "page_no", F.posexplode("items").alias("pos", "item"))
-    return items.withColumn("ts", spec.item_time(F.col("item")))
-
-
-def normalize(spec: FeedSpec, items: DataFrame, batch_time: str | Column) -> DataFrame:
-    """Items as pending bookmark rows; ``page_no, pos`` stay for the order within the batch."""
+    items = decoded.select("feed", "page_no", "bad", (~F.col("bad") & ends).alias("ends"), "body", F.posexplode_outer("items"))
+    items = items.withColumnRenamed("col", "item").withColumn("ts", spec.item_time(F.col("item")))
     given = spec.fields(F.col("item"))
     values = {
         "id": F.lit(""),
@@ -225,13 +208,43 @@ def normalize(spec: FeedSpec, items: DataFrame, batch_time: str | Column) -> Dat
         "scrape_status": F.lit(PENDING),
         "hidden": F.lit(False),
     }
-    return items.select(*[values[c].alias(c) for c in BOOKMARK_COLUMNS], "page_no", "pos")
+    return items.select(*PAGE_COLUMNS, *[values[c].alias(c) for c in BOOKMARK_COLUMNS])
 
 
-BATCH_ORDER = ["source_order", "page_no", "pos"]
+PAGE_COLUMNS = ("feed", "page_no", "bad", "ends", "body", "pos", "ts")
+
 
+def landed_feeds(specs: list[FeedSpec], pages: DataFrame, batch_time: str | Column) -> DataFrame:
+    """``landed_rows`` of several feeds; ``source_order`` is the place of the feed in the merge."""
+    parts = [landed_rows(spec, pages, batch_time).withColumn("source_order", F.lit(i)) for i, spec in enumerate(specs)]
+    return reduce(DataFrame.unionByName, parts)
 
-def union_feeds(parts: list[DataFrame]) -> DataFrame:
-    """Normalized rows of several feeds; ``source_order`` is the place of the feed in the merge."""
-    numbered = [rows.withColumn("source_order", F.lit(i)) for i, rows in enumerate(parts)]
-    return reduce(DataFrame.unionByName, numbered)
+
+def quarantine(landed: DataFrame) -> DataFrame:
+    """Pages that could not be read."""
+    return landed.filter("bad").select("feed", "page_no", "body")
+
+
+def page_reach(landed: DataFrame) -> DataFrame:
+    """Per feed: ``last_page``, the last page a fetch would read, ``bad_page``, the first unreadable one, ``first_page``."""
+    return landed.groupBy("feed").agg(
+        F.min(F.when(F.col("ends"), F.col("page_no"))).alias("last_page"),
+        F.min(F.when(F.col("bad"), F.col("page_no"))).alias("bad_page"),
+        F.min("page_no").alias("first_page"),
+    )
+
+
+def reachable(landed: DataFrame) -> DataFrame:
+    """The items a fetch reads: up to the last page of their feed and before its first bad page.
+
+    One row per registered feed is broadcast.
+    """
+    reach = page_reach(landed).select("feed", "last_page", "bad_page")
+    read = landed.filter(F.col("pos").isNotNull()).join(F.broadcast(reach), "feed")
+    return read.filter(
+        (F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page")))
+        & (F.col("bad_page").isNull() | (F.col("page_no") < F.col("bad_page")))
+    ).drop("last_page", "bad_page", "bad", "ends", "body")
+
+
+BATCH_ORDER = ["source_order", "page_no", "pos"]

@@ -41,6 +41,7 @@ POSTING_SCHEMA = T.StructType(
         T.StructField("lead", T.StringType()),
     ]
 )
+ID_SCHEMA = T.StructType([T.StructField("id", T.StringType())])
 LENGTH_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("length", T.IntegerType())])
 
 DEFAULT_BUCKETS = 64
@@ -53,6 +54,8 @@ def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
         "vectors": TableSpec(VECTOR_SCHEMA, "id", buckets, (), ("id",)),
         "sync_state": TableSpec(SYNC_STATE_SCHEMA, "key", 1),
         "postings": TableSpec(POSTING_SCHEMA, "term", 1, ("lead",), ("lead", "term", "id"), ranged=True),
+        "postings_recent": TableSpec(POSTING_SCHEMA, "id", buckets, (), ("term",)),
+        "stale_ids": TableSpec(ID_SCHEMA, "id", buckets),
         "doc_lengths": TableSpec(LENGTH_SCHEMA, "id", buckets),
     }
 
@@ -89,6 +92,9 @@ class TableStore:
         log = self._log()
         return log is not None and bool(log.filter(F.col("batch_id") == batch_id).take(1))
 
+    def empty(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], self.tables[name].schema)
+
     def bucket_of(self, name: str, key: Column | None = None) -> Column:
         spec = self.tables[name]
         key = F.col(spec.key) if key is None else key
@@ -106,7 +112,7 @@ class TableStore:
         base = f"{self.root}/{name}"
         paths = [f"{base}/v={v}/bucket={b}" for b, v in sorted(layout.items()) if wanted is None or b in wanted]
         if not paths:
-            return self.spark.createDataFrame([], spec.schema)
+            return self.empty(name)
         rows = self.spark.read.schema(spec.schema).option("basePath", base).parquet(*paths)
         return rows.select(*spec.schema.fieldNames())
 
