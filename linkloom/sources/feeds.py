@@ -23,8 +23,11 @@ X_TITLE_BYTES = 100
 TAKE_WHILE = "take_while"
 IN_PAGE = "in_page"
 
-# A ``]`` followed by ``[`` outside of strings joins two arrays printed back to back.
-_SEAM = r'\G((?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"\]]++|\](?!\s*+\[))*+)\]\s*+\['
+# A ``]`` followed by ``[`` outside of strings joins two arrays printed back to back. Empty arrays
+# vanish into the seam, or at either end of the page.
+_SEAM = r'\G((?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"\]]++|\](?!\s*+\[))*+)\]\s*+(?:\[\s*+\]\s*+)*+\['
+_EMPTY_FIRST = r"^(?:\[\s*+\]\s*+)++(?=\[)"
+_EMPTY_LAST = r"\](?:\s*+\[\s*+\])++\z"
 
 
 @dataclass(frozen=True)
@@ -137,7 +140,8 @@ def select_feeds(enabled: Iterable[str], requested: Iterable[str] = ()) -> list[
 
 def join_arrays(body: Column) -> Column:
     """Arrays printed back to back as one array; brackets inside strings are left alone."""
-    return F.regexp_replace(body, _SEAM, "$1,")
+    inner = F.regexp_replace(F.regexp_replace(body, _EMPTY_LAST, "]"), _EMPTY_FIRST, "")
+    return F.regexp_replace(inner, _SEAM, "$1,")
 
 
 def decode_pages(spec: FeedSpec, pages: DataFrame) -> DataFrame:
