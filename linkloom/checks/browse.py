@@ -14,6 +14,7 @@ from .views import (
     DOC_URL,
     VECTORS_SQL,
     bookmarks,
+    documents,
     doc_url,
     shown_time,
     sql_columns,
@@ -126,7 +127,7 @@ def reset_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every labelled bookmark gets a title and a summary that are too long, and new notes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     edits = table(spark, sf_dir, "labels").join(docs, "doc_id").select(
         stable_id(doc_url()).alias("id"),
         F.concat(F.lit("edited "), "text").alias("title"),

@@ -19,7 +19,7 @@ from ..sources.tables import TableStore, default_tables
 from ..streaming import sync as stream
 from .browse import NOW_SQL, _slim, _slim_sql
 from .scalar import sql_snippet
-from .views import BATCH_TIME, doc_url, shown_time, sql_id, sql_time, table, with_shown_times
+from .views import BATCH_TIME, doc_url, documents, shown_time, sql_id, sql_time, table, with_shown_times
 
 BUCKETS = 4
 
@@ -42,7 +42,7 @@ def _packed(rows: DataFrame, item: Column, size: int) -> DataFrame:
 
 def x_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object pages with a cursor that runs out on the last page."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     when = F.when(_undated(), "soon").otherwise(F.date_format(_doc_time(), "EEE MMM dd HH:mm:ss Z yyyy"))
     author = F.struct(F.col("source").alias("username"), F.col("lang").alias("name"))
     item = F.struct(F.col("doc_id").cast("string").alias("id"), "text", when.alias("createdAt"), author.alias("author"))
@@ -55,7 +55,7 @@ def x_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raindrop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare arrays and object pages in turn."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     created = F.when(_undated(), "").otherwise(format_rfc3339(_doc_time()))
     item = F.struct(
         F.col("doc_id").alias("_id"),
@@ -73,7 +73,7 @@ def raindrop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def github_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page printed as two arrays back to back."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     starred = F.when(_undated(), "never").otherwise(format_rfc3339(_doc_time()))
     repo = F.struct(
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("full_name"),

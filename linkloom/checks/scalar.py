@@ -18,6 +18,7 @@ from .search import _RANKED, _fused_sql, _text_ctes
 from .views import (
     BOOKMARKS_SQL,
     bookmarks,
+    documents,
     sql_id,
     sql_title,
     sql_token_list,
@@ -36,7 +37,7 @@ def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_from_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of documents, of marked and of blank first lines, and of whole page sources."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     fallback = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
     body = (
         F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("  TiTLE: "), F.col("text")))
@@ -69,7 +70,7 @@ def title_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut to the embedding, model, scrape and display sizes."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     cut = {n: text.byte_cap(F.col("text"), n) for n in (101, 1003, text.MODEL_BYTES, text.EMBED_BYTES, text.SCRAPE_BYTES)}
     return docs.select("doc_id", *[c.alias(f"cut_{n}") if n < 2000 else F.md5(c).alias(f"cut_{n}") for n, c in cut.items()])
 
@@ -116,7 +117,7 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
+    rows = documents(spark, sf_dir)
     return rows.select(
         "doc_id",
         F.md5(prompts.render_prompt(F.col("text"))).alias("default_prompt"),
@@ -144,7 +145,7 @@ def text_to_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token text and token count of every document and conversation turn."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("key"), "text")
+    docs = documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("key"), "text")
     turns = table(spark, sf_dir, "conversations").select(F.lit("turn"), F.col("conv_id") * 1000 + F.col("turn"), "text")
     rows = docs.union(turns).withColumn("tokens", text.token_text(F.col("text")))
     return rows.select("kind", "key", F.md5("tokens").alias("tokens"), text.token_count(F.col("tokens")).alias("n"))
@@ -155,7 +156,7 @@ def join_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.feeds import join_tags as joined
 
     tags = F.array("lang", F.when(F.col("doc_id") % 3 > 0, F.col("source")), F.lit("x"))
-    rows = table(spark, sf_dir, "documents")
+    rows = documents(spark, sf_dir)
     return rows.select("doc_id", joined(F.when(F.col("doc_id") % 5 > 0, tags)).alias("keywords"))
 
 
@@ -191,7 +192,7 @@ def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built-in embedding of every document, one row per non-zero element."""
-    rows = table(spark, sf_dir, "documents").withColumn("v", apply_model(hash_embedding, F.col("text"), "array<float>"))
+    rows = documents(spark, sf_dir).withColumn("v", apply_model(hash_embedding, F.col("text"), "array<float>"))
     cells = rows.select("doc_id", F.posexplode("v").alias("pos", "value"))
     return cells.filter("value <> 0").select("doc_id", "pos", F.col("value").cast("double").alias("value"))
 

@@ -12,10 +12,12 @@ from ..operators.listing import visible
 from ..plans import index as index_plan
 from ..plans import search as search_plan
 from ..schema import INDEXED_FIELDS
+from ..session import stage
 from .views import (
     BOOKMARKS_SQL,
     VECTORS_SQL,
     bookmarks,
+    documents,
     doc_url,
     sql_id,
     sql_token_list,
@@ -61,7 +63,8 @@ def search_bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bookmarks(spark, sf_dir)
     stats = fulltext.corpus_stats(fulltext.doc_lengths(rows))
     queries = benchmark_queries(spark, sf_dir)
-    return _shown(fulltext.search_batch(fulltext.postings(rows), stats, visible(rows).select("id"), queries))
+    index = stage(fulltext.postings(rows), "postings")
+    return _shown(fulltext.search_batch(index, stats, visible(rows).select("id"), queries))
 
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +141,7 @@ def search_many_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused search for every label: its name's first document words and its first vector."""
     rows = bookmarks(spark, sf_dir)
     embedded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     firsts = embedded.join(docs, "doc_id").groupBy(F.col("label").cast("string").alias("query_id")).agg(
         F.min_by("embedding", "doc_id").alias("embedding"), F.min_by("text", "doc_id").alias("text")
     )
@@ -147,7 +150,8 @@ def search_many_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = F.element_at(by_length, 1)["w"]
     queries = firsts.select("query_id", query.alias("query"), "embedding")
     stats = fulltext.corpus_stats(fulltext.doc_lengths(rows))
-    found = search_plan.search_many(rows, fulltext.postings(rows), stats, queries, vectors(spark, sf_dir))
+    index = stage(fulltext.postings(rows), "postings")
+    found = search_plan.search_many(rows, index, stats, queries, vectors(spark, sf_dir))
     return _shown(found)
 
 

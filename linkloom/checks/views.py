@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_id, title_from_content
 from ..schema import BOOKMARK_COLUMNS
+from ..session import spread
 
 BATCH_TIME = "2024-06-01 12:00:00"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -21,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def doc_url(doc_id: str = "doc_id") -> Column:
     return F.concat(F.lit("https://example.org/d/"), F.col(doc_id).cast("string"))
 
 
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     doc = F.col("doc_id")
     names = ("x", "raindrop", "github", "manual")
     start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_GAP, fold, prefix_count, query_tokens, token_count, token_text
 from ..schema import INDEXED_FIELDS
+from ..session import stage
 from .fusion import top_ranked, top_ranked_by_query
-from .skew import computed_once, salted_join
+from .skew import computed_once, sized_join
 
 K1 = 1.2
 B = 0.75
@@ -45,14 +46,9 @@ def _field_weights(fields: Sequence[str] | None, weights: dict[str, float] | Non
     return {f: float((weights or {}).get(f, 1.0)) for f in chosen}
 
 
-def _joined(fields: Sequence[str]) -> Column:
-    """Tokens of several fields in one string; no token spans two fields."""
-    return token_text(F.concat_ws(" ", *fields))
-
-
-def _tokenized(bookmarks: DataFrame) -> DataFrame:
-    """``id, hidden, length`` and the tokens of each field."""
-    tokens = computed_once(bookmarks, ["id", "hidden"], {f: token_text(F.col(f)) for f in INDEXED_FIELDS})
+def _tokenized(bookmarks: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep``, the ``length`` of the row and the tokens of each field."""
+    tokens = computed_once(bookmarks, keep, {f: token_text(F.col(f)) for f in INDEXED_FIELDS})
     length = reduce(Column.__add__, [token_count(F.col(f)) for f in INDEXED_FIELDS])
     return tokens.withColumn("length", length)
 
@@ -60,6 +56,42 @@ def _tokenized(bookmarks: DataFrame) -> DataFrame:
 # --- one query over the bookmark table --------------------------------------------------------
 
 
+def _term_counts(
+    bookmarks: DataFrame, terms: list[str], per_field: dict[str, float], matching_only: bool = False
+) -> DataFrame:
+    """``id, length`` and for each term its plain (``hits``) and weighted (``freq``) token counts.
+
+    ``matching_only`` leaves out hidden rows and most rows that cannot match, before they are
+    tokenized.
+    """
+    rows = bookmarks.filter(~F.col("hidden")) if matching_only else bookmarks
+    plain = all(w == 1.0 for w in per_field.values()) and len(per_field) == len(INDEXED_FIELDS)
+    rows = computed_once(rows, ["id"] if plain else ["id", *INDEXED_FIELDS], {"text": F.concat_ws(" ", *per_field)})
+    if matching_only:
+        rows = rows.filter(_may_match(F.col("text"), terms))
+    if plain:
+        # No token spans two fields, so they can be tokenized as one text.
+        tokens = computed_once(rows, ["id"], {"tokens": token_text(F.col("text"))})
+        tokens = tokens.withColumn("length", token_count(F.col("tokens")))
+        hits = [prefix_count(F.col("tokens"), t) for t in terms]
+        freqs = hits
+    else:
+        tokens = _tokenized(rows, ["id"])
+        hits = [reduce(Column.__add__, [prefix_count(F.col(f), t) for f in per_field]) for t in terms]
+        freqs = [
+            reduce(Column.__add__, [F.lit(w) * prefix_count(F.col(f), t) for f, w in per_field.items()]) for t in terms
+        ]
+    counts = {f"hits{i}": c for i, c in enumerate(hits)} | {f"freq{i}": c.cast("double") for i, c in enumerate(freqs)}
+    return computed_once(tokens, ["id", "length"], counts)
+
+
+def _may_match(text: Column, terms: list[str]) -> Column:
+    """A cheap test no matching row fails: a plain ASCII row must contain every term as it stands."""
+    low = F.lower(text)
+    present = reduce(Column.__and__, [low.contains(t) for t in terms])
+    return present | (F.octet_length(text) != F.char_length(text))
+
+
 def search_scan(
     bookmarks: DataFrame,
     query: str,
@@ -76,19 +108,7 @@ def search_scan(
     if not terms:
         return bookmarks.sparkSession.createDataFrame([], "id string, score double, rank int")
     per_field = _field_weights(fields, weights)
-    if all(w == 1.0 for w in per_field.values()) and len(per_field) == len(INDEXED_FIELDS):
-        tokens = computed_once(bookmarks, ["id", "hidden"], {"tokens": _joined(INDEXED_FIELDS)})
-        tokens = tokens.withColumn("length", token_count(F.col("tokens")))
-        hits = [prefix_count(F.col("tokens"), t) for t in terms]
-        freqs = hits
-    else:
-        tokens = _tokenized(bookmarks)
-        hits = [reduce(Column.__add__, [prefix_count(F.col(f), t) for f in per_field]) for t in terms]
-        freqs = [
-            reduce(Column.__add__, [F.lit(w) * prefix_count(F.col(f), t) for f, w in per_field.items()]) for t in terms
-        ]
-    counts = {f"hits{i}": c for i, c in enumerate(hits)} | {f"freq{i}": c.cast("double") for i, c in enumerate(freqs)}
-    counted = computed_once(tokens, ["id", "hidden", "length"], counts)
+    counted = _term_counts(bookmarks, terms, per_field)
     corpus = counted.agg(
         F.struct(
             F.count("*").cast("double").alias("n"),
@@ -97,7 +117,8 @@ def search_scan(
         ).alias("corpus")
     )
     all_terms = reduce(Column.__and__, [F.col(f"hits{i}") > 0 for i in range(len(terms))])
-    matched = counted.filter(~F.col("hidden") & all_terms).withColumn("corpus", corpus.scalar())
+    matched = _term_counts(bookmarks, terms, per_field, matching_only=True).filter(all_terms)
+    matched = matched.withColumn("corpus", corpus.scalar())
     score = reduce(
         Column.__add__,
         [
@@ -115,7 +136,7 @@ def search_scan(
 
 def postings(bookmarks: DataFrame) -> DataFrame:
     """``(term, id, field, tf, length)``, one row per term and field of a bookmark."""
-    tokens = _tokenized(bookmarks)
+    tokens = _tokenized(bookmarks, ["id"])
     per_field = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in INDEXED_FIELDS])
     return (
         tokens.select("id", "length", F.explode(per_field).alias("f"))
@@ -129,7 +150,7 @@ def postings(bookmarks: DataFrame) -> DataFrame:
 
 def doc_lengths(bookmarks: DataFrame) -> DataFrame:
     """``(id, length)`` of every bookmark, those without a single token included."""
-    tokens = computed_once(bookmarks, ["id"], {"tokens": _joined(INDEXED_FIELDS)})
+    tokens = computed_once(bookmarks, ["id"], {"tokens": token_text(F.concat_ws(" ", *INDEXED_FIELDS))})
     return tokens.select("id", token_count(F.col("tokens")).alias("length"))
 
 
@@ -228,20 +249,24 @@ def search_batch(
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: ``search_index`` for every row of ``(query_id, query)``.
 
-    A common word sits in the postings of most bookmarks, so the joins on a term are salted by
-    bookmark id and the counts per query term are combined before they are shuffled.
+    A common word sits in the postings of most bookmarks, so rows are never gathered by term: the
+    query side is counted and broadcast, or salted by bookmark id when it is long, and counts are
+    combined before they are shuffled. The three steps that feed more than one other are written
+    to the shared folder, which also gives the planner their true sizes.
     """
     terms = query_terms(queries)
-    mapping = prefix_vocabulary(terms, index.select("term").distinct())
+    mapping = stage(prefix_vocabulary(terms, index.select("term").distinct()), "prefixes")
     hits = (
-        salted_join(index.select("term", "id", "tf", "length"), mapping, "term", "id")
+        sized_join(index.select("term", "id", "tf", "length"), mapping, "term", "id")
         .groupBy("qterm", "id")
         .agg(F.sum("tf").alias("freq"), F.max("length").alias("length"))
     )
+    hits = stage(hits, "hits")
     frequencies = hits.groupBy("qterm").agg(F.count("*").cast("double").alias("df"))
-    weighed = terms.join(frequencies, "qterm").withColumn("corpus", stats.select(F.struct("n", "mean_length")).scalar())
-    weighed = weighed.withColumn("weight", idf(F.col("corpus.n"), F.col("df")))
-    per_term = salted_join(hits, weighed, "qterm", "id")
+    corpus = stats.select(F.struct("n", "mean_length"))
+    weighed = terms.join(frequencies, "qterm").withColumn("corpus", corpus.scalar())
+    weighed = stage(weighed.withColumn("weight", idf(F.col("corpus.n"), F.col("df"))), "weights")
+    per_term = sized_join(hits, weighed, "qterm", "id")
     score = term_score(F.col("weight"), F.col("freq").cast("double"), F.col("length"), F.col("corpus.mean_length"))
     scored = (
         per_term.groupBy("query_id", "id")

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 
+# A lookup up to this many narrow rows is counted first and then broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def sized_join(rows: DataFrame, lookup: DataFrame, on: str | list[str], spread: str) -> DataFrame:
+    """Join to a ``lookup`` that is cheap to count: broadcast when short, salted otherwise."""
+    if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup), on)
+    return salted_join(rows, lookup, on, spread)
+
 
 def salted_join(
     rows: DataFrame, lookup: DataFrame, on: str | list[str], spread: str, how: str = "inner", salts: int = SALTS

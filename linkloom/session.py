@@ -60,6 +60,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` cut finer when their scan has fewer splits than the cluster has task slots.
+
+    A few files that cannot be split would leave most cores idle during costly text work. A large
+    table has more splits than slots and is read as it lies, without a shuffle.
+    """
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= slots else rows.repartition(slots, *keys)
+
+
 def timestamp(value: str | Column) -> Column:
     """``value`` as a timestamp; times enter every job as arguments so that results repeat."""
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
