@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, query_tokens, stable_id, TOKEN_GAP
 from ..operators import fulltext, vectors as vector_ops
 from ..operators.fusion import reciprocal_rank_fusion, top_ranked
-from ..operators.listing import visible
+from ..operators.listing import hidden_ids
 from ..plans import index as index_plan
 from ..plans import search as search_plan
 from ..schema import INDEXED_FIELDS
@@ -48,7 +48,7 @@ def search_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bookmarks(spark, sf_dir)
     stats = fulltext.corpus_stats(fulltext.doc_lengths(rows))
-    return _shown(fulltext.search_index(index_plan.index_rows(rows), stats, visible(rows).select("id"), QUERY))
+    return _shown(fulltext.search_index(index_plan.index_rows(rows), stats, hidden_ids(rows), QUERY))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def search_bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = fulltext.corpus_stats(fulltext.doc_lengths(rows))
     queries = benchmark_queries(spark, sf_dir)
     index = stage(fulltext.postings(rows), "postings")
-    return _shown(fulltext.search_batch(index, stats, visible(rows).select("id"), queries))
+    return _shown(fulltext.search_batch(index, stats, hidden_ids(rows), queries))
 
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hidden = search_plan.hidden_ids(bookmarks(spark, sf_dir))
+    hidden = hidden_ids(bookmarks(spark, sf_dir))
     return _shown(vector_ops.vector_topk(vectors(spark, sf_dir), query_vector(spark, sf_dir), hidden_ids=hidden))
 
 

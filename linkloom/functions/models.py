@@ -1,7 +1,7 @@
 """Pluggable models, called once per Arrow batch.
 
 A summary model maps a Series of prompts to a Series of responses; an embedder maps a Series of
-texts to a Series of float lists. A missing element means the model failed on that row. Rows whose
+texts to a Series of float lists, aligned by index. A missing element means the model failed on that row. Rows whose
 input is NULL are never sent to a model. The two built-in models are deterministic and need no
 service.
 """
@@ -78,18 +78,22 @@ def embedder(choice: str | Model | None) -> Model | None:
 
 
 def _call(model: Model, inputs: pd.Series) -> pd.Series:
-    """Results aligned to ``inputs``; if a batch fails its rows are tried one by one."""
-    wanted = inputs[inputs.notna()]
+    """Results aligned to ``inputs``; if a batch fails its rows are tried one by one.
+
+    A model sees its inputs numbered from 0 and its answer is aligned by that number, so answers
+    may come in any order and a missing number is a missing result.
+    """
+    places = np.flatnonzero(inputs.notna())
     results = pd.Series([None] * len(inputs), index=inputs.index, dtype=object)
-    if wanted.empty:
+    if not len(places):
         return results
+    wanted = inputs.iloc[places].reset_index(drop=True)
     try:
-        answers = list(model(wanted))
+        answers = dict(pd.Series(model(wanted), dtype=object).items())
     except Exception:
-        answers = [_call_one(model, value) for value in wanted]
-    # A short answer leaves the rows behind it without a result.
-    for index, answer in zip(wanted.index, answers):
-        results.at[index] = answer
+        answers = {i: _call_one(model, value) for i, value in wanted.items()}
+    for i, place in enumerate(places):
+        results.iat[place] = answers.get(i)
     return results
 
 

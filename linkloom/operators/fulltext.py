@@ -176,13 +176,17 @@ def _prefix_filter(index: DataFrame, terms: Sequence[str]) -> DataFrame:
 def search_index(
     index: DataFrame,
     stats: DataFrame,
-    visible_ids: DataFrame,
+    hidden_ids: DataFrame,
     query: str,
     limit: int = CANDIDATES,
     fields: Sequence[str] | None = None,
     weights: dict[str, float] | None = None,
 ) -> DataFrame:
-    """``search_scan`` answered from postings: reads only the terms with a queried prefix."""
+    """``search_scan`` answered from postings: reads only the terms with a queried prefix.
+
+    Matches are checked against the ids of hidden rows. Those are few or none, and a scan for
+    them skips every row group without one, which a scan for the visible rows could not.
+    """
     terms = query_tokens(query)
     if not terms:
         return index.sparkSession.createDataFrame([], "id string, score double, rank int")
@@ -202,7 +206,7 @@ def search_index(
     corpus = stats.select(F.struct("n", "mean_length").alias("corpus"))
     matched = (
         counted.filter(all_terms)
-        .join(visible_ids.select("id"), "id", "left_semi")
+        .join(hidden_ids.select("id"), "id", "left_anti")
         .withColumns({"corpus": corpus.scalar(), "dfs": frequencies.scalar()})
     )
     score = reduce(
@@ -245,7 +249,7 @@ def prefix_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def search_batch(
-    index: DataFrame, stats: DataFrame, visible_ids: DataFrame, queries: DataFrame, limit: int = CANDIDATES
+    index: DataFrame, stats: DataFrame, hidden_ids: DataFrame, queries: DataFrame, limit: int = CANDIDATES
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: ``search_index`` for every row of ``(query_id, query)``.
 
@@ -272,6 +276,6 @@ def search_batch(
         per_term.groupBy("query_id", "id")
         .agg(F.sum(score).alias("score"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
         .filter(F.col("found") == F.col("n_terms"))
-        .join(visible_ids.select("id"), "id", "left_semi")
+        .join(hidden_ids.select("id"), "id", "left_anti")
     )
     return top_ranked_by_query(scored, limit)

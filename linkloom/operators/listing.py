@@ -18,6 +18,10 @@ def visible(bookmarks: DataFrame) -> DataFrame:
     return bookmarks.filter(~F.col("hidden"))
 
 
+def hidden_ids(bookmarks: DataFrame) -> DataFrame:
+    return bookmarks.filter("hidden").select("id")
+
+
 def from_sources(bookmarks: DataFrame, sources: Iterable[str] = ()) -> DataFrame:
     """Rows of the named sources; an empty list means no filter."""
     names = sorted({s.strip().lower() for s in sources})
@@ -60,6 +64,7 @@ def needs_summary(bookmarks: DataFrame, limit: int | None = 10) -> DataFrame:
 
 
 def get_by_id(bookmarks: DataFrame, key: str) -> DataFrame:
+    """Point read; stored files carry a Bloom filter on ``id`` and ``url`` that skips row groups."""
     return bookmarks.filter(F.col("id") == key)
 
 

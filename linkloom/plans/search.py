@@ -9,26 +9,28 @@ from pyspark.sql import functions as F
 
 from ..operators import fulltext, vectors
 from ..operators.fusion import reciprocal_rank_fusion, top_ranked, top_ranked_by_query
-from ..operators.listing import list_recent, visible
+from ..operators.listing import hidden_ids, list_recent
 
 RESULT_LIMIT = 20
 CANDIDATES = 50
 
-# A ranked list this short is broadcast; its length is the limit the caller asked for.
-BROADCAST_ROWS = 100_000
+# Up to this many results are looked up by literal id.
+POINT_READS = 1000
 
 
 def hydrate(ranked: DataFrame, bookmarks: DataFrame, limit: int) -> DataFrame:
     """Full rows of a ranking already cut to ``limit``; ids without a row drop out.
 
-    The score and rank columns stay, the latter giving the order.
+    The score and rank columns stay, the latter giving the order. A short ranking is computed
+    first, so that its ids reach the scan as a filter and only row groups that may hold one of
+    them are read. A longer one is a plain join.
     """
     hits = ranked.select("id", "score", "rank")
-    return bookmarks.join(F.broadcast(hits) if limit <= BROADCAST_ROWS else hits, "id").orderBy("rank")
-
-
-def hidden_ids(bookmarks: DataFrame) -> DataFrame:
-    return bookmarks.filter("hidden").select("id")
+    if limit <= POINT_READS:
+        found = hits.collect()
+        hits = F.broadcast(bookmarks.sparkSession.createDataFrame(found, hits.schema))
+        bookmarks = bookmarks.filter(F.col("id").isin([row.id for row in found]))
+    return bookmarks.join(hits, "id").orderBy("rank")
 
 
 def fused_ranking(
@@ -48,7 +50,7 @@ def fused_ranking(
     if index is None:
         legs = [fulltext.search_scan(bookmarks, query, candidates)]
     else:
-        legs = [fulltext.search_index(*index, visible(bookmarks).select("id"), query, candidates)]
+        legs = [fulltext.search_index(*index, hidden_ids(bookmarks), query, candidates)]
     if vector_table is not None and query_vector is not None:
         unwanted = None if include_hidden else hidden_ids(bookmarks)
         legs.append(vectors.vector_topk(vector_table, query_vector, candidates, unwanted))
@@ -80,7 +82,7 @@ def search_many(
     include_hidden: bool = False,
 ) -> DataFrame:
     """``(query_id, id, score, rank)`` for rows of ``(query_id, query[, embedding])``."""
-    legs = [fulltext.search_batch(index, stats, visible(bookmarks).select("id"), queries, candidates)]
+    legs = [fulltext.search_batch(index, stats, hidden_ids(bookmarks), queries, candidates)]
     if vector_table is not None:
         unwanted = None if include_hidden else hidden_ids(bookmarks)
         legs.append(vectors.vector_topk_batch(vector_table, queries, candidates, unwanted))

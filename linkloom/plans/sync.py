@@ -130,7 +130,7 @@ def sync(
     touched = {} if buckets is None else {"bookmarks": buckets}
     gone = None
     if force:
-        gone = existing.select("id").join(merged.select("id"), "id", "left_anti")
+        gone = stage(existing.select("id").join(merged.select("id"), "id", "left_anti"), "gone")
         changes["vectors"] = catalog.delete_ids(store.read("vectors"), gone)
     moved = incremental.marks_to_state(incremental.advance_marks(marks, fetched.newest))
     changes["sync_state"] = catalog.put_state(state, moved.unionByName(_refresh_stamp(store, batch_time)))

@@ -20,6 +20,8 @@ def build_session(master: str | None = None, app: str = "linkloom", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Push whole id lists of a result page to the scan, not just their range.
+        "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
         **conf,
     }
     for key, value in settings.items():

@@ -27,8 +27,10 @@ class TableSpec:
     buckets: int
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
-    # Sorted tables are laid out by range over these columns instead of by bucket.
+    # Lay the table out by range over ``sort_by`` instead of by bucket.
     ranged: bool = False
+    # Columns with a Bloom filter per row group, for point reads.
+    bloom: tuple[str, ...] = ()
 
 
 POSTING_SCHEMA = T.StructType(
@@ -46,12 +48,15 @@ LENGTH_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField
 
 DEFAULT_BUCKETS = 64
 
+# Distinct values a Bloom filter is sized for; about the rows of one row group.
+BLOOM_ROWS = 50_000
+
 
 def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
     """Table layouts. Raise ``buckets`` with the data; some hundred MB per bucket is a good size."""
     return {
-        "bookmarks": TableSpec(BOOKMARK_SCHEMA, "url", buckets, ("source",), ("id",)),
-        "vectors": TableSpec(VECTOR_SCHEMA, "id", buckets, (), ("id",)),
+        "bookmarks": TableSpec(BOOKMARK_SCHEMA, "url", buckets, ("source",), ("id",), bloom=("id", "url")),
+        "vectors": TableSpec(VECTOR_SCHEMA, "id", buckets, (), ("id",), bloom=("id",)),
         "sync_state": TableSpec(SYNC_STATE_SCHEMA, "key", 1),
         "postings": TableSpec(POSTING_SCHEMA, "term", 1, ("lead",), ("lead", "term", "id"), ranged=True),
         "postings_recent": TableSpec(POSTING_SCHEMA, "id", buckets, (), ("term",)),
@@ -151,7 +156,11 @@ class TableStore:
             laid = laid.sortWithinPartitions("bucket", *spec.partition_by, *spec.sort_by)
         # A version left behind by a crash has no log row; its files are simply replaced.
         path = f"{self.root}/{name}/v={version}"
-        laid.write.mode("overwrite").partitionBy("bucket", *spec.partition_by).parquet(path)
+        writer = laid.write.mode("overwrite").partitionBy("bucket", *spec.partition_by)
+        for column in spec.bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_ROWS))
+        writer.parquet(path)
         schema = T.StructType([*spec.schema.fields, T.StructField("bucket", T.IntegerType())])
         found = self.spark.read.schema(schema).parquet(path).select("bucket").distinct().collect()
         return sorted(row.bucket for row in found)

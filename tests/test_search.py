@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import query_tokens
 from linkloom.operators import fulltext, vectors
 from linkloom.operators.fusion import reciprocal_rank_fusion, top_ranked
-from linkloom.operators.listing import visible
+from linkloom.operators.listing import hidden_ids
 from linkloom.plans import index as index_plan
 from linkloom.plans import search as plan
 from linkloom.schema import INDEXED_FIELDS
@@ -79,7 +79,7 @@ def test_scan_index_and_batch_agree(spark, stored, rows, query):
     check(stored, fulltext.search_scan(stored, query, 200), want)
     index = index_plan.index_rows(stored)
     stats = fulltext.corpus_stats(fulltext.doc_lengths(stored))
-    ids = visible(stored).select("id")
+    ids = hidden_ids(stored)
     check(stored, fulltext.search_index(index, stats, ids, query, 200), want)
     queries = spark.createDataFrame([("q", query), ("blank", " . ")], "query_id string, query string")
     batch = fulltext.search_batch(index, stats, ids, queries, 200)
@@ -93,7 +93,7 @@ def test_fields_and_weights(spark, stored, rows):
     got = fulltext.search_scan(stored, "spark data", 200, fields=["title", "summary"], weights=weights)
     check(stored, got, want)
     index, stats = index_plan.index_rows(stored), fulltext.corpus_stats(fulltext.doc_lengths(stored))
-    got = fulltext.search_index(index, stats, visible(stored), "spark data", 200, fields=["title", "summary"], weights=weights)
+    got = fulltext.search_index(index, stats, hidden_ids(stored), "spark data", 200, fields=["title", "summary"], weights=weights)
     check(stored, got, want)
     with pytest.raises(ValueError):
         fulltext.search_scan(stored, "x", fields=["raw_content"])
@@ -204,7 +204,7 @@ def test_hybrid_search_uses_both_legs(spark, stored, rows):
     ids = [r["id"] for r in by(stored).values()]
     vecs = spark.createDataFrame([(i, [float(n), 1.0]) for n, i in enumerate(ids)], "id string, embedding array<float>")
     text = fulltext.search_scan(stored, "spark")
-    near = vectors.vector_topk(vecs, [1.0, 0.0], 50, plan.hidden_ids(stored))
+    near = vectors.vector_topk(vecs, [1.0, 0.0], 50, hidden_ids(stored))
     want = [r.id for r in top_ranked(reciprocal_rank_fusion([text, near]), 10).orderBy("rank").collect()]
     assert [r.id for r in plan.search(stored, "spark", vecs, [1.0, 0.0], limit=10).collect()] == want
     index, stats = index_plan.index_rows(stored), fulltext.corpus_stats(fulltext.doc_lengths(stored))
