@@ -35,11 +35,17 @@ def _with_marks(items: DataFrame, marks: DataFrame, few_feeds: bool) -> DataFram
 
 
 def _take_bounds(items: DataFrame, marks: DataFrame, batch_time: str | Column, few_feeds: bool) -> DataFrame:
-    """Per feed: position of the first item not after the mark, NULL if there is none."""
-    seen = _with_marks(items, marks, few_feeds).withColumn(
-        "eff", to_second(F.coalesce(F.col("ts"), timestamp(batch_time)))
+    """Per feed: position of the first item not after the mark, NULL if there is none.
+
+    Items are folded by page first, on plain numbers; only one row per page is compared as a place.
+    """
+    eff = to_second(F.coalesce(F.col("ts"), timestamp(batch_time)))
+    pages = (
+        _with_marks(items, marks, few_feeds)
+        .groupBy("feed", "page_no")
+        .agg(F.min(F.when(eff <= F.col("mark"), F.col("pos"))).alias("pos"))
     )
-    return seen.groupBy("feed").agg(F.min(F.when(F.col("eff") <= F.col("mark"), _seq())).alias("first_old"))
+    return pages.groupBy("feed").agg(F.min(F.when(F.col("pos").isNotNull(), _seq())).alias("first_old"))
 
 
 def take_while_newer(

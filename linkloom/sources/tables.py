@@ -98,7 +98,9 @@ class TableStore:
         return log is not None and bool(log.filter(F.col("batch_id") == batch_id).take(1))
 
     def empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], self.tables[name].schema)
+        """No rows, in a form the optimizer sees as empty, so that joins with it vanish."""
+        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.tables[name].schema.fields]
+        return self.spark.range(1).select(*columns).filter(F.lit(False))
 
     def bucket_of(self, name: str, key: Column | None = None) -> Column:
         spec = self.tables[name]
