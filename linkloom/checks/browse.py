@@ -17,7 +17,6 @@ from .views import (
     documents,
     doc_url,
     shown_time,
-    sql_columns,
     sql_id,
     sql_time,
     table,

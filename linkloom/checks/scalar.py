@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, render, text, times
 from ..functions.models import apply_model, hash_embedding
-from ..operators.listing import list_recent
 from ..plans import enrich
 from ..plans.search import search
-from ..schema import LISTING_COLUMNS
 from ..sources.sinks import json_lines
 from ..sources.vector_codec import decode_vector, encode_vector
-from .browse import _SORT_TIME
-from .search import _RANKED, _fused_sql, _text_ctes
+from .search import _fused_sql, _text_ctes
 from .views import (
     BOOKMARKS_SQL,
     bookmarks,

@@ -21,7 +21,6 @@ from .views import (
     doc_url,
     sql_id,
     sql_token_list,
-    sql_tokens,
     table,
     vectors,
 )

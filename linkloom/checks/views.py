@@ -118,13 +118,6 @@ bookmarks AS (
 VECTORS_SQL = f"vectors AS (SELECT {sql_id(VEC_URL)} AS id, embedding FROM embeddings)"
 
 
-def sql_columns(prefix: str = "", skip: tuple[str, ...] = ()) -> str:
-    """Bookmark columns with times as text."""
-    return ", ".join(
-        f"{sql_time(prefix + c)} AS {c}" if c.endswith("_at") else f"{prefix}{c}" for c in BOOKMARK_COLUMNS if c not in skip
-    )
-
-
 def sql_tokens(c: str) -> str:
     """Token text of a string, as a space separated string."""
     folded = rf"strip_accents(regexp_replace(lower(coalesce({c}, '')), '\p{{Mn}}+', '', 'g'))"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from linkloom.functions.text import query_tokens  # noqa: F401
 from linkloom.schema import BOOKMARK_COLUMNS, BOOKMARK_SCHEMA
 
 T0 = "2024-06-01 12:00:00"
