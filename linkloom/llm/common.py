@@ -52,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges(a, b)`` holds links between comparable ids. Each round takes the smallest label among the
     neighbours and then follows the label's own label, so a chain of length n needs about log n rounds.
     A round is written to the shared folder, which cuts the lineage in a way that outlives executors.
-    Repeated edges, loops and both directions are allowed; no edges give no rows. Returns ``node, label``.
+    Repeated edges, loops and both directions are allowed; no edges give no rows. Returns ``node, root``.
     """
     both = stage(
         edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "links"
@@ -68,5 +68,5 @@ def components(edges: DataFrame) -> DataFrame:
         roots = labels.select(F.col("node").alias("via"), F.col("label").alias("root"))
         moved = stage(hooked.join(roots, "via").select("node", F.least("via", "root").alias("label"), "was"), "labels")
         if moved.where("label <> was").isEmpty():
-            return moved.select("node", "label")
+            return moved.select("node", F.col("label").alias("root"))
         labels = moved.select("node", "label")

@@ -70,7 +70,7 @@ class Profiles:
 
 def sampled(docs: DataFrame, key: str, lang: str, per_language: int) -> DataFrame:
     """A fixed choice of about ``per_language`` rows of each language."""
-    counts = docs.groupBy(F.col(lang).alias("lang")).count()
+    counts = stage(docs.groupBy(F.col(lang).alias("lang")).count(), "languages")  # a small written table joins without a shuffle
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     picked = docs.alias("d").join(counts.select("lang", share.alias("share")).alias("c"), F.col(f"d.{lang}") == F.col("c.lang"))
     return picked.where(spread_order(f"d.{key}") < F.col("share")).select("d.*")

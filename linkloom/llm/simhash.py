@@ -179,8 +179,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """
     prints = stage(fingerprints(docs, key, text, shingle_words), "fingerprints")
     values = prints.groupBy("fp").agg(F.min("key").alias("first"))
-    labels = components(links(values, radius))
-    rooted = values.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+    roots = components(links(values, radius))
+    rooted = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     members = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(members, "fp").select(F.col("key").alias(key), "fp", "component_id")
