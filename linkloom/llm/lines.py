@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import computed_once
 from ..session import stage
 
 #: Edits (insert, delete, replace one code point) up to which two lines count as one.
 MAX_EDITS = 2
 #: Shorter lines are only compared for equality: a few edits make one short line into another.
 MIN_CHARS = 20
-#: Characters whose counts must nearly agree before two lines are compared; any eight frequent ones do.
-COUNTED = "entaiors"
+#: Characters whose counts must nearly agree before two lines are compared; any sixteen frequent ones do.
+COUNTED = "entaiorsdlhcu.gb"
 #: Line ids or places up to this number (some 60 MB) are broadcast after a count; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 BLANK = " \t\r"
@@ -62,11 +63,11 @@ def probe_keys(line: str, length: str, edits: int) -> Column:
 
 
 def letter_counts(line: str) -> Column:
-    """Counts of eight characters, each modulo 256, packed into one long."""
+    """Counts of sixteen characters, each modulo 16, packed into one long."""
     packed = F.lit(0).cast("long")
     for i, c in enumerate(COUNTED):
         count = F.length(line) - F.length(F.replace(F.col(line), F.lit(c), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft((count % 256).cast("long"), 8 * i))
+        packed = packed.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * i))
     return packed
 
 
@@ -74,13 +75,54 @@ def counts_near(a: Column, b: Column, edits: int) -> Column:
     """Whether the packed counts allow that few edits: each changes two counts by one at most."""
     apart = F.lit(0)
     for i in range(len(COUNTED)):
-        gap = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)))
-        apart = apart + F.least(gap, F.lit(256) - gap)
+        gap = F.abs(F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15)))
+        apart = apart + F.least(gap, F.lit(16) - gap)
     return apart <= 2 * edits
 
 
-def edits_within(a: str, b: str, edits: int) -> Column:
-    """Whether two lines of at least ``edits`` code points are at most ``edits`` edits apart.
+def code_points(line: Column) -> Column:
+    """Four bytes for each character, so that a character is found in constant time."""
+    return F.encode(line, "UTF-32")
+
+
+def _part(text: Column, start: Column, size: Column) -> Column:
+    """``size`` characters of ``code_points`` behind the first ``start`` ones."""
+    return F.substr(text, 4 * start + F.lit(1), 4 * size)
+
+
+def _common(a: str, b: str, most: Column, behind: bool = False) -> Column:
+    """How many characters, ``most`` at most, two texts share at their beginnings (or ends): halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(26, -1, -1)])
+    sizes = [F.length(t).cast("int") / 4 for t in (a, b)]
+
+    def longer(found: Column, step: Column) -> Column:
+        starts = [(size - found - step).cast("int") if behind else found for size in sizes]
+        same = _part(F.col(a), starts[0], step) == _part(F.col(b), starts[1], step)
+        return F.when((found + step <= most) & same, found + step).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def edits_within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+    """The rows of ``pairs`` whose ``code_points`` columns ``a`` and ``b`` are at most ``edits`` edits apart.
+
+    What both have in common at their ends cannot change the distance and is cut off, except ``edits``
+    characters on each side. Every step is computed once per row.
+    """
+    names = pairs.columns
+    least = F.least(F.length(a), F.length(b)).cast("int") / 4
+    rows = computed_once(pairs, names, {"least": least.cast("int")})
+    front = F.greatest(_common(a, b, F.col("least")) - edits, F.lit(0))
+    rows = computed_once(rows, [*names, "least"], {"front": front})
+    back = F.greatest(_common(a, b, F.col("least") - F.col("front"), behind=True) - edits, F.lit(0))
+    rows = computed_once(rows, [*names, "front"], {"back": back})
+    middle = lambda t: _part(F.col(t), F.col("front"), (F.length(t) / 4).cast("int") - F.col("front") - F.col("back"))
+    rows = computed_once(rows, names, {"left": middle(a), "right": middle(b)})
+    return rows.where(_banded("left", "right", edits)).select(*names)
+
+
+def _banded(a: str, b: str, edits: int) -> Column:
+    """Whether two ``code_points`` texts are at most ``edits`` apart; ``a`` has at least ``edits`` characters.
 
     Banded and bit-parallel: the 2 * edits + 1 cells of a column that can matter are bits of one long, with
     a bit set in ``up`` (``down``) where the distance rises (falls) from the cell above. One column is a few
@@ -88,16 +130,14 @@ def edits_within(a: str, b: str, edits: int) -> Column:
     """
     width = 2 * edits + 1
     full, low_edge = (1 << width) - 1, width - 1
-    rows, columns = F.length(a), F.length(b)
-    # four bytes a character, so that a character is found in constant time
-    left, right = F.encode(F.col(a), "UTF-32"), F.encode(F.col(b), "UTF-32")
-    char = lambda text, at: F.substr(text, 4 * at - F.lit(3), F.lit(4))
+    rows, columns = ((F.length(t) / 4).cast("int") for t in (a, b))
+    char = lambda text, at: _part(F.col(text), at - F.lit(1), F.lit(1))
 
     def equal(column: Column) -> Column:
         bits = F.lit(0).cast("long")
         for bit in range(width):
             row = column - edits + bit
-            same = (row >= 1) & (row <= rows) & (char(left, row) == char(right, column))
+            same = (row >= 1) & (row <= rows) & (char(a, row) == char(b, column))
             bits = bits + F.when(same, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
         return F.struct(column.alias("column"), bits.alias("equal"))
 
@@ -129,9 +169,9 @@ def edits_within(a: str, b: str, edits: int) -> Column:
     start = F.struct(
         F.lit(full ^ ((1 << edits) - 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(edits).cast("int").alias("distance")
     )
-    columns_of = F.transform(F.sequence(F.lit(1), columns), equal)
+    columns_of = F.transform(F.when(columns > 0, F.sequence(F.lit(1), columns)).otherwise(F.array().cast("array<int>")), equal)
     distance = F.aggregate(columns_of, start, step, lambda s: s["distance"])
-    return (F.abs(rows - columns) <= edits) & (distance <= edits)
+    return (F.abs(rows - columns) <= edits) & F.when(columns == 0, rows <= edits).otherwise(distance <= edits)
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
@@ -175,9 +215,10 @@ def near_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     wanted = stage(wanted, "wanted-lines")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = stage(lines.join(wanted, "h").select("h", F.struct("doc", "at").alias("place"), "line"), "line-texts")
+    texts = lines.join(wanted, "h").select("h", F.struct("doc", "at").alias("place"), code_points(F.col("line")).alias("line"))
+    texts = stage(texts, "line-texts")
     sides = pairs.join(texts.toDF("a", "place_a", "line_a"), "a").join(texts.toDF("b", "place_b", "line_b"), "b")
-    linked = sides.where(edits_within("line_a", "line_b", edits))
+    linked = edits_within(sides, "line_a", "line_b", edits)
     return linked.select(F.least("place_a", "place_b").alias("earlier"), F.greatest("place_a", "place_b").alias("later"))
 
 
