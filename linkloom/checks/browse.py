@@ -70,7 +70,7 @@ def needs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def needs_summary_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.needs_summary(bookmarks(spark, sf_dir)).select("id", "url", shown_time("updated_at").alias("updated_at"))
+    return listing.needs_summary(bookmarks(spark, sf_dir), 10).select("id", "url", shown_time("updated_at").alias("updated_at"))
 
 
 def count_visible(spark: SparkSession, sf_dir: str) -> DataFrame:

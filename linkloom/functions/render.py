@@ -51,7 +51,8 @@ def result_json(columns: list[str]) -> Column:
 
 def result_tsv() -> Column:
     """Source, title and url separated by tabs."""
-    return F.concat_ws("\t", "source", "title", "url")
+    columns = [F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]+", " ") for c in ("source", "title", "url")]
+    return F.concat_ws("\t", *columns)
 
 
 def result_text(results: DataFrame, rank: str = "rank") -> DataFrame:
@@ -61,7 +62,7 @@ def result_text(results: DataFrame, rank: str = "rank") -> DataFrame:
         F.format_string("%d. ", number),
         source_label(F.col("source")),
         F.lit(" "),
-        F.col("title"),
+        F.coalesce("title", F.lit("")),
         F.lit("\n   "),
         F.col("url"),
         F.when(F.col("summary") != "", F.concat(F.lit("\n   "), cli_summary(F.col("summary")))).otherwise(""),

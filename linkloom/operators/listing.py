@@ -53,7 +53,7 @@ def pending_queue(bookmarks: DataFrame, limit: int | None = None) -> DataFrame:
     return queue if limit is None else queue.orderBy("created_at", "id").limit(limit)
 
 
-def needs_summary(bookmarks: DataFrame, limit: int | None = 10) -> DataFrame:
+def needs_summary(bookmarks: DataFrame, limit: int | None = None) -> DataFrame:
     """Visible rows with page text but no summary, latest update first when limited."""
     rows = visible(bookmarks).filter(
         (F.col("raw_content") != "") & (F.coalesce(F.col("summary"), F.lit("")) == "")

@@ -32,7 +32,7 @@ ROUNDING = 1e-9
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays as a column; 0 for unequal lengths or a zero vector."""
+    """Cosine of two float arrays as a column; 0 for unequal lengths, a zero vector, or null or non-finite elements."""
 
     def dot(x: Column, y: Column) -> Column:
         products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
@@ -40,7 +40,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
     norm_a, norm_b = dot(a, a), dot(b, b)
     usable = (F.size(a) == F.size(b)) & (norm_a != 0) & (norm_b != 0)
-    return F.when(usable, dot(a, b) / (F.sqrt(norm_a) * F.sqrt(norm_b))).otherwise(F.lit(0.0))
+    score = F.when(usable, dot(a, b) / (F.sqrt(norm_a) * F.sqrt(norm_b))).otherwise(F.lit(0.0))
+    return F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0))
 
 
 def _matrix(embeddings: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,9 @@ def _sequential_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     scale = np.sqrt(_sequential_dot(a, a)) * np.sqrt(_sequential_dot(b, b))
     dots = _sequential_dot(a, b)
-    return np.divide(dots, scale, out=np.zeros_like(dots), where=scale != 0)
+    with np.errstate(invalid="ignore"):
+        scores = np.divide(dots, scale, out=np.zeros_like(dots), where=scale != 0)
+    return np.where(np.isfinite(scores), scores, 0.0)
 
 
 def score_all(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
@@ -100,6 +103,13 @@ def vector_topk(
 _PAIR = "query_id string, id string, score double"
 
 
+def _units(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows without a finite length above 0 become zeros, as they score 0."""
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+    good = np.isfinite(norms) & (norms != 0)
+    return np.divide(np.where(good, matrix, 0.0), np.where(good, norms, 1.0))
+
+
 def _best_pairs(ids: np.ndarray, matrix: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int):
     """For each query, the exact ``k`` best rows of one block as ``(row, score)``.
 
@@ -107,10 +117,7 @@ def _best_pairs(ids: np.ndarray, matrix: np.ndarray, rows: np.ndarray, queries:
     other rows score 0. A block product finds every row that could be among the ``k`` best within
     the rounding bound, and only those are summed exactly.
     """
-    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    units = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] != 0)
-    scales = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-    targets = np.divide(queries, scales[:, None], out=np.zeros_like(queries), where=scales[:, None] != 0)
+    units, targets = _units(matrix), _units(queries)
     for start in range(0, len(targets), 256):
         block = targets[start : start + 256] @ units.T
         rough = np.zeros((block.shape[0], len(ids)))

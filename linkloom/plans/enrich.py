@@ -214,8 +214,8 @@ def enrich(store: TableStore, batch_time: str, batch_id: str, limit: int | None
     return _run(store, enrich_rows(queue, batch_time, **models_and_pages), batch_id)
 
 
-def backfill(store: TableStore, batch_time: str, batch_id: str, limit: int | None = 10, **models_only) -> DataFrame:
-    """Summaries for rows that have page text but none; ``limit=None`` takes all."""
+def backfill(store: TableStore, batch_time: str, batch_id: str, limit: int | None = None, **models_only) -> DataFrame:
+    """Summaries for rows that have page text but none; ``limit`` takes the latest only."""
     rows = listing.needs_summary(store.read("bookmarks"), limit)
     return _run(store, backfill_rows(rows, batch_time, **models_only), batch_id)
 

@@ -28,6 +28,7 @@ class Fetch:
     quarantine: DataFrame
     failed: list[str]
     damaged: list[str]
+    landed: list[str]
 
 
 @dataclass
@@ -45,18 +46,21 @@ def _of_rule(specs: list[FeedSpec], rule: str):
     return F.col("feed").isin([s.name for s in specs if s.rule == rule])
 
 
-def fetch(specs: list[FeedSpec], pages: DataFrame, marks: DataFrame, batch_time: str) -> Fetch:
+def fetch(specs: list[FeedSpec], pages: DataFrame, marks: DataFrame, batch_time: str, every_page: bool = False) -> Fetch:
     """Decode all pages once, then cut each feed to what a fetch after its mark would take.
 
-    Only rows with one entry per registered feed reach the driver.
+    With ``every_page`` nothing that landed is cut and unreadable pages are only set aside. Only rows
+    with one entry per registered feed reach the driver.
     """
     landed = stage(feed_source.landed_feeds(specs, pages, batch_time), "landed")
-    read = feed_source.reachable(landed)
+    read = feed_source.all_items(landed) if every_page else feed_source.reachable(landed)
+    if every_page:
+        marks = marks.withColumn("mark", F.lit(None).cast(marks.schema["mark"].dataType))
     in_page = read.filter(_of_rule(specs, feed_source.IN_PAGE))
     take = read.filter(_of_rule(specs, feed_source.TAKE_WHILE))
     reach = {r.feed: r for r in feed_source.page_reach(landed).collect()}
     damaged = [s.name for s in specs if s.name in reach and reach[s.name].bad_page is not None]
-    failed = _failed(specs, reach, damaged, in_page, marks)
+    failed = [] if every_page else _failed(specs, reach, damaged, in_page, marks)
     rows = incremental.take_while_newer(take, marks, batch_time, few_feeds=True).unionByName(
         incremental.filter_in_page(in_page, marks, few_feeds=True)
     )
@@ -64,7 +68,7 @@ def fetch(specs: list[FeedSpec], pages: DataFrame, marks: DataFrame, batch_time:
         incremental.filter_in_page_marks(in_page, marks, few_feeds=True)
     )
     healthy = ~F.col("feed").isin(failed)
-    return Fetch(rows.filter(healthy), newest.filter(healthy), feed_source.quarantine(landed), failed, damaged)
+    return Fetch(rows.filter(healthy), newest.filter(healthy), feed_source.quarantine(landed), failed, damaged, list(reach))
 
 
 def _failed(specs, reach, damaged, in_page, marks) -> list[str]:
@@ -94,20 +98,22 @@ def sync(
     blank_is_null: bool = True,
     enrichment: dict | None = None,
     enrich_limit: int | None = None,
+    every_page: bool = False,
 ) -> SyncResult:
     """Merge landed pages into the store and, when something new arrived, enrich the queue.
 
     A batch id that was committed before is skipped, so a repeated run changes nothing. Rows,
     deletions and marks become visible in one commit; enrichment is a second one. With ``force``
-    marks are ignored and rows a feed no longer has are removed, except for feeds with unreadable
-    pages, whose list would be incomplete. A stored index follows the changed rows.
+    marks are ignored and rows a feed no longer has are removed, except for feeds of which no page
+    landed and feeds with unreadable pages, whose list would be incomplete; a readable page without
+    items means an empty feed. ``every_page`` as in ``fetch``. A stored index follows the changed rows.
     """
     if store.has_batch(batch_id):
         return SyncResult(skipped=True)
     specs = feed_source.select_feeds(enabled, requested)
     state = store.read("sync_state")
     marks = incremental.marks_from_state(state, [s.name for s in specs], force)
-    fetched = fetch(specs, pages, marks, batch_time)
+    fetched = fetch(specs, pages, marks, batch_time, every_page)
     good = [s for s in specs if s.name not in fetched.failed]
     keep_orphans = [s.name for s in good if s.name in fetched.damaged]
     batch = stage(catalog.collapse_batch(fetched.rows, BATCH_ORDER, blank_is_null), "batch")
@@ -122,7 +128,8 @@ def sync(
         new_items=sum(r.new_items for r in counts),
     )
     if force or reprocess:
-        swept = [s.name for s in good if s.name not in keep_orphans] if force else []
+        whole = [s.name for s in good if s.name in fetched.landed and s.name not in keep_orphans]
+        swept = whole if force else []
         merged = _merge_in_turn(existing, fetched.rows, good, batch_time, swept, reprocess, blank_is_null)
     else:
         merged = catalog.upsert(existing, batch, batch_time, blank_is_null).select(*BOOKMARK_COLUMNS)

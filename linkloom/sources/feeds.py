@@ -238,6 +238,11 @@ def page_reach(landed: DataFrame) -> DataFrame:
     )
 
 
+def all_items(landed: DataFrame) -> DataFrame:
+    """The items of every readable page."""
+    return landed.filter(F.col("pos").isNotNull()).drop("bad", "ends", "body")
+
+
 def reachable(landed: DataFrame) -> DataFrame:
     """The items a fetch reads: up to the last page of their feed and before its first bad page.
 

@@ -68,10 +68,16 @@ def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
 _LOG_SCHEMA = "version bigint, batch_id string, layout string"
 
 
+# Entry of a log row's layout that holds the bucket counts.
+_BUCKETS = "#buckets"
+
+
 @dataclass
 class Snapshot:
     version: int = 0
     layout: dict[str, dict[str, int]] = field(default_factory=dict)
+    # Bucket counts the tables were written with; they outrank the counts of the specs.
+    buckets: dict[str, int] = field(default_factory=dict)
 
 
 class TableStore:
@@ -91,7 +97,11 @@ class TableStore:
     def snapshot(self) -> Snapshot:
         log = self._log()
         row = None if log is None else log.orderBy(F.col("version").desc()).select("version", "layout").first()
-        return Snapshot(row.version, json.loads(row.layout)) if row else Snapshot()
+        if not row:
+            return Snapshot()
+        layout = json.loads(row.layout)
+        buckets = layout.pop(_BUCKETS, {})
+        return Snapshot(row.version, layout, buckets)
 
     def has_batch(self, batch_id: str) -> bool:
         log = self._log()
@@ -105,7 +115,8 @@ class TableStore:
     def bucket_of(self, name: str, key: Column | None = None) -> Column:
         spec = self.tables[name]
         key = F.col(spec.key) if key is None else key
-        return F.pmod(F.xxhash64(key), F.lit(spec.buckets)).cast("int")
+        buckets = self.snapshot().buckets.get(name, spec.buckets)
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def touched(self, name: str, keys: DataFrame) -> list[int]:
         """Buckets the rows of ``keys`` fall into; at most the bucket count of the table."""
@@ -132,9 +143,12 @@ class TableStore:
         """Publish new contents of the changed tables as one version and return it.
 
         ``touched`` limits the replacement of a table to some of its buckets; the DataFrame then
-        holds the new contents of these buckets only. Unreplaced buckets and tables are kept.
+        holds the new contents of these buckets only. Unreplaced buckets and tables are kept. A batch
+        id that was committed before changes nothing.
         """
         before = self.snapshot()
+        if self.has_batch(batch_id):
+            return before.version
         version = before.version + 1
         layout = {name: dict(buckets) for name, buckets in before.layout.items()}
         for name, rows in changes.items():
@@ -142,7 +156,8 @@ class TableStore:
             replaced = (touched or {}).get(name)
             kept = {} if replaced is None else {b: v for b, v in layout.get(name, {}).items() if int(b) not in replaced}
             layout[name] = kept | {str(b): version for b in written}
-        row = [(version, batch_id, json.dumps(layout))]
+        buckets = {n: before.buckets.get(n, self.tables[n].buckets) for n in layout}
+        row = [(version, batch_id, json.dumps(layout | {_BUCKETS: buckets}))]
         self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{self.root}/log")
         return version
 

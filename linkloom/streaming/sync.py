@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import catalog
+from ..plans import index as index_plan
 from ..plans.sync import sync
 from ..schema import BOOKMARK_COLUMNS
 from ..session import scratch_path, stage
@@ -50,10 +51,14 @@ def stream_sync(
     every: str = "1 minute",
     **sync_options,
 ) -> StreamingQuery:
-    """Sync a stream of ``(feed, page_no, body)``; every micro-batch is one fetch."""
+    """Sync a stream of ``(feed, page_no, body)``.
+
+    A micro-batch may hold any part of a fetch, so no landed page is cut off by the marks or by an
+    earlier page: the size of a micro-batch never decides which rows are stored.
+    """
 
     def step(batch: DataFrame, batch_no: int) -> None:
-        sync(store, batch, clock(), f"{name}:{batch_no}", **sync_options)
+        sync(store, batch, clock(), f"{name}:{batch_no}", every_page=True, **sync_options)
 
     return _start(pages, step, checkpoint, once, every)
 
@@ -77,7 +82,14 @@ def stream_upsert(
             return
         folded = stage(catalog.collapse_batch(batch, order, blank_is_null), "batch")
         buckets = store.touched("bookmarks", folded)
-        merged = catalog.upsert(store.read("bookmarks", buckets), folded, clock(), blank_is_null)
-        store.commit(batch_id, {"bookmarks": merged.select(*BOOKMARK_COLUMNS)}, {"bookmarks": buckets})
+        existing = store.read("bookmarks", buckets)
+        merged = catalog.upsert(existing, folded, clock(), blank_is_null).select(*BOOKMARK_COLUMNS)
+        changes, touched = {"bookmarks": merged}, {"bookmarks": buckets}
+        if index_plan.is_current(store):
+            changed = stage(catalog.batch_ids(existing, folded), "changed")
+            index_changes, index_touched = index_plan.changes_for(store, changed, merged)
+            changes |= index_changes
+            touched |= index_touched
+        store.commit(batch_id, changes, touched)
 
     return _start(rows, step, checkpoint, once, every)

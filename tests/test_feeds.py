@@ -126,7 +126,7 @@ def test_sinks(spark, tmp_path):
     assert "summary" not in shown["u2"] and "scraped_at" not in shown["u2"] and shown["u2"]["hidden"] is False
     assert set(shown["u1"]) == {"id", "source", "url", "title", "summary", "created_at", "updated_at", "scrape_status", "hidden"}
     sinks.write_tsv(rows, str(tmp_path / "tsv"))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "tsv")).collect()) == ["github\tc\tu2", "x\ta\tb\tu1"]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "tsv")).collect()) == ["github\tc\tu2", "x\ta b\tu1"]
     sinks.write_text(rows, str(tmp_path / "text"))
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "text"), wholetext=True).collect())
     assert "1. [G] c\n   u2" in text and f"2. [X] a\tb\n   u1\n   {'s' * 97}..." in text

@@ -349,3 +349,50 @@ def test_stream_equals_batch(spark, store):
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "a").startswith(shared_dir(spark))
+
+
+def test_stored_bucket_count_outranks_the_spec(spark, tmp_path):
+    rows = table(spark, *[{"url": f"https://e.org/{i}"} for i in range(20)])
+    TableStore(spark, str(tmp_path / "s"), default_tables(4)).commit("a", {"bookmarks": rows})
+    wider = TableStore(spark, str(tmp_path / "s"), default_tables(8))
+    known = rows.limit(6)
+    buckets = wider.touched("bookmarks", known)
+    wider.commit("b", {"bookmarks": wider.read("bookmarks", buckets)}, {"bookmarks": buckets})
+    assert wider.read("bookmarks").count() == wider.read("bookmarks").select("url").distinct().count() == 20
+
+
+def test_commit_runs_a_batch_id_once(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"), default_tables(2))
+    first = store.commit("a", {"bookmarks": table(spark, {"url": "https://e.org/1"})})
+    assert store.commit("a", {"bookmarks": table(spark, {"url": "https://e.org/2"})}) == first
+    assert [r.url for r in store.read("bookmarks").collect()] == ["https://e.org/1"]
+
+
+def test_stream_stores_the_same_rows_for_any_batch_size(spark, tmp_path):
+    root = tmp_path / "landing"
+    for page_no in range(3):
+        folder = root / "feed=github" / f"page_no={page_no}"
+        folder.mkdir(parents=True)
+        body = [star(f"a/{page_no}-{i}", f"2024-03-{20 - 5 * page_no - i:02d}T00:00:00Z") for i in range(4)]
+        (folder / "page.json").write_text(json.dumps(body))
+    for size in (1, 1000):
+        store = TableStore(spark, scratch_path(spark, "test-store"), default_tables(3))
+        landed = landing.stream_page_files(spark, str(root), size)
+        stream.stream_sync(landed, store, "s", clock=lambda: T0).awaitTermination()
+        assert len(urls(store)) == 12
+
+
+def test_force_leaves_feeds_alone_that_did_not_land(spark, store):
+    stored = table(spark, {"url": "https://github.com/old/one", "source": "github"}, {"url": "https://r.org", "source": "raindrop"})
+    store.commit("seed", {"bookmarks": stored})
+    jobs.sync(store, pages(spark, github=[[star("new/one", "2024-03-01T00:00:00Z")]]), T0, "b", force=True)
+    assert urls(store) == ["https://g/new/one", "https://r.org"]
+
+
+def test_stream_upsert_keeps_the_index_current(spark, store, tmp_path):
+    store.commit("seed", {"bookmarks": table(spark, {"url": "u1", "title": "spark one"})})
+    index.build_index(store, "i")
+    table(spark, {"url": "u2", "title": "spark two"}).write.parquet(str(tmp_path / "rows"))
+    rows = spark.readStream.schema(store.read("bookmarks").schema).parquet(str(tmp_path / "rows"))
+    stream.stream_upsert(rows, store, "s", ["updated_at"], clock=lambda: T0).awaitTermination()
+    assert index.open_index(store)[0].where("term = 'spark'").count() == 2

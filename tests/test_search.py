@@ -210,3 +210,20 @@ def test_hybrid_search_uses_both_legs(spark, stored, rows):
     index, stats = index_plan.index_rows(stored), fulltext.corpus_stats(fulltext.doc_lengths(stored))
     indexed = plan.search(stored, "spark", vecs, [1.0, 0.0], limit=10, index=(index, stats))
     assert [r.id for r in indexed.collect()] == want
+
+
+def test_damaged_vectors_score_zero_on_every_path(spark):
+    from linkloom.operators import vectors as v
+
+    nan = float("nan")
+    rows = [("a", [1.0, 0.0]), ("b", [nan, 1.0]), ("c", [None, 1.0]), ("d", [float("inf"), 0.0]), ("e", [-1.0, 0.0])]
+    table_ = spark.createDataFrame(rows, "id string, embedding array<float>")
+    want = [("a", 1.0), ("b", 0.0), ("c", 0.0)]
+    one = v.vector_topk(table_, [1.0, 0.0], 3).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in one] == want
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    for limit in (1 << 20, 0):
+        many = v.vector_topk_batch(table_, asked, 3, matrix_bytes=limit).orderBy("rank").collect()
+        assert [(r.id, r.score) for r in many] == want
+    scored = table_.select("id", v.cosine_similarity(F.col("embedding"), F.array(F.lit(1.0), F.lit(0.0))).alias("s"))
+    assert {r.id: r.s for r in scored.collect()} == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": -1.0}
