@@ -275,7 +275,7 @@ def digests(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: st
             ids = " ".join([p[0] for p in found])
             decoded = " ".join([p[2] for p in found])
             own = (sum([p[1] for p in found]), _sha(ids), _sha(decoded))
-            return (*own, list(map(int, ids.split()))) if keep_ids else own
+            return (*own, np.fromstring(ids, dtype=np.int32, sep=" ")) if keep_ids else own
 
         return lambda batch: [batch.column(0), *map(list, zip(*map(digest, batch.column(1).to_pylist())))]
 

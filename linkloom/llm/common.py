@@ -14,6 +14,8 @@ from ..session import stage
 
 #: Entries a Python worker keeps for words it has already seen; the memo is emptied when full.
 MEMO_ENTRIES = 300_000
+#: Input of one step in a Python worker, on average: what a step holds at once is a multiple of it.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +33,17 @@ def spread_order(key: str) -> Column:
 
 
 def map_batches(rows: DataFrame, transform: Callable[[], Callable[[pa.RecordBatch], list[list]]], schema: str) -> DataFrame:
-    """Rows made from each Arrow batch; ``transform()`` is called once per task and returns the batch function,
-    which gives one list of values per output column."""
+    """Rows made from parts of each Arrow batch; ``transform()`` is called once per task and returns the batch
+    function, which gives one list of values per output column."""
     fields = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = transform()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            rows = max(1, whole.num_rows * BATCH_BYTES // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 columns = [pa.array(values, type=field.type) for values, field in zip(step(batch), arrow)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
