@@ -25,7 +25,9 @@ SLACK = 1e-9
 
 
 def rotation(vectors: DataFrame, rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
-    """For every vector length an orthogonal matrix whose first columns carry the most variance."""
+    """For the vector lengths in the sample an orthogonal matrix whose first columns carry the most variance.
+
+    Vectors of a length that is too rare for the sample are compared as they are, without a turn."""
     order = spread_order("id")
     sample = vectors.select("vector", "id").orderBy(order, "id").limit(rows).select("vector").toArrow()["vector"].to_pylist()
     found = {}
@@ -67,7 +69,7 @@ def cosine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return row_products(left, right) / (np.sqrt(row_products(left, left)) * np.sqrt(row_products(right, right)))
 
 
-def compare(left: pa.Table, right: pa.Table, turn: np.ndarray, threshold: float) -> pa.Table:
+def compare(left: pa.Table, right: pa.Table, turn: np.ndarray | None, threshold: float) -> pa.Table:
     """What one pair of tiles adds: rows ``id, n`` with the number of others (copies counted) that a vector
     links with, and rows ``id, other`` that connect all vectors connected within the two tiles."""
     a, b = matrix(left["vector"]), matrix(right["vector"])
@@ -95,8 +97,9 @@ def compare(left: pa.Table, right: pa.Table, turn: np.ndarray, threshold: float)
     )
 
 
-def _turned(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ turn
+def _turned(vectors: np.ndarray, turn: np.ndarray | None) -> np.ndarray:
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return units if turn is None else units @ turn
 
 
 def _spanning(left: list[int], right: list[int]) -> list[tuple[int, int]]:
@@ -129,7 +132,9 @@ def _in_tiles(distinct: DataFrame, turns: dict[int, np.ndarray], threshold: floa
             cells = []
             for vector in batch.column("vector").to_pylist():
                 unit = np.array(vector) / np.linalg.norm(vector)
-                at = np.floor(unit @ turns[len(vector)][:, :CELL_DIMENSIONS] / width).astype(int).tolist()
+                turn = turns.get(len(vector))
+                leading = unit[:CELL_DIMENSIONS] if turn is None else unit @ turn[:, :CELL_DIMENSIONS]
+                at = np.floor(leading / width).astype(int).tolist()
                 cells.append((len(vector), *at, *[0] * (CELL_DIMENSIONS - len(at))))
             return [*batch.columns, *map(list, zip(*cells))]
 
@@ -177,7 +182,7 @@ def _compared(cells: DataFrame, turns: dict[int, np.ndarray], threshold: float)
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return compare_schema().empty_table()
-        return compare(left, right, turns[left["length"][0].as_py()], threshold)
+        return compare(left, right, turns.get(left["length"][0].as_py()), threshold)
 
     return side("left").cogroup(side("right")).applyInArrow(both, "id long, other long, n long")
 
@@ -203,7 +208,7 @@ def near_equal(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), doubles(vector).alias("vector"), checked.alias("good"))
     good = rows.where("good")
     distinct = stage(good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
-    turns = rotation(distinct)
+    turns = rotation(distinct, SAMPLE_ROWS)
     found = stage(_compared(_in_tiles(distinct, turns, threshold), turns, threshold), "links")
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     degrees = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))

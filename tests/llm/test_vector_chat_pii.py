@@ -49,6 +49,14 @@ def test_near_equal_equals_plain(spark, monkeypatch):
     assert found == {i: (int(linked[i].sum()), int(root[i])) for i in range(240)} and linked.any()
 
 
+def test_near_equal_length_outside_the_sample(spark, monkeypatch):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0, float(i)], 0) for i in (1, 2, 3)] + [(4, [1.0, 0.1], 0), (6, [0.0, 0.1, 0.2], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embed_dedup, "SAMPLE_ROWS", 1)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_equal(frame).collect()}
+    assert found == {1: (2, 1), 3: (2, 1), 4: (2, 1), 2: (1, 2), 6: (1, 2)}
+
+
 def test_search_odd_rows(spark, odd_vectors):
     found = ann.search(odd_vectors, odd_vectors.where("vec_id in (1, 4, 12)"), k=3, factor=1.0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))] == [
