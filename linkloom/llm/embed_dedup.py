@@ -71,10 +71,14 @@ def cosine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def compare(left: pa.Table, right: pa.Table, turn: np.ndarray | None, threshold: float) -> pa.Table:
     """What one pair of tiles adds: rows ``id, n`` with the number of others (copies counted) that a vector
-    links with, and rows ``id, other`` that connect all vectors connected within the two tiles."""
+    links with, and rows ``id, other`` that connect all vectors connected within the two tiles.
+
+    A tile meets itself as one table: the other side holds the same rows, but in an order of its own."""
+    own = left["tile"][0] == right["tile"][0]
+    right = left if own else right
     a, b = matrix(left["vector"]), matrix(right["vector"])
     rows, columns = pairs_above(_turned(a, turn), _turned(b, turn), threshold)
-    if left["tile"][0] == right["tile"][0]:
+    if own:
         one_way = rows < columns
         rows, columns = rows[one_way], columns[one_way]
     linked = cosine(a[rows], b[columns]) >= threshold

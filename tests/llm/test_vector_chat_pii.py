@@ -6,6 +6,7 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,16 @@ def test_near_equal_length_outside_the_sample(spark, monkeypatch):
     assert found == {1: (2, 1), 3: (2, 1), 4: (2, 1), 2: (1, 2), 6: (1, 2)}
 
 
+def test_tile_against_itself_in_another_order():
+    draw = np.random.default_rng(2)
+    vectors = np.repeat(draw.normal(size=(6, 4)), 5, axis=0) + draw.normal(size=(30, 4)) * 0.1
+    tile = pa.table({"id": list(range(30)), "copies": [1] * 30, "vector": vectors.tolist(), "tile": ["t"] * 30})
+    want = embed_dedup.compare(tile, tile, np.eye(4), 0.93).to_pydict()
+    assert max(want["n"]) > 1
+    for _ in range(3):
+        assert embed_dedup.compare(tile, tile.take(pa.array(draw.permutation(30))), np.eye(4), 0.93).to_pydict() == want
+
+
 def test_search_odd_rows(spark, odd_vectors):
     found = ann.search(odd_vectors, odd_vectors.where("vec_id in (1, 4, 12)"), k=3, factor=1.0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))] == [
