@@ -204,7 +204,12 @@ def near_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     The lines of ``docs`` must differ from each other. Every line is found by its segments; the counts of
     a few letters sort out most of what only shares a segment, and the edit distance decides.
     """
-    lines = _line_rows(docs).withColumn("length", F.length("line")).where(F.col("length") >= min_chars)
+    return _links(_line_rows(docs), edits, min_chars)
+
+
+def _links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """``near_links`` of lines ``doc, at, line`` that differ from each other."""
+    lines = lines.withColumn("length", F.length("line")).where(F.col("length") >= min_chars)
     lines = lines.withColumn("h", F.xxhash64("line"))
     sketched = lines.select("h", "line", "length", letter_counts("line").alias("counts"))
     index = sketched.select("h", "counts", F.explode(index_keys("line", "length", edits)).alias("key"))
@@ -222,21 +227,54 @@ def near_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     return linked.select(F.least("place_a", "place_b").alias("earlier"), F.greatest("place_a", "place_b").alias("later"))
 
 
+def classes(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS
+) -> tuple[DataFrame, DataFrame]:
+    """The links between all different lines, and what they mean for every line: ``pairs`` and ``members``.
+
+    Equal lines are a class, named after the first of its places in the order of ``dedup``; a place is a key and
+    a line's number in the whole text, from 0. ``pairs`` has ``earlier_doc, earlier_line, later_doc, later_line``
+    for the classes at most ``edits`` apart, each pair once. ``members`` has a row per line that is not blank:
+    ``key, line_no``, its class as ``class_doc, class_line``, and ``n_links``, the number of other classes that
+    the class links to; a copy has the links of the line it repeats.
+    """
+    lines = _line_rows(docs.select(_place(key, text), F.col(text).alias("text")))
+    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("g"), "line").alias("g")]
+    lines = lines.select("doc", "at", "line", *hashes)
+    found = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("first"), F.first("line").alias("line"))
+    found = stage(found, "line-classes")
+    links = stage(_links(found.select("first.doc", "first.at", "line"), edits, min_chars), "line-links")
+    ends = links.select(F.col("earlier").alias("first")).union(links.select("later")).groupBy("first").agg(F.count("*").alias("n_links"))
+    named = stage(found.select("h", "g", "first").join(ends, "first", "left"), "linked-classes")
+    number = lambda place: F.col(f"{place}.at").cast("long")
+    members = lines.select("doc", "at", "h", "g").join(named, ["h", "g"]).select(
+        F.col("doc.id").alias(key), F.col("at").cast("long").alias("line_no"), F.col("first.doc.id").alias("class_doc"),
+        number("first").alias("class_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+    sides = [c for side in ("earlier", "later") for c in (F.col(f"{side}.doc.id").alias(f"{side}_doc"), number(side).alias(f"{side}_line"))]
+    return links.select(*sides), members
+
+
+def _place(key: str, text: str) -> Column:
+    """A row's place in the order of keys: null last, then by a hash of the text."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash")).alias("doc")
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without repeated lines, with ``n_lines, n_equal, n_near, n_links``.
 
     A line that equals an earlier one goes (``n_equal``); earlier means a smaller key (null last; then a
     hash of the text, so that rows with one key have an order) or the same text further up. Of the others, a
     line of at least ``min_chars`` goes when an earlier line is at most ``edits`` edits away (``n_near``).
-    ``n_links`` counts a document's links to other different lines that were left for that comparison.
+    ``n_links`` counts a document's links to other different lines that were left for that comparison;
+    ``classes`` gives the links of all lines, repeated ones included.
     Blanks at the ends of a line do not count, and blank lines stay.
 
     A null text stays null and has no lines; an empty one has one blank line. Rows equal in key and text
     are treated alike. Columns of ``docs`` with the new names are replaced; all others stay.
     """
     names = [c for c in docs.columns if c not in ADDED]
-    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash")).alias("doc")
-    rows = docs.select(own, F.col(text).alias("text"), F.struct(*names).alias("row"))
+    rows = docs.select(_place(key, text), F.col(text).alias("text"), F.struct(*names).alias("row"))
     equal = stage(repeated_places(rows.select("doc", "text")), "equal-lines")
     lines = split_lines("text")
     kept = rows.join(_small(equal), "doc", "left").select(

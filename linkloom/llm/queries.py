@@ -62,6 +62,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *lines.ADDED, F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.classes(table(spark, sf_dir, "documents"))[0]
+
+
+def op6_line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.classes(table(spark, sf_dir, "documents"))[1]
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.learn(docs))
@@ -105,6 +113,8 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op6_line_pairs": op6_line_pairs,
+    "op6_line_members": op6_line_members,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
@@ -115,7 +125,35 @@ QUERIES = {
 LETTER_COUNTS = ", ".join(f"length(line) - length(replace(line, '{c}', '')) AS c{i}" for i, c in enumerate(lines.COUNTED))
 LETTERS_APART = " + ".join(f"abs(a.c{i} - b.c{i})" for i in range(len(lines.COUNTED)))
 
+#: All lines that are not blank with their class, and the links between classes.
+LINE_CLASSES = """
+WITH raw AS (
+  SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS whole
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), lines AS (
+  SELECT doc_id, pos, trim(whole, ' ' || chr(9) || chr(13)) AS line FROM raw
+), firsts AS (
+  SELECT *, row_number() OVER w AS copy, first_value(doc_id) OVER w AS class_doc, first_value(pos) OVER w AS class_line
+  FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY line ORDER BY doc_id NULLS LAST, pos)
+), sized AS (
+  SELECT doc_id, pos, line, length(line) AS n, COUNTS FROM firsts WHERE copy = 1 AND length(line) >= 20
+), links AS (
+  SELECT a.doc_id AS earlier_doc, a.pos AS earlier_line, b.doc_id AS later_doc, b.pos AS later_line
+  FROM sized a JOIN sized b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND (a.doc_id, a.pos) < (b.doc_id, b.pos)
+    AND NEAR <= 4
+  WHERE levenshtein(a.line, b.line) <= 2
+)
+""".replace("COUNTS", LETTER_COUNTS).replace("NEAR", LETTERS_APART)
+
 ORACLE = {
+    "op6_line_pairs": LINE_CLASSES + "SELECT * FROM links",
+    "op6_line_members": LINE_CLASSES + """
+, degrees AS (
+  SELECT d, l, count(*) AS n FROM (SELECT earlier_doc AS d, earlier_line AS l FROM links UNION ALL SELECT later_doc, later_line FROM links) GROUP BY d, l
+)
+SELECT f.doc_id, f.pos AS line_no, f.class_doc, f.class_line, coalesce(g.n, 0)::BIGINT AS n_links
+FROM firsts f LEFT JOIN degrees g ON g.d = f.class_doc AND g.l = f.class_line
+""",
     "op2_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -179,6 +179,16 @@ def test_lines_equal_earlier_and_near(spark):
     assert (found[3]["n_near"], found[3]["n_links"], found[1]["n_links"], found[4]["n_equal"]) == (1, 1, 1, 1)
 
 
+def test_copies_of_a_line_have_its_links(spark):
+    base = "A line that is long enough to be compared."
+    rows = [(1, base), (2, f"first\n {base}"), (3, base), (4, base.replace("long", "lung")), (None, f"\n{base}\t")]
+    pairs, members = lines.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [tuple(r) for r in pairs.collect()] == [(1, 0, 4, 0)]
+    assert {tuple(r) for r in members.collect()} == {
+        (1, 0, 1, 0, 1), (2, 0, 2, 0, 0), (2, 1, 1, 0, 1), (3, 0, 1, 0, 1), (4, 0, 4, 0, 1), (None, 1, 1, 0, 1),
+    }
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
