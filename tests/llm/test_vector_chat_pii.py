@@ -168,6 +168,44 @@ def test_pii_odd_rows(spark, odd_documents):
     assert {r["doc_id"]: r["text"] for r in pii.redact(docs, found).collect()} == {1: "Mail é@x <email> now", 2: None}
 
 
+def test_extra_labels():
+    def labels(text):
+        return {(k, text[s:e]): pii.rule_label(text, k, s, e) for k, s, e in pii.candidates(text)}
+
+    found = labels("Write jane.doe at mail dot de or ask (call 555 123 4567), fe80::1:2: or 12:30:45:10, (415) 555-2671, 3782.822463.10005, tim at noon.so")
+    assert {c for c, label in found.items() if label} == {
+        ("email", "jane.doe at mail dot de"), ("phone", "555 123 4567"), ("ip", "fe80::1:2"), ("phone", "(415) 555-2671"), ("card", "3782.822463.10005"),
+    }
+    assert labels("key=" + "a1B2c3D4" * 40) == {("secret", "a1B2c3D4" * 40): 1}
+
+
+def test_planted_extra_spans_are_found(spark):
+    draw = np.random.default_rng(5)
+    number = lambda n: "".join(map(str, draw.integers(2, 10, n)))
+    plants = {
+        "email": lambda: f"user{number(2)} at mail{number(1)} dot {draw.choice(['com', 'org', 'net'])}",
+        "ip": lambda: ":".join(f"{x:x}" for x in draw.integers(4096, 65536, 8)),
+        "phone": lambda: f"({number(3)}) {number(3)}-{number(4)}",
+        "card": lambda: next(c for c in (f"37{number(2)} {number(6)} {number(5)}" for _ in range(1000)) if pii.luhn(pii.digits_of(c))),
+        "secret": lambda: "key=" + "".join(draw.choice(list("abcdefgh2345678"), 140)),
+    }
+    rows, planted = [], set()
+    for i in range(600):
+        text = f"On {number(4)}-{number(2)} at {number(2)}:{number(2)}:{number(2)}:{number(2)} we sold {number(7)} and {number(14)} pieces at home. "
+        if i % 2:
+            kind = list(plants)[i // 2 % 5]
+            body = plants[kind]()
+            start = len(text) + (4 if kind == "secret" else 0)
+            planted.add((i, kind, start, len(text) + len(body)))
+            text += body + " was given."
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in pii.find(docs, pii.learn(docs)).collect() for s in r["spans"] if not s["base"]}
+    counts = {kind: sum(c[1] == kind for c in planted & found) for kind in plants}
+    print("planted spans found of 60 each:", counts, "others:", len(found - planted))
+    assert min(counts.values()) >= 54 and len(found - planted) <= 0.02 * len(found)
+
+
 def test_trees_learn_a_rule():
     draw = np.random.default_rng(1)
     rows = draw.normal(size=(400, 3))
