@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embed_dedup, langid, lines, mixing, pii, simhash, toxicity
+from . import ann, bpe, chat, embed_dedup, langid, lines, mixing, pii, repair, simhash, sql, toxicity
 from ..session import stage
 from .common import fold, table
 
@@ -106,6 +106,32 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their rows lost, emptied, cut, doubled or given to the user, by a hash of the key."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    spoken = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(text("role"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    marked = rows.select("conv_id", "turn", "role", "text", kind.alias("kind")).where("kind <> 0")
+    return marked.select("conv_id", "turn", role.alias("role"), spoken.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    broken = damaged(rows)
+    planned = stage(repair.plans(broken), "repair-plans")
+    found = planned.join(repair.digests(broken, planned).withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")))
+    every = rows.select(F.col("conv_id").alias("_conv")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("n_rows").isNotNull(), "left").select(
+        F.col("_conv").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -119,6 +145,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mix": op10_source_mix,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 #: Counts of a few letters; two edits change their sum of differences by four at most.
@@ -146,6 +173,7 @@ WITH raw AS (
 """.replace("COUNTS", LETTER_COUNTS).replace("NEAR", LETTERS_APART)
 
 ORACLE = {
+    "op12_conversation_repair": sql.REPAIR,
     "op6_line_pairs": LINE_CLASSES + "SELECT * FROM links",
     "op6_line_members": LINE_CLASSES + """
 , degrees AS (
