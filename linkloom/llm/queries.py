@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embed_dedup, langid, lines, mixing, pii, repair, simhash, sql, toxicity
+from . import ann, bpe, chat, embed_dedup, langid, licences, lines, mixing, pii, repair, simhash, sql, toxicity
 from ..session import stage
 from .common import fold, table
 
@@ -132,6 +132,23 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    base_labels = F.array_sort(F.array_distinct(F.transform(base, lambda m: m["label"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(base_labels, ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -146,6 +163,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mix": op10_source_mix,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: Counts of a few letters; two edits change their sum of differences by four at most.
@@ -174,6 +192,7 @@ WITH raw AS (
 
 ORACLE = {
     "op12_conversation_repair": sql.REPAIR,
+    "op13_license_scan": sql.licence_scan(licences.build_index(), licences.ANCHORS),
     "op6_line_pairs": LINE_CLASSES + "SELECT * FROM links",
     "op6_line_members": LINE_CLASSES + """
 , degrees AS (

@@ -73,3 +73,54 @@ FROM (SELECT DISTINCT conv_id FROM conversations) e
 LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
 """.replace("CRC", CRC32.replace("KEY", "k"))
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v + "'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+def _standing(words) -> str:
+    """Places from 0 at which words stand one after another, from a plain look at every place."""
+    same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words, 1))
+    return f"list_filter(range(len(w)), lambda i: {same})"
+
+
+def licence_scan(index, anchors: int) -> str:
+    """Notices of the index in ``documents``: agreeing beginnings of the rarest words that a text and a notice share."""
+    base = ", ".join(f"{_standing(words)} AS b{k}" for k, (_, words) in enumerate(index.base))
+    shared, begins, accepted, shares = [], [], [], []
+    for k, notice in enumerate(index.notices):
+        most = min(anchors, len(notice.ranked))
+        shared.append(f"list_filter({_list(notice.ranked)}, lambda x: list_contains(w, x)) AS s{k}")
+        starts = [
+            f"list_distinct(flatten(list_transform(list_filter(range(len(w)), lambda i: w[i + 1] = s{k}[{a}]), "
+            f"lambda i: list_transform(p{k}[s{k}[{a}]], lambda p: i - p))))"
+            for a in range(1, most + 1)
+        ]
+        agreed = starts[0]
+        for other in starts[1:]:
+            agreed = f"list_intersect({agreed}, {other})"
+        begins.append(f"CASE WHEN len(s{k}) >= {most} THEN {agreed} ELSE [] END AS g{k}")
+        keys = " AND ".join(f"len({_standing(p)}) > 0" for p in notice.phrases)
+        accepted.append(f"CASE WHEN len(g{k}) > 0 AND {keys} THEN '{notice.label}' END AS l{k}")
+        shares.append(f"CASE WHEN l{k} IS NOT NULL THEN len(s{k}) / {len(notice.ranked)}::DOUBLE END")
+    postings = ", ".join(
+        "MAP {" + ", ".join(f"'{w}': {_list(n.postings[w])}" for w in n.ranked) + "}" + f" AS p{k}" for k, n in enumerate(index.notices)
+    )
+    bases = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (label, _) in enumerate(index.base))
+    owns = ", ".join(f"l{k}" for k in range(len(index.notices)))
+    places = " || ".join(f"b{k}" for k in range(len(index.base)))
+    sorted_labels = "array_to_string(list_sort(list_distinct(list_filter([{0}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w, {postings} FROM documents
+), shared AS (SELECT *, {base}, {", ".join(shared)} FROM cut
+), agreed AS (SELECT *, {places} AS places, {", ".join(begins)} FROM shared
+), accepted AS (SELECT *, {", ".join(accepted)} FROM agreed)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word,
+       list_max(places)::BIGINT AS last_word, {sorted_labels.format(bases)} AS base_labels,
+       {sorted_labels.format(bases + ", " + owns)} AS labels,
+       CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(greatest({", ".join(shares)}), 0)::DOUBLE END AS score
+FROM accepted
+"""
