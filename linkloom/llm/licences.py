@@ -177,9 +177,11 @@ def scan(docs: DataFrame, text: str = "text", index: Index | None = None) -> Dat
     keep = [c for c in docs.columns if c != text and c not in added]
     vocabulary = sorted(index.idf)
     plain = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
-    cut = computed_once(docs, keep, {"_words": F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))})
+    # What is kept travels as one column, so that no name of it can clash with those used here.
+    packed = docs.select(F.struct(F.lit(0).alias("k"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("_row"), text)
+    cut = computed_once(packed, ["_row"], {"_words": F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))})
     known = F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(vocabulary), i)))
-    placed = computed_once(cut, [*keep, "_words"], {"_at": known})
+    placed = computed_once(cut, ["_row", "_words"], {"_at": known})
     seen = placed.withColumn("_present", F.array_distinct(F.transform("_at", _word)))
 
     base = [_matches(_base_starts(words), label, len(words), True) for label, words in index.base]
@@ -194,9 +196,10 @@ def scan(docs: DataFrame, text: str = "text", index: Index | None = None) -> Dat
         shares.append((notice.label, share))
     nothing = F.array().cast(_MATCH)
     found = F.flatten(F.array(*[F.coalesce(x.cast(_MATCH), nothing) for x in (*base, *own)]))
-    matched = computed_once(seen, [*keep, "_words", "_present"], {"matches": F.when(F.size("_at") > 0, found).otherwise(nothing)})
+    matched = computed_once(seen, ["_row", "_words", "_present"], {"matches": F.when(F.size("_at") > 0, found).otherwise(nothing)})
     labels = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["label"])))
     has = lambda label: F.exists("matches", lambda m: m["label"] == label)
     best = F.greatest(F.lit(0.0), *[F.when(has(label), share) for label, share in shares])
     score = F.when(F.exists("matches", lambda m: m["base"]), F.lit(1.0)).otherwise(best)
-    return matched.select(*keep, F.size("_words").cast("long").alias("n_words"), "matches", labels.alias("labels"), score.alias("score"))
+    kept = [F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(keep)]
+    return matched.select(*kept, F.size("_words").cast("long").alias("n_words"), "matches", labels.alias("labels"), score.alias("score"))

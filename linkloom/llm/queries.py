@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embed_dedup, langid, licences, lines, mixing, pii, repair, simhash, sql, toxicity
+from . import ann, bpe, chat, embed_dedup, langid, licences, lines, mixing, pii, repair, simhash, sql, toxicity, whitening
 from ..session import stage
 from .common import fold, table
 
@@ -106,6 +106,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = whitening.whiten(vectors.select("vec_id", whitening.fixed_point("embedding").alias("fixed")))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with a fifth of their rows lost, emptied, cut, doubled or given to the user, by a hash of the key."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -162,6 +168,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mix": op10_source_mix,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_license_scan": op13_license_scan,
 }

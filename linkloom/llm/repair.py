@@ -204,7 +204,8 @@ def plans(rows: DataFrame) -> DataFrame:
 
     ``rows(conv_id, turn, role, text)``, further columns are ignored. Rows are read by turn, null turns first, rows
     of one turn by role and digest of the text. Rows that are equal in all of that are repeats of each other. A
-    null ``conv_id`` is a conversation of its own; a null role or text counts as one space. No rows give no rows.
+    null ``conv_id`` is a conversation of its own; a null role or text counts as one space; a row with an empty role or
+    one of another first letter cannot be kept as it is. No rows give no rows.
     Returns ``conv_id, n_rows, gaps, blank, duplicate, truncated, illegal, cost, audit``; a row counts under its
     first fault, ``illegal`` counts neighbours that are not ``su``, ``ua`` or ``au``.
     """
@@ -286,7 +287,7 @@ class _Turns:
         self.place, self.ready = 0, []
 
     def put(self, conv_id, turn, role, text, edit):
-        self.ready.append((conv_id, self.place, turn, role, text, edit))
+        self.ready.append((conv_id, self.place, None if turn is None else str(turn), role, text, edit))
         self.place += 1
 
     def end(self, conv_id):
@@ -294,8 +295,7 @@ class _Turns:
 
     def take(self) -> pd.DataFrame:
         found, self.ready = self.ready, []
-        frame = pd.DataFrame(found, columns=["conv_id", "place", "turn", "role", "text", "edit"])
-        return frame.astype({"turn": object})
+        return pd.DataFrame(found, columns=["conv_id", "place", "turn", "role", "text", "edit"])
 
 
 class _Digests:
@@ -321,7 +321,8 @@ def repaired(rows: DataFrame, planned: DataFrame) -> DataFrame:
     ``place`` counts from 0; an inserted row has a null turn and an empty text. A conversation all of whose rows are
     deleted has no rows. ``planned`` is ``plans(rows)`` for the same rows.
     """
-    return _walk(rows, planned, _Turns, "conv_id string, place bigint, turn bigint, role string, text string, edit string")
+    found = _walk(rows, planned, _Turns, "conv_id string, place bigint, turn string, role string, text string, edit string")
+    return found.withColumn("turn", F.col("turn").cast("bigint"))
 
 
 def digests(rows: DataFrame, planned: DataFrame) -> DataFrame:
