@@ -6,6 +6,8 @@ back through the same code that reads landed pages.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,6 +306,88 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("url string").parquet(out)
 
 
+# --- two fetches as a stream ------------------------------------------------------------------
+
+FETCHES = ("2024-06-01 12:00:00", "2024-06-02 12:00:00")
+#: The page that lands after all others.
+LATE_PAGE = "feed = 'x' AND fetched_at < '2024-06-02' AND page_no = 0"
+
+
+def fetch_listing(spark: SparkSession, sf_dir: str, no: int) -> DataFrame:
+    """What the feeds list at each of two fetches, newest first: ``doc_id``, its time ``t`` and place ``pos``.
+
+    The first fetch finds the first three fifths of the documents. At the second all are there, and
+    every seventh of the former was saved ``again`` later. Places follow from the ids, so no window is needed.
+    """
+    docs = documents(spark, sf_dir)
+    size = docs.agg(F.struct((F.max("doc_id") + 1).alias("n"), F.floor((F.max("doc_id") + 1) * 3 / 5).alias("first")).alias("size"))
+    docs = docs.withColumn("size", size.scalar())
+    n, first, doc = F.col("size.n"), F.col("size.first"), F.col("doc_id")
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    if no == 0:
+        return docs.filter(doc < first).select("*", F.lit(False).alias("again"), (start + doc * 60).alias("t"), (first - 1 - doc).alias("pos"))
+    again = (doc < first) & (doc % 7 == 3)
+    repeats = F.floor((first - 4) / 7) + 1
+    passed = F.when(doc < first, F.floor((doc - 3) / 7) + 1).otherwise(repeats)
+    pos = F.when(again, repeats - passed).otherwise(n - 1 - doc + passed)
+    return docs.select("*", again.alias("again"), (start + (doc + F.when(again, 2 * n).otherwise(0)) * 60).alias("t"), pos.cast("long").alias("pos"))
+
+
+def fetched_pages(spark: SparkSession, sf_dir: str, no: int) -> DataFrame:
+    """``(feed, page_no, body, fetched_at)`` of one fetch; every feed lands all its pages."""
+    docs = fetch_listing(spark, sf_dir, no)
+    saved = F.timestamp_seconds("t")
+    again = F.when(F.col("again"), " again").otherwise("")
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), again)
+    repo = F.struct(name.alias("full_name"), doc_url().alias("html_url"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("description"))
+    link = F.struct(
+        F.col("doc_id").alias("_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), again).alias("title"), doc_url().alias("link"),
+        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("excerpt"), F.col("source").alias("note"),
+        format_rfc3339(saved).alias("created"), F.array("lang", "source").alias("tags"),
+    )
+    post = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.ltrim(again), "text").alias("text"),
+        F.date_format(saved, "EEE MMM dd HH:mm:ss Z yyyy").alias("createdAt"), F.struct(F.col("source").alias("username")).alias("author"),
+    )
+    parts = []
+    for feed, item, size in (("github", F.struct(format_rfc3339(saved).alias("starred_at"), repo.alias("repo")), 100), ("raindrop", link, 50), ("x", post, 100)):
+        place = docs.select((F.col("pos") / size).cast("int").alias("page_no"), F.struct("pos", item.alias("item")).alias("e"))
+        items = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["item"])
+        pages = place.groupBy("page_no").agg(items.alias("items"))
+        if feed == "x":
+            last = docs.agg((F.max("pos") / size).cast("int").alias("last"))
+            cursor = F.when(F.col("page_no") < F.col("last"), F.concat(F.lit("c"), F.col("page_no").cast("string"))).otherwise("")
+            body = F.to_json(F.struct(F.col("items").alias("tweets"), cursor.alias("nextCursor")))
+            pages = pages.withColumn("last", last.scalar())
+        else:  # a full last page does not end a fetch, an empty one after it does
+            body = F.to_json("items")
+            beyond = docs.agg((F.max("pos") / size + 1).cast("int").alias("page_no")).select(F.lit(feed).alias("feed"), "page_no", F.lit("[]").alias("body"))
+            parts.append(beyond)
+        parts.append(pages.select(F.lit(feed).alias("feed"), "page_no", body.alias("body")))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("fetched_at", F.lit(FETCHES[no]).cast("timestamp"))
+
+
+def stream_sync_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fetches of all feeds, their pages mixed over several micro-batches, one old page after all others."""
+    store, path = new_store(spark), scratch_path(spark, "landing")
+    both = fetched_pages(spark, sf_dir, 0).unionByName(fetched_pages(spark, sf_dir, 1))
+    late = F.expr(LATE_PAGE)
+    both.filter(~late).repartition(4, "page_no", "feed").write.json(path)
+    both.filter(late).write.mode("append").json(path)
+    pages = landing.FetchedPages(spark, path, files_per_batch=2)
+    stream.stream_sync_fetches(pages, store, "fetches").awaitTermination()
+    return _slim(store.read("bookmarks"))
+
+
+def sync_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two fetches as two batch syncs."""
+    store = new_store(spark)
+    for no, when in enumerate(FETCHES):
+        sync(store, fetched_pages(spark, sf_dir, no).drop("fetched_at"), when, f"fetch-{no}")
+    return _slim(store.read("bookmarks"))
+
+
 # --- SQL --------------------------------------------------------------------------------------
 
 _DOC_TIME = "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id)"
@@ -336,6 +420,21 @@ stored AS (
          NULL::TIMESTAMP AS scraped_at, 'pending' AS scrape_status, false AS hidden FROM merged)
 SELECT {_slim_sql()} FROM stored"""
 
+_TWO_FETCHES_SQL = f"""WITH size AS (SELECT max(doc_id) + 1 AS n, (max(doc_id) + 1) * 3 // 5 AS first FROM documents),
+saved AS (
+  SELECT d.*, doc_id < first AND doc_id % 7 = 3 AS again, doc_id >= first OR doc_id % 7 = 3 AS in_second, {_DOC_TIME} AS created_at
+  FROM documents d, size),
+timed AS (
+  SELECT *, CASE WHEN in_second THEN TIMESTAMP '{FETCHES[1]}' ELSE TIMESTAMP '{FETCHES[0]}' END AS updated_at,
+         CASE WHEN again THEN ' again' ELSE '' END AS more, CASE WHEN again THEN 'again' || text ELSE text END AS post FROM saved),
+rows AS (
+  SELECT {_EX} AS url, 'github' AS source, 'doc ' || doc_id || more AS title, CASE WHEN doc_id % 15 = 0 THEN '' ELSE text END AS summary,
+         lang || ',' || source AS keywords, source AS notes, created_at, updated_at FROM timed
+  UNION ALL SELECT {_X_URL}, 'x', {sql_snippet('post', 100)}, '', '', '', created_at, updated_at FROM timed),
+stored AS (
+  SELECT {sql_id('url')} AS id, *, '' AS raw_content, NULL::TIMESTAMP AS scraped_at, 'pending' AS scrape_status, false AS hidden FROM rows)
+SELECT {_slim_sql()} FROM stored"""
+
 _STATE_SQL = f"""SELECT 'github_last_sync_ts' AS key, strftime({NOW_SQL}, '%Y-%m-%dT%H:%M:%SZ') AS value
 UNION ALL SELECT 'raindrop_last_sync_ts', strftime({NOW_SQL}, '%Y-%m-%dT%H:%M:%SZ')
 UNION ALL SELECT 'last_refresh_at', strftime({NOW_SQL}, '%Y-%m-%dT%H:%M:%SZ')
@@ -420,6 +519,8 @@ QUERIES = {
     "stream_upsert": stream_upsert,
     "stream_sync": stream_sync,
     "stream_first_seen": stream_first_seen,
+    "stream_sync_fetches": stream_sync_fetches,
+    "sync_fetches": sync_fetches,
 }
 
 ORACLE = {
@@ -458,5 +559,7 @@ UNION ALL SELECT 'old', epoch_us(TIMESTAMP '2024-02-02 00:00:00') - epoch_us(dat
 UNION ALL SELECT 'missing', true UNION ALL SELECT 'broken', true""",
     "stream_upsert": _EVENT_STORE_SQL,
     "stream_sync": _UNION_SQL,
+    "stream_sync_fetches": _TWO_FETCHES_SQL,
+    "sync_fetches": _TWO_FETCHES_SQL,
     "stream_first_seen": f"WITH {_EVENT_ROWS} SELECT DISTINCT url FROM rows",
 }

@@ -46,8 +46,9 @@ def upsert(
     ``blank_is_null=False`` lets blank incoming text and any incoming status overwrite what is
     stored; True keeps stored text where the feed has none and keeps a finished row finished.
 
-    Known urls are patched through a left join and new ones appended after an anti join on the
-    url alone, so a batch small enough to broadcast never shuffles the stored table.
+    Known urls are patched through a left join, new ones appended after an anti join with the urls
+    the batch shares with the table. The batch is the inner side of every join with the table, so one
+    small enough to broadcast never shuffles a stored column.
     """
     now = timestamp(batch_time)
     news = batch.select(F.col("url"), *[F.col(c).alias(f"_{c}") for c in MERGE_COLUMNS], F.lit(True).alias("_hit"))
@@ -63,8 +64,22 @@ def upsert(
         F.lit(False).alias("is_new"),
         hit.alias("changed"),
     )
-    fresh = new_rows(existing, batch, now).withColumns({"is_new": F.lit(True), "changed": F.lit(True)})
-    return kept.unionByName(fresh)
+    added = new_rows(existing, batch, now).withColumns({"is_new": F.lit(True), "changed": F.lit(True)})
+    return kept.unionByName(added)
+
+
+def known_urls(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """``url, id`` of the stored rows whose url is in the batch.
+
+    The stored side streams past the batch's urls: a broadcast when they are few, and then no
+    exchange holds a stored row that the batch does not name.
+    """
+    return existing.select("url", "id").join(batch.select("url"), "url", "left_semi")
+
+
+def fresh(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of a collapsed batch whose url is not stored yet."""
+    return batch.join(known_urls(existing, batch).select("url"), "url", "left_anti")
 
 
 def new_rows(existing: DataFrame, batch: DataFrame, batch_time: str | Column) -> DataFrame:
@@ -78,8 +93,7 @@ def new_rows(existing: DataFrame, batch: DataFrame, batch_time: str | Column) ->
         "scrape_status": F.coalesce(F.col("scrape_status"), F.lit(PENDING)),
         "hidden": F.coalesce(F.col("hidden"), F.lit(False)),
     }
-    rows = batch.join(existing.select("url"), "url", "left_anti")
-    return rows.select(*[filled.get(c, F.col(c)).alias(c) for c in BOOKMARK_COLUMNS])
+    return fresh(existing, batch).select(*[filled.get(c, F.col(c)).alias(c) for c in BOOKMARK_COLUMNS])
 
 
 def upsert_stats(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
@@ -87,10 +101,9 @@ def upsert_stats(existing: DataFrame, incoming: DataFrame, order: list[str]) ->
 
     The first row of an unknown url is new; every other row is skipped.
     """
+    urls = incoming.groupBy("url").agg(F.min_by("source", F.struct(*order)).alias("source"))
     first = (
-        incoming.groupBy("url")
-        .agg(F.min_by("source", F.struct(*order)).alias("source"))
-        .join(existing.select("url"), "url", "left_anti")
+        urls.join(known_urls(existing, urls).select("url"), "url", "left_anti")
         .groupBy("source")
         .agg(F.count("*").alias("new_items"))
     )
@@ -103,13 +116,13 @@ def upsert_stats(existing: DataFrame, incoming: DataFrame, order: list[str]) ->
 
 def repeated_urls(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Urls of a collapsed batch that an upsert meets as known: stored, or seen twice."""
-    stored = batch.join(existing.select("url"), "url", "left_semi").select("url")
+    stored = known_urls(existing, batch).select("url")
     return stored.union(batch.filter(F.col("batch_rows") > 1).select("url")).distinct()
 
 
 def batch_ids(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Ids of the rows a collapsed batch touches: the stored id where the url is known."""
-    stored = existing.select("url", F.col("id").alias("_stored"))
+    stored = known_urls(existing, batch).withColumnRenamed("id", "_stored")
     return batch.select("id", "url").join(stored, "url", "left").select(F.coalesce("_stored", "id").alias("id"))
 
 
@@ -170,7 +183,8 @@ def _clear(bookmarks: DataFrame, keys: DataFrame, on: str, extra: dict[str, Colu
 def manual_rows(existing: DataFrame, urls: DataFrame, batch_time: str | Column) -> DataFrame:
     """Pending rows for urls not stored yet; the title starts out as the url."""
     now = timestamp(batch_time)
-    fresh = urls.select("url").distinct().join(existing.select("url"), "url", "left_anti")
+    wanted = urls.select("url").distinct()
+    unknown = fresh(existing, wanted)
     blank = F.lit("")
     values = {
         "id": stable_id(F.col("url")),
@@ -183,12 +197,12 @@ def manual_rows(existing: DataFrame, urls: DataFrame, batch_time: str | Column)
         "scrape_status": F.lit(PENDING),
         "hidden": F.lit(False),
     }
-    return fresh.select(*[values.get(c, F.col(c)).alias(c) for c in BOOKMARK_COLUMNS])
+    return unknown.select(*[values.get(c, F.col(c)).alias(c) for c in BOOKMARK_COLUMNS])
 
 
 def already_stored(existing: DataFrame, urls: DataFrame) -> DataFrame:
     """The urls a manual add rejects."""
-    return urls.select("url").distinct().join(existing.select("url"), "url", "left_semi")
+    return known_urls(existing, urls).select("url").distinct()
 
 
 def replace_by_key(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -78,9 +78,17 @@ def lookup(bookmarks: DataFrame, keys: DataFrame) -> DataFrame:
     Keys without a match come back with a NULL ``id``.
     """
     wanted = keys.select("key").distinct()
-    by_id = wanted.join(bookmarks.withColumn("key", F.col("id")), "key")
-    rest = wanted.join(bookmarks.select(F.col("id").alias("key")), "key", "left_anti")
-    return by_id.unionByName(rest.join(bookmarks.withColumn("key", F.col("url")), "key", "left"))
+    by_id = wanted.join(_named(bookmarks, wanted, "id"), "key")
+    rest = wanted.join(_named(bookmarks.select("id"), wanted, "id").select("key"), "key", "left_anti")
+    return by_id.unionByName(rest.join(_named(bookmarks, rest, "url"), "key", "left"))
+
+
+def _named(bookmarks: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Stored rows whose ``column`` is one of the keys, with that as ``key``.
+
+    The stored side streams past the keys, so that only rows they name go on to the next join.
+    """
+    return bookmarks.withColumn("key", F.col(column)).join(keys.select("key"), "key", "left_semi")
 
 
 def is_stale(sync_state: DataFrame, now: str | Column, key: str = LAST_REFRESH_KEY) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import models
@@ -173,6 +173,9 @@ def backfill_rows(
     return done.select(*BOOKMARK_COLUMNS, "embedding", "embedded_text_hash", "outcome")
 
 
+OUTCOMES = (SUCCESS, FETCH_FAILED, MODEL_FAILED)
+
+
 def tally(done: DataFrame) -> DataFrame:
     """Rows per outcome."""
     return done.groupBy("outcome").agg(F.count("*").alias("n"))
@@ -202,10 +205,14 @@ def save_enriched(store: TableStore, done: DataFrame, batch_id: str) -> int:
 
 
 def _run(store: TableStore, rows: DataFrame, batch_id: str) -> DataFrame:
-    done = stage(rows, "enriched")
-    if not done.isEmpty():
+    """Rows per outcome, counted by the job that stages them."""
+    seen = Observation()
+    counters = [F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES]
+    done = stage(rows.observe(seen, *counters), "enriched")
+    counts = [(name, n) for name, n in seen.get.items() if n]
+    if counts:
         save_enriched(store, done, batch_id)
-    return tally(done)
+    return store.spark.createDataFrame(counts, "outcome string, n bigint")
 
 
 def enrich(store: TableStore, batch_time: str, batch_id: str, limit: int | None = None, **models_and_pages) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import catalog, incremental
@@ -111,47 +111,84 @@ def sync(
     if store.has_batch(batch_id):
         return SyncResult(skipped=True)
     specs = feed_source.select_feeds(enabled, requested)
-    state = store.read("sync_state")
-    marks = incremental.marks_from_state(state, [s.name for s in specs], force)
+    marks = incremental.marks_from_state(store.read("sync_state"), [s.name for s in specs], force)
     fetched = fetch(specs, pages, marks, batch_time, every_page)
     good = [s for s in specs if s.name not in fetched.failed]
     keep_orphans = [s.name for s in good if s.name in fetched.damaged]
-    batch = stage(catalog.collapse_batch(fetched.rows, BATCH_ORDER, blank_is_null), "batch")
-    buckets = None if force else store.touched("bookmarks", batch)
+    whole = [s.name for s in good if s.name in fetched.landed and s.name not in keep_orphans]
+    result = publish(
+        store, good, fetched.rows, incremental.advance_marks(marks, fetched.newest), batch_time, batch_id,
+        swept=whole if force else None, reprocess=reprocess, blank_is_null=blank_is_null,
+    )
+    result.quarantine, result.failed_feeds = fetched.quarantine, fetched.failed
+    result.kept_orphans = keep_orphans if force else []
+    if enrichment is not None and (result.new_items > 0 or reprocess):
+        result.tally = enrich_plan.enrich(store, batch_time, f"{batch_id}:enrich", enrich_limit, **enrichment)
+    return result
+
+
+def _per_feed(specs: list[FeedSpec], which: Column) -> list[Column]:
+    """For each feed the number of rows of it that satisfy ``which``, to be observed."""
+    return [F.count_if(which & (F.col("source") == s.name)).alias(s.name) for s in specs]
+
+
+def publish(
+    store: TableStore,
+    specs: list[FeedSpec],
+    rows: DataFrame,
+    marks: DataFrame,
+    batch_time: str,
+    batch_id: str,
+    swept: list[str] | None = None,
+    reprocess: bool = False,
+    blank_is_null: bool = True,
+    only_new: bool = False,
+    beside: dict[str, DataFrame] | None = None,
+) -> SyncResult:
+    """Commit feed rows and the next marks; a stored index follows.
+
+    ``swept`` names the feeds whose stored rows go when the feed no longer has them (None: a plain
+    merge that reads and replaces the touched buckets only). ``only_new`` leaves stored rows as they are.
+    ``beside`` holds further tables that change in the same commit. The counters of a plain merge are
+    observed while its rows are staged and written; no job reads them for that.
+    """
+    state = store.read("sync_state")
+    plain = swept is None and not reprocess
+    seen, added = Observation(), Observation()
+    watched = rows.observe(seen, *_per_feed(specs, F.lit(True))) if plain else rows
+    batch = stage(catalog.collapse_batch(watched, BATCH_ORDER, blank_is_null), "batch")
+    buckets = None if swept is not None else store.touched("bookmarks", batch)
     existing = store.read("bookmarks", buckets)
-    counts = catalog.upsert_stats(existing, fetched.rows, BATCH_ORDER).collect()
-    result = SyncResult(
-        stats=store.spark.createDataFrame(counts, "source string, new_items bigint, skipped_items bigint"),
-        quarantine=fetched.quarantine,
-        failed_feeds=fetched.failed,
-        kept_orphans=keep_orphans if force else [],
-        new_items=sum(r.new_items for r in counts),
-    )
-    if force or reprocess:
-        whole = [s.name for s in good if s.name in fetched.landed and s.name not in keep_orphans]
-        swept = whole if force else []
-        merged = _merge_in_turn(existing, fetched.rows, good, batch_time, swept, reprocess, blank_is_null)
+    if plain:
+        kept = existing.limit(0) if only_new else existing
+        merged = catalog.upsert(kept, catalog.fresh(existing, batch) if only_new else batch, batch_time, blank_is_null)
+        merged = merged.observe(added, *_per_feed(specs, F.col("is_new"))).select(*BOOKMARK_COLUMNS)
+        if only_new:
+            merged = existing.select(*BOOKMARK_COLUMNS).unionByName(merged)
     else:
-        merged = catalog.upsert(existing, batch, batch_time, blank_is_null).select(*BOOKMARK_COLUMNS)
+        counts = catalog.upsert_stats(existing, rows, BATCH_ORDER).collect()
+        merged = _merge_in_turn(existing, rows, specs, batch_time, swept or [], reprocess, blank_is_null)
     changes = {"bookmarks": merged}
     touched = {} if buckets is None else {"bookmarks": buckets}
     gone = None
-    if force:
+    if swept is not None:
         gone = stage(existing.select("id").join(merged.select("id"), "id", "left_anti"), "gone")
         changes["vectors"] = catalog.delete_ids(store.read("vectors"), gone)
-    moved = incremental.marks_to_state(incremental.advance_marks(marks, fetched.newest))
+    moved = incremental.marks_to_state(marks)
     changes["sync_state"] = catalog.put_state(state, moved.unionByName(_refresh_stamp(store, batch_time)))
-    indexed = index_plan.is_current(store)
-    if indexed:
+    changes |= beside or {}
+    if index_plan.is_current(store):
         ids = catalog.batch_ids(existing, batch)
         changed = ids if gone is None else ids.unionByName(gone)
         index_changes, index_touched = index_plan.changes_for(store, stage(changed, "changed"), merged)
         changes |= index_changes
         touched |= index_touched
     store.commit(batch_id, changes, touched)
-    if enrichment is not None and (result.new_items > 0 or reprocess):
-        result.tally = enrich_plan.enrich(store, batch_time, f"{batch_id}:enrich", enrich_limit, **enrichment)
-    return result
+    if plain:
+        total, new = seen.get, added.get
+        counts = [(s.name, new[s.name], total[s.name] - new[s.name]) for s in specs if total[s.name]]
+    stats = store.spark.createDataFrame(counts, "source string, new_items bigint, skipped_items bigint")
+    return SyncResult(stats=stats, new_items=sum(c[1] for c in counts))
 
 
 def _merge_in_turn(existing, rows, specs, batch_time, swept, reprocess, blank_is_null) -> DataFrame:

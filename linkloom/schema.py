@@ -56,6 +56,9 @@ PAGE_SCHEMA = T.StructType(
     ]
 )
 
+# Pages that say which fetch they belong to: ``fetched_at`` is when their fetch started.
+FETCHED_PAGE_SCHEMA = T.StructType([*PAGE_SCHEMA.fields, T.StructField("fetched_at", T.TimestampType(), False)])
+
 LAST_REFRESH_KEY = "last_refresh_at"
 
 

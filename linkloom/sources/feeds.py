@@ -6,7 +6,7 @@ decoded once into arrays and never leave Spark.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -144,14 +144,15 @@ def join_arrays(body: Column) -> Column:
     return F.regexp_replace(inner, _SEAM, "$1,")
 
 
-def decode_pages(spec: FeedSpec, pages: DataFrame) -> DataFrame:
-    """``(feed, page_no, items, cursor, bad, body)`` of one feed; ``body`` is kept for bad pages.
+def decode_pages(spec: FeedSpec, pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``(feed, page_no, *keep, items, cursor, bad, body)`` of one feed; ``body`` is kept for bad pages.
 
     Whether a page is an array or an object is decided on its first character, because reading
     an object with an array schema yields an array of blanks instead of an error.
     """
     body = F.regexp_replace(F.coalesce(F.col("body"), F.lit("")), r"^\s++|(?<!\s)\s++\z", "")
-    page = computed_once(pages.filter(F.col("feed") == spec.name), ["feed", "page_no"], {"body": body})
+    place = ["feed", "page_no", *keep]
+    page = computed_once(pages.filter(F.col("feed") == spec.name), place, {"body": body})
     items = f"array<{spec.item_schema}>"
     is_array = F.col("body").startswith("[") & F.col("body").endswith("]")
     joined = join_arrays(F.col("body"))
@@ -174,8 +175,8 @@ def decode_pages(spec: FeedSpec, pages: DataFrame) -> DataFrame:
         if spec.cursor_field:
             cursor = _text(F.col(f"whole.{spec.cursor_field}"))
     return computed_once(
-        computed_once(page, ["feed", "page_no", "body"], parsed),
-        ["feed", "page_no"],
+        computed_once(page, [*place, "body"], parsed),
+        place,
         {
             "items": F.when(ok, F.coalesce(found, F.array().cast(items))).otherwise(F.array().cast(items)),
             "cursor": cursor,
@@ -185,20 +186,35 @@ def decode_pages(spec: FeedSpec, pages: DataFrame) -> DataFrame:
     )
 
 
-def landed_rows(spec: FeedSpec, pages: DataFrame, batch_time: str | Column) -> DataFrame:
-    """The items of one feed as pending bookmark rows, with all a later stage needs of their page.
-
-    Page columns are ``feed, page_no, bad, ends`` (the page is the last one a fetch would read) and
-    ``body`` (unreadable pages only); ``pos, ts`` place the item. A page without items keeps one
-    row with a NULL ``pos``.
-    """
-    decoded = decode_pages(spec, pages)
+def ends_fetch(spec: FeedSpec) -> Column:
+    """Whether a decoded page is readable and the last one a fetch would read."""
     ends = F.size("items") == 0
     if spec.page_size:
         ends = ends | (F.size("items") < spec.page_size)
     if spec.cursor_field:
         ends = ends | (F.col("cursor") == "")
-    items = decoded.select("feed", "page_no", "bad", (~F.col("bad") & ends).alias("ends"), "body", F.posexplode_outer("items"))
+    return ~F.col("bad") & ends
+
+
+def page_times(spec: FeedSpec, pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``(feed, page_no, *keep, bad, ends, secs)``: all that paging rules ask of a page, without its texts.
+
+    ``secs`` are the times of its items in whole seconds, NULL where an item has none.
+    """
+    secs = F.transform("items", lambda item: F.unix_seconds(spec.item_time(item)))
+    decoded = decode_pages(spec, pages, keep)
+    return decoded.select("feed", "page_no", *keep, "bad", ends_fetch(spec).alias("ends"), secs.alias("secs"))
+
+
+def landed_rows(spec: FeedSpec, pages: DataFrame, batch_time: str | Column, keep: Sequence[str] = ()) -> DataFrame:
+    """The items of one feed as pending bookmark rows, with all a later stage needs of their page.
+
+    Page columns are ``feed, page_no, bad, ends`` (the page is the last one a fetch would read) and
+    ``body`` (unreadable pages only); ``pos, ts`` place the item. A page without items keeps one
+    row with a NULL ``pos``. ``keep`` names further page columns, which ``batch_time`` may use.
+    """
+    decoded = decode_pages(spec, pages, keep)
+    items = decoded.select("feed", "page_no", *keep, "bad", ends_fetch(spec).alias("ends"), "body", F.posexplode_outer("items"))
     items = items.withColumnRenamed("col", "item").withColumn("ts", spec.item_time(F.col("item")))
     given = spec.fields(F.col("item"))
     values = {
@@ -212,15 +228,15 @@ def landed_rows(spec: FeedSpec, pages: DataFrame, batch_time: str | Column) -> D
         "scrape_status": F.lit(PENDING),
         "hidden": F.lit(False),
     }
-    return items.select(*PAGE_COLUMNS, *[values[c].alias(c) for c in BOOKMARK_COLUMNS])
+    return items.select(*PAGE_COLUMNS, *keep, *[values[c].alias(c) for c in BOOKMARK_COLUMNS])
 
 
 PAGE_COLUMNS = ("feed", "page_no", "bad", "ends", "body", "pos", "ts")
 
 
-def landed_feeds(specs: list[FeedSpec], pages: DataFrame, batch_time: str | Column) -> DataFrame:
+def landed_feeds(specs: list[FeedSpec], pages: DataFrame, batch_time: str | Column, keep: Sequence[str] = ()) -> DataFrame:
     """``landed_rows`` of several feeds; ``source_order`` is the place of the feed in the merge."""
-    parts = [landed_rows(spec, pages, batch_time).withColumn("source_order", F.lit(i)) for i, spec in enumerate(specs)]
+    parts = [landed_rows(spec, pages, batch_time, keep).withColumn("source_order", F.lit(i)) for i, spec in enumerate(specs)]
     return reduce(DataFrame.unionByName, parts)
 
 

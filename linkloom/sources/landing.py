@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import PAGE_SCHEMA
+from ..schema import FETCHED_PAGE_SCHEMA, PAGE_SCHEMA
 
 _FILE_SCHEMA = T.StructType(
     [
@@ -41,3 +43,20 @@ def stream_page_files(spark: SparkSession, root: str, files_per_batch: int = 100
 def stream_page_rows(spark: SparkSession, path: str, fmt: str = "json", files_per_batch: int = 1000) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)
+
+
+@dataclass
+class FetchedPages:
+    """Landed rows of ``(feed, page_no, body, fetched_at)``, to be streamed and to be read again."""
+
+    spark: SparkSession
+    path: str
+    fmt: str = "json"
+    files_per_batch: int = 1000
+
+    def stream(self) -> DataFrame:
+        reader = self.spark.readStream.format(self.fmt).schema(FETCHED_PAGE_SCHEMA)
+        return reader.option("maxFilesPerTrigger", self.files_per_batch).load(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.format(self.fmt).schema(FETCHED_PAGE_SCHEMA).load(self.path)

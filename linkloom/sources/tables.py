@@ -45,6 +45,17 @@ POSTING_SCHEMA = T.StructType(
 )
 ID_SCHEMA = T.StructType([T.StructField("id", T.StringType())])
 LENGTH_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("length", T.IntegerType())])
+FETCH_SCHEMA = T.StructType(
+    [
+        T.StructField("feed", T.StringType()),
+        T.StructField("fetched", T.LongType()),
+        T.StructField("page_no", T.IntegerType()),
+        T.StructField("upto", T.IntegerType()),
+        T.StructField("mark", T.LongType()),
+        T.StructField("newest", T.LongType()),
+        T.StructField("what", T.StringType()),
+    ]
+)
 
 DEFAULT_BUCKETS = 64
 
@@ -62,6 +73,8 @@ def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
         "postings_recent": TableSpec(POSTING_SCHEMA, "id", buckets, (), ("term",)),
         "stale_ids": TableSpec(ID_SCHEMA, "id", buckets),
         "doc_lengths": TableSpec(LENGTH_SCHEMA, "id", buckets),
+        # Decisions on fetches that a stream has not merged yet.
+        "fetch_log": TableSpec(FETCH_SCHEMA, "feed", 1),
     }
 
 
