@@ -58,7 +58,12 @@ def result_tsv() -> Column:
 def result_text(results: DataFrame, rank: str = "rank") -> DataFrame:
     """Numbered plain-text blocks, one row per result of an already cut ranking."""
     number = F.row_number().over(Window.orderBy(rank))
-    block = F.concat(
+    return results.select(number.alias("n"), text_block(number).alias("line"))
+
+
+def text_block(number: Column) -> Column:
+    """A result as a numbered block of plain text."""
+    return F.concat(
         F.format_string("%d. ", number),
         source_label(F.col("source")),
         F.lit(" "),
@@ -67,4 +72,3 @@ def result_text(results: DataFrame, rank: str = "rank") -> DataFrame:
         F.col("url"),
         F.when(F.col("summary") != "", F.concat(F.lit("\n   "), cli_summary(F.col("summary")))).otherwise(""),
     )
-    return results.select(number.alias("n"), block.alias("line"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_GAP, fold, prefix_count, query_tokens, token_count, token_text
@@ -165,7 +165,7 @@ def lead(term: Column) -> Column:
     return F.when(first.rlike("^[a-z0-9]$"), first).otherwise("_")
 
 
-def _prefix_filter(index: DataFrame, terms: Sequence[str]) -> DataFrame:
+def prefix_filter(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Posting rows that start with any of ``terms``; folder pruning plus a pushed prefix filter."""
     wanted = reduce(Column.__or__, [F.col("term").startswith(t) for t in terms])
     if "lead" in index.columns:
@@ -191,7 +191,7 @@ def search_index(
     if not terms:
         return index.sparkSession.createDataFrame([], "id string, score double, rank int")
     per_field = _field_weights(fields, weights)
-    rows = _prefix_filter(index, terms).filter(F.col("field").isin(list(per_field)))
+    rows = prefix_filter(index, terms).filter(F.col("field").isin(list(per_field)))
     weight = reduce(lambda c, fw: F.when(F.col("field") == fw[0], F.lit(fw[1])).otherwise(c), per_field.items(), F.lit(1.0))
     sums = []
     for i, t in enumerate(terms):
@@ -255,7 +255,7 @@ def search_batch(
 
     A common word sits in the postings of most bookmarks, so rows are never gathered by term: the
     query side is counted and broadcast, or salted by bookmark id when it is long, and counts are
-    combined before they are shuffled. The three steps that feed more than one other are written
+    combined before they are shuffled. A query is driven from its rarest term. The steps that feed more than one other are written
     to the shared folder, which also gives the planner their true sizes.
     """
     terms = query_terms(queries)
@@ -270,11 +270,21 @@ def search_batch(
     corpus = stats.select(F.struct("n", "mean_length"))
     weighed = terms.join(frequencies, "qterm").withColumn("corpus", corpus.scalar())
     weighed = stage(weighed.withColumn("weight", idf(F.col("corpus.n"), F.col("df"))), "weights")
-    per_term = sized_join(hits, weighed, "qterm", "id")
-    score = term_score(F.col("weight"), F.col("freq").cast("double"), F.col("length"), F.col("corpus.mean_length"))
+    rank = Window.partitionBy("query_id").orderBy("df", "pos")
+    placed = weighed.withColumn("place", F.row_number().over(rank))
+    found_terms = F.count("*").over(Window.partitionBy("query_id"))
+    placed = stage(placed.withColumn("known", found_terms).filter("known = n_terms").drop("known"), "places")
+    part = term_score(F.col("weight"), F.col("freq").cast("double"), F.col("length"), F.col("corpus.mean_length"))
+    # Only rows of a query's rarest term can match; the other terms are looked up for these.
+    rare = sized_join(hits, placed.filter("place = 1"), "qterm", "id").select("query_id", "id", part.alias("score"), "n_terms")
+    rest = placed.filter("place > 1").select("query_id", "qterm", "weight", "corpus")
+    asked = sized_join(rare.filter("n_terms > 1").select("query_id", "id"), rest, "query_id", "id")
+    others = asked.join(hits, ["qterm", "id"]).select("query_id", "id", part.alias("score"))
     scored = (
-        per_term.groupBy("query_id", "id")
-        .agg(F.sum(score).alias("score"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
+        rare.select("query_id", "id", "score", "n_terms")
+        .unionByName(others.withColumn("n_terms", F.lit(0)))
+        .groupBy("query_id", "id")
+        .agg(F.sum("score").alias("score"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
         .filter(F.col("found") == F.col("n_terms"))
         .join(hidden_ids.select("id"), "id", "left_anti")
     )

@@ -194,13 +194,26 @@ def _topk_broadcast(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, grouped = shared.value
+        best = pa.Table.from_batches([], _PAIR_ARROW)
         for batch in batches:
             if batch.num_rows and len(ids):
-                yield _block_result(batch.column("id"), batch.column("embedding"), ids, grouped, k)
+                found = _block_result(batch.column("id"), batch.column("embedding"), ids, grouped, k)
+                best = _best_of(pa.concat_tables([best, pa.Table.from_batches([found])]), k)
+        yield from best.to_batches()
 
     return rows.mapInArrow(score, _PAIR)
 
 
+def _best_of(pairs: pa.Table, k: int) -> pa.Table:
+    """The ``k`` best pairs of each query: what a task carries from batch to batch."""
+    order = [("query_id", "ascending"), ("score", "descending"), ("id", "ascending")]
+    pairs = pairs.take(pc.sort_indices(pairs, order)).combine_chunks()
+    ids = pairs.column("query_id").to_numpy(zero_copy_only=False).astype(str)
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.array([], int)
+    place = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
+    return pairs.filter(pa.array(place < k))
+
+
 def _topk_grid(rows: DataFrame, asked: DataFrame, n_queries: int, k: int) -> DataFrame:
     n_rows = rows.count()
     q_blocks = max(1, math.ceil(n_queries / BLOCK_QUERIES))

@@ -16,7 +16,7 @@ from ..functions.prompts import parse_response, render_prompt
 from ..functions.text import EMBED_BYTES, SCRAPE_BYTES, byte_cap, is_url_only_title, text_to_embed, title_from_content
 from ..operators import catalog, listing
 from ..schema import BOOKMARK_COLUMNS, FAILED, PENDING, SUCCESS
-from ..session import stage, timestamp
+from ..session import observed, stage, timestamp
 from ..sources.tables import TableStore
 from . import index as index_plan
 
@@ -201,6 +201,7 @@ def save_enriched(store: TableStore, done: DataFrame, batch_id: str) -> int:
         index_changes, index_touched = index_plan.changes_for(store, done.select("id"), bookmarks)
         changes |= index_changes
         touched |= index_touched
+    index_plan.with_codes(changes, touched)
     return store.commit(batch_id, changes, touched)
 
 
@@ -209,7 +210,7 @@ def _run(store: TableStore, rows: DataFrame, batch_id: str) -> DataFrame:
     seen = Observation()
     counters = [F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES]
     done = stage(rows.observe(seen, *counters), "enriched")
-    counts = [(name, n) for name, n in seen.get.items() if n]
+    counts = [(name, n) for name, n in observed(seen, OUTCOMES).items() if n]
     if counts:
         save_enriched(store, done, batch_id)
     return store.spark.createDataFrame(counts, "outcome string, n bigint")
@@ -264,5 +265,6 @@ def add_manual(store: TableStore, urls: Iterable[str], batch_time: str, batch_id
         index_changes, index_touched = index_plan.changes_for(store, done.select("id"), bookmarks)
         changes |= index_changes
         touched |= index_touched
+    index_plan.with_codes(changes, touched)
     store.commit(batch_id, changes, touched)
     return rejected

@@ -2,7 +2,9 @@
 
 ``postings`` is one large table sorted by term. A change of some bookmarks does not rewrite it:
 their ids go to ``stale_ids``, which hides their old postings, and their new postings go to
-``postings_recent``, bucketed by id. Building the index again folds both back in.
+``postings_recent``, bucketed by id. Building the index again folds both back in. ``prefix_blocks``
+bounds the scores of each block of ``postings``, and ``corpus_parts`` holds one row of sums per bucket
+of ``doc_lengths``, replaced together with its bucket, so no search reads the lengths.
 """
 
 from __future__ import annotations
@@ -10,15 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, fulltext
+from ..operators import blockmax, catalog, fulltext, quantised
 from ..operators.listing import read_state
 from ..schema import BOOKMARK_COLUMNS, INDEXED_FIELDS
+from ..session import stage
 from ..sources.tables import TableStore
 
 INDEX_VERSION_KEY = "index_version"
 
-# Changes whenever the indexed columns or the token rules change.
-INDEX_VERSION = "1:" + ",".join(INDEXED_FIELDS)
+# Changes whenever the indexed columns, the token rules or the layout change.
+INDEX_VERSION = "2:" + ",".join(INDEXED_FIELDS)
 
 
 def index_rows(bookmarks: DataFrame) -> DataFrame:
@@ -26,19 +29,35 @@ def index_rows(bookmarks: DataFrame) -> DataFrame:
     return rows.withColumn("lead", fulltext.lead(F.col("term")))
 
 
+def corpus_parts(store: TableStore, lengths: DataFrame) -> DataFrame:
+    """``(part, n, total_length)``: what each bucket of ``doc_lengths`` adds up to."""
+    part = store.bucket_of("doc_lengths").alias("part")
+    return lengths.groupBy(part).agg(F.count("*").alias("n"), F.sum("length").cast("bigint").alias("total_length"))
+
+
+def corpus_stats(parts: DataFrame) -> DataFrame:
+    """One row of ``n, mean_length`` from the parts."""
+    n, total = F.sum("n").cast("double"), F.sum("total_length").cast("double")
+    return parts.agg(F.coalesce(n, F.lit(0.0)).alias("n"), (total / n).alias("mean_length"))
+
+
 def is_current(store: TableStore) -> bool:
     return read_state(store.read("sync_state"), INDEX_VERSION_KEY).first().value == INDEX_VERSION
 
 
-def build_index(store: TableStore, batch_id: str) -> int:
+def build_index(store: TableStore, batch_id: str, block_rows: int = blockmax.BLOCK_ROWS) -> int:
     """Index every bookmark, hidden ones included. Page text is not read."""
     bookmarks = store.read("bookmarks")
+    rows = stage(blockmax.block_postings(bookmarks, block_rows), "postings")
+    lengths = fulltext.doc_lengths(bookmarks)
     version = store.spark.createDataFrame([(INDEX_VERSION_KEY, INDEX_VERSION)], "key string, value string")
     changes = {
-        "postings": index_rows(bookmarks),
+        "postings": rows,
+        "prefix_blocks": blockmax.prefix_blocks(rows),
         "postings_recent": store.empty("postings_recent"),
         "stale_ids": store.empty("stale_ids"),
-        "doc_lengths": fulltext.doc_lengths(bookmarks),
+        "doc_lengths": lengths,
+        "corpus_parts": corpus_parts(store, lengths),
         "sync_state": catalog.put_state(store.read("sync_state"), version),
     }
     return store.commit(batch_id, changes)
@@ -60,7 +79,8 @@ def recent_postings(recent: DataFrame, changed_ids: DataFrame, bookmarks: DataFr
     ``bookmarks`` holds the next state of at least these rows; ids it lacks leave the index.
     """
     now = bookmarks.join(changed_ids.select("id").distinct(), "id", "left_semi").select(*BOOKMARK_COLUMNS)
-    return catalog.delete_ids(recent, changed_ids).unionByName(index_rows(now).select(*recent.columns))
+    rows = index_rows(now).withColumn("block", F.lit(None).cast("int"))
+    return catalog.delete_ids(recent, changed_ids).unionByName(rows.select(*recent.columns))
 
 
 def changes_for(
@@ -70,15 +90,25 @@ def changes_for(
     ids = changed_ids.select("id").distinct()
     now = bookmarks.join(ids, "id", "left_semi")
     buckets = store.touched("doc_lengths", ids)
-    lengths = catalog.delete_ids(store.read("doc_lengths", buckets), ids)
+    lengths = catalog.delete_ids(store.read("doc_lengths", buckets), ids).unionByName(fulltext.doc_lengths(now))
+    lengths = stage(lengths, "lengths")
     changes = {
         "postings_recent": recent_postings(store.read("postings_recent", buckets), ids, bookmarks),
         "stale_ids": store.read("stale_ids", buckets).union(ids).distinct(),
-        "doc_lengths": lengths.unionByName(fulltext.doc_lengths(now)),
+        "doc_lengths": lengths,
+        "corpus_parts": corpus_parts(store, lengths),
     }
     return changes, dict.fromkeys(changes, buckets)
 
 
+def with_codes(changes: dict[str, DataFrame], touched: dict[str, list[int]] | None = None) -> None:
+    """Adds the codes of changed vectors to a commit, for the same buckets."""
+    if "vectors" in changes:
+        changes["vector_codes"] = quantised.codes(changes["vectors"])
+        if touched and "vectors" in touched:
+            touched["vector_codes"] = touched["vectors"]
+
+
 def update_index(store: TableStore, changed_ids: DataFrame, batch_id: str) -> int:
     """Bring the index up to date for some stored bookmarks."""
     changes, touched = changes_for(store, changed_ids, store.read("bookmarks"))
@@ -88,4 +118,10 @@ def update_index(store: TableStore, changed_ids: DataFrame, batch_id: str) -> in
 def open_index(store: TableStore) -> tuple[DataFrame, DataFrame]:
     """``(postings, corpus_stats)`` as the search jobs take them."""
     live = live_postings(store.read("postings"), store.read("postings_recent"), store.read("stale_ids"))
-    return live, fulltext.corpus_stats(store.read("doc_lengths"))
+    return live, corpus_stats(store.read("corpus_parts"))
+
+
+def open_blocks(store: TableStore) -> tuple[blockmax.BlockIndex, DataFrame]:
+    """``(block index, corpus_stats)`` for searches that read the blocks they need."""
+    tables = [store.read(name) for name in ("postings", "prefix_blocks", "stale_ids", "postings_recent")]
+    return blockmax.BlockIndex(*tables), corpus_stats(store.read("corpus_parts"))

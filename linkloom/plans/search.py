@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, vectors
+from ..operators import blockmax, fulltext, vectors
 from ..operators.fusion import reciprocal_rank_fusion, top_ranked, top_ranked_by_query
 from ..operators.listing import hidden_ids, list_recent
 
@@ -41,14 +41,16 @@ def fused_ranking(
     limit: int = RESULT_LIMIT,
     candidates: int = CANDIDATES,
     include_hidden: bool = False,
-    index: tuple[DataFrame, DataFrame] | None = None,
+    index: tuple[DataFrame | blockmax.BlockIndex, DataFrame] | None = None,
 ) -> DataFrame:
     """``(id, score, rank)`` of a text leg and, when a query vector is given, a vector leg.
 
-    ``index`` is ``(postings, corpus_stats)``; without it the text leg scans the bookmarks.
+    ``index`` is ``(postings or block index, corpus_stats)``; without it the text leg scans the bookmarks.
     """
     if index is None:
         legs = [fulltext.search_scan(bookmarks, query, candidates)]
+    elif isinstance(index[0], blockmax.BlockIndex):
+        legs = [blockmax.search_blockmax(*index, hidden_ids(bookmarks), query, candidates)[0]]
     else:
         legs = [fulltext.search_index(*index, hidden_ids(bookmarks), query, candidates)]
     if vector_table is not None and query_vector is not None:

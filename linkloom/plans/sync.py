@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, incremental
 from ..operators.listing import is_stale
 from ..schema import BOOKMARK_COLUMNS, LAST_REFRESH_KEY
-from ..session import stage
+from ..session import observed, stage
 from ..sources import feeds as feed_source
 from ..sources.feeds import BATCH_ORDER, FeedSpec
 from ..sources.tables import TableStore
@@ -183,9 +183,10 @@ def publish(
         index_changes, index_touched = index_plan.changes_for(store, stage(changed, "changed"), merged)
         changes |= index_changes
         touched |= index_touched
+    index_plan.with_codes(changes, touched)
     store.commit(batch_id, changes, touched)
     if plain:
-        total, new = seen.get, added.get
+        total, new = (observed(counters, [s.name for s in specs]) for counters in (seen, added))
         counts = [(s.name, new[s.name], total[s.name] - new[s.name]) for s in specs if total[s.name]]
     stats = store.spark.createDataFrame(counts, "source string, new_items bigint, skipped_items bigint")
     return SyncResult(stats=stats, new_items=sum(c[1] for c in counts))
@@ -229,6 +230,7 @@ def remove(store: TableStore, ids: DataFrame, batch_id: str) -> int:
         index_changes, index_touched = index_plan.changes_for(store, ids, bookmarks)
         changes |= index_changes
         touched |= index_touched
+    index_plan.with_codes(changes, touched)
     return store.commit(batch_id, changes, touched)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +63,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(seen: Observation, names: list[str]) -> dict[str, int]:
+    """The counters of an observed DataFrame whose job has ended.
+
+    The optimizer cuts a part of a plan that turns out to have no rows, and its counters with it; they are 0.
+    """
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` cut finer when their scan has fewer splits than the cluster has task slots.
 

@@ -31,6 +31,8 @@ class TableSpec:
     ranged: bool = False
     # Columns with a Bloom filter per row group, for point reads.
     bloom: tuple[str, ...] = ()
+    # The key is the number of the bucket itself.
+    keyed_by_bucket: bool = False
 
 
 POSTING_SCHEMA = T.StructType(
@@ -41,10 +43,34 @@ POSTING_SCHEMA = T.StructType(
         T.StructField("tf", T.IntegerType()),
         T.StructField("length", T.IntegerType()),
         T.StructField("lead", T.StringType()),
+        T.StructField("block", T.IntegerType()),
+    ]
+)
+BLOCK_SCHEMA = T.StructType(
+    [
+        T.StructField("lead", T.StringType()),
+        T.StructField("prefix", T.StringType()),
+        T.StructField("block", T.IntegerType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("max_freq", T.LongType()),
+        T.StructField("min_length", T.IntegerType()),
     ]
 )
 ID_SCHEMA = T.StructType([T.StructField("id", T.StringType())])
 LENGTH_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("length", T.IntegerType())])
+# A vector in one byte per entry, see ``operators.quantised``.
+CODE_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("scale", T.DoubleType()),
+        T.StructField("error", T.DoubleType()),
+        T.StructField("codes", T.BinaryType()),
+    ]
+)
+PART_SCHEMA = T.StructType(
+    [T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total_length", T.LongType())]
+)
 FETCH_SCHEMA = T.StructType(
     [
         T.StructField("feed", T.StringType()),
@@ -68,11 +94,15 @@ def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
     return {
         "bookmarks": TableSpec(BOOKMARK_SCHEMA, "url", buckets, ("source",), ("id",), bloom=("id", "url")),
         "vectors": TableSpec(VECTOR_SCHEMA, "id", buckets, (), ("id",), bloom=("id",)),
+        "vector_codes": TableSpec(CODE_SCHEMA, "id", buckets),
         "sync_state": TableSpec(SYNC_STATE_SCHEMA, "key", 1),
-        "postings": TableSpec(POSTING_SCHEMA, "term", 1, ("lead",), ("lead", "term", "id"), ranged=True),
+        "postings": TableSpec(POSTING_SCHEMA, "term", 1, ("lead",), ("lead", "term", "block", "id"), ranged=True),
+        "prefix_blocks": TableSpec(BLOCK_SCHEMA, "prefix", 1, ("lead",), ("lead", "prefix", "block"), ranged=True),
         "postings_recent": TableSpec(POSTING_SCHEMA, "id", buckets, (), ("term",)),
         "stale_ids": TableSpec(ID_SCHEMA, "id", buckets),
         "doc_lengths": TableSpec(LENGTH_SCHEMA, "id", buckets),
+        # What each bucket of ``doc_lengths`` adds to the corpus statistics.
+        "corpus_parts": TableSpec(PART_SCHEMA, "part", buckets, keyed_by_bucket=True),
         # Decisions on fetches that a stream has not merged yet.
         "fetch_log": TableSpec(FETCH_SCHEMA, "feed", 1),
     }
@@ -128,6 +158,8 @@ class TableStore:
     def bucket_of(self, name: str, key: Column | None = None) -> Column:
         spec = self.tables[name]
         key = F.col(spec.key) if key is None else key
+        if spec.keyed_by_bucket:
+            return key.cast("int")
         buckets = self.snapshot().buckets.get(name, spec.buckets)
         return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
