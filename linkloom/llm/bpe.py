@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, map_batches
+from .common import map_batches
 
 #: Fixed values of the vocabulary's format: the end-of-word mark and the split into words. White space is
 #: spelt out, because libraries differ over a few control characters.
@@ -24,6 +24,10 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Longest chunk between white space that a worker remembers.
 MEMO_CHUNK = 48
+#: Entries of a memo: some 30 MB of short strings and their tokens.
+MEMO_CHUNKS = 120_000
+#: Pairs of tokens whose compatibility a worker remembers, some 20 MB.
+MEMO_PAIRS = 200_000
 #: Characters that Python's split takes for white space and the vocabulary's split does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -46,7 +50,8 @@ class Vocabulary:
 
     tokens: list[str]
     special: dict[str, int]
-    merges: list[tuple[str, str]]
+    #: A row per merge: the numbers of its two tokens and of the token made.
+    merges: np.ndarray
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -59,18 +64,22 @@ class Vocabulary:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, number in special.items():
             tokens[number] = content
-        return cls(tokens, special, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        number = model["vocab"]
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        return cls(tokens, special, np.array([(number[a], number[b], number[a + b]) for a, b in pairs], np.int32).reshape(-1, 3))
 
     @cached_property
-    def rank_of_pair(self) -> dict[tuple[int, int], int]:
-        """Rank of the merge of two tokens; ids and ranks run in the same order."""
-        number = {t: i for i, t in enumerate(self.tokens)}
-        return {(number[a], number[b]): number[a + b] for a, b in self.merges}
+    def rank_of_pair(self) -> dict[int, int]:
+        """Rank of the merge of two tokens, by ``pair``; ids and ranks run in the same order."""
+        return {left * len(self.tokens) + right: made for left, right, made in self.merges.tolist()}
 
     @cached_property
-    def halves(self) -> dict[int, tuple[int, int]]:
-        """The two tokens each merged token was made of."""
-        return {made: pair for pair, made in self.rank_of_pair.items()}
+    def halves(self) -> tuple[list[int], list[int]]:
+        """The two tokens each merged token was made of; -1 for a token that is whole."""
+        left, right = ([-1] * len(self.tokens) for _ in range(2))
+        for a, b, made in self.merges.tolist():
+            left[made], right[made] = a, b
+        return left, right
 
     @cached_property
     def spelling(self) -> dict[str, int]:
@@ -100,7 +109,7 @@ class Decoder:
 
 
 class Memo:
-    """The values of short strings seen lately: two generations of bounded size."""
+    """The values of short strings seen lately: two generations of ``MEMO_CHUNKS`` entries together."""
 
     def __init__(self) -> None:
         self.young: dict = {}
@@ -114,7 +123,7 @@ class Memo:
 
     def add(self, key: str, value) -> None:
         if len(key) <= MEMO_CHUNK:
-            if len(self.young) >= MEMO_ENTRIES // 2:
+            if len(self.young) >= MEMO_CHUNKS // 2:
                 self.old, kept = self.young.copy(), self.young
                 kept.clear()  # emptied in place: readers hold on to it
             self.young[key] = value
@@ -125,10 +134,11 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.halves, self.rank = vocabulary.halves, vocabulary.rank_of_pair
+        (self.left_half, self.right_half), self.rank = vocabulary.halves, vocabulary.rank_of_pair
         self.decoder = Decoder(vocabulary)
-        self.fits_memo: dict[tuple[int, int], bool] = {}
-        self.lengths = [0] * len(vocabulary.tokens)
+        self.size = len(vocabulary.tokens)
+        self.pairs: dict[int, bool] = {}
+        self.lengths = [0] * self.size
         self.matcher = ahocorasick.Automaton()
         for letters, number in vocabulary.spelling.items():
             self.lengths[number] = len(letters)
@@ -144,26 +154,27 @@ class Encoder:
         Walks both tokens apart along their seam, latest merge first. If a pair of parts that touch at the
         seam would have merged before the parts themselves were used up, the seam does not survive.
         """
-        known = self.fits_memo.get((left, right))
+        pair = left * self.size + right
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.fits_memo) > 4 * MEMO_ENTRIES:
-                self.fits_memo.clear()
-            known = self.fits_memo[left, right] = self._seam_holds(left, right)
+            if len(self.pairs) >= MEMO_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[pair] = self._seam_holds(left, right)
         return known
 
     def _seam_holds(self, left: int, right: int) -> bool:
-        used = len(self.vocabulary.tokens)  # rank at which the current parts were merged away
+        used = self.size  # rank at which the current parts were merged away
         while True:
-            if self.rank.get((left, right), used) < used:
+            if self.rank.get(left * self.size + right, used) < used:
                 return False
-            whole_left, whole_right = left not in self.halves, right not in self.halves
+            whole_left, whole_right = self.left_half[left] < 0, self.left_half[right] < 0
             if whole_left and whole_right:
                 return True
             # undo the later of the two merges; on the left side a merge of equal rank comes first
             if whole_right or not whole_left and left > right:
-                used, left = left, self.halves[left][1]
+                used, left = left, self.right_half[left]
             else:
-                used, right = right + 1, self.halves[right][0]
+                used, right = right + 1, self.left_half[right]
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one word given as its UTF-8 bytes."""

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import stage
 
 #: Entries a Python worker keeps for words it has already seen; the memo is emptied when full.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 #: Input of one step in a Python worker, on average: what a step holds at once is a multiple of it.
 BATCH_BYTES = 4 << 20
 
@@ -46,6 +46,7 @@ def map_batches(rows: DataFrame, transform: Callable[[], Callable[[pa.RecordBatc
                 batch = whole.slice(at, rows)
                 columns = [pa.array(values, type=field.type) for values, field in zip(step(batch), arrow)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        pa.default_memory_pool().release_unused()  # a worker lives on and would keep the most it ever held
 
     return rows.mapInArrow(run, fields)
 
@@ -53,24 +54,44 @@ def map_batches(rows: DataFrame, transform: Callable[[], Callable[[pa.RecordBatc
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from every node that has an edge.
 
-    ``edges(a, b)`` holds links between comparable ids. Each round takes the smallest label among the
-    neighbours and then follows the label's own label, so a chain of length n needs about log n rounds.
-    A round is written to the shared folder, which cuts the lineage in a way that outlives executors.
+    ``edges(a, b)`` holds links between comparable ids. A node's label is a member of its component that is no larger.
+    In a round every label learns the smallest label that a neighbour of any node under it has, so whole trees are
+    hooked to smaller ones whatever way the ids run along a path, and then labels are followed until they are
+    roots. At least every other tree of a component that is not yet one is hooked in a round, so n nodes need about
+    log n rounds. A round is written to the shared folder, which cuts the lineage in a way that outlives executors.
     Repeated edges, loops and both directions are allowed; no edges give no rows. Returns ``node, root``.
     """
-    both = stage(
-        edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "links"
-    )
+    return labelled(edges)[0]
+
+
+def labelled(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``components`` and the number of rounds it took."""
+    open_edges = stage(edges.select("a", "b").where("a <> b").distinct(), "links")
+    both = open_edges.union(open_edges.select("b", "a")).toDF("a", "b")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    labels, rounds = _followed(labels), 0
+    while True:
+        # Between trees only: an edge whose ends have one root is settled and leaves the table for good.
+        ends = open_edges.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").where("x <> y")
+        open_edges = stage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "open-links")
+        if open_edges.isEmpty():
+            return labels.select("node", F.col("label").alias("root")), rounds
+        rounds += 1
+        between = open_edges.union(open_edges.select("b", "a")).toDF("a", "b")
+        hooks = between.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        hooks = hooks.select("node", F.least("node", "near").alias("label"))
+        # A root that is smaller than all its neighbours stays; the others hang below one of theirs.
+        roots = _followed(stage(hooks, "hooks"))
+        moved = labels.join(roots.toDF("label", "root"), "label", "left")
+        labels = stage(moved.select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _followed(labels: DataFrame) -> DataFrame:
+    """Every label replaced by the label of its label until that is its own: paths halve in each step."""
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("via"))
-        roots = labels.select(F.col("node").alias("via"), F.col("label").alias("root"))
-        moved = stage(hooked.join(roots, "via").select("node", F.least("via", "root").alias("label"), "was"), "labels")
+        above = labels.toDF("label", "next")
+        moved = labels.join(above, "label", "left").select("node", F.coalesce("next", "label").alias("label"), F.col("label").alias("was"))
+        moved = stage(moved, "followed")
         if moved.where("label <> was").isEmpty():
-            return moved.select("node", F.col("label").alias("root"))
+            return labels
         labels = moved.select("node", "label")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -110,20 +110,27 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def _most_frequent(totals: DataFrame) -> list:
     """The kept items of each language and size, with the sum of all counts of that language and size.
 
-    The cut is by count: all items above the count at which the limit is reached. Counts are grouped
-    first, so that no task sees all the items of a language.
+    The cut is by count, and among items of the count at which the limit is reached by code point. Counts are
+    grouped first, so that only those of that one count are numbered; the sample bounds them.
     """
-    from pyspark.sql import Window
-
     limit = F.when(F.col("size") == 0, KEPT_WORDS).otherwise(KEPT_GRAMS)
     groups = totals.groupBy("lang", "size", "n").agg(F.count("*").alias("items"))
     falling = Window.partitionBy("lang", "size").orderBy(F.desc("n"))
     cuts = (
         groups.withColumn("upto", F.sum("items").over(falling))
         .groupBy("lang", "size")
-        .agg(F.min(F.when(F.col("upto") <= limit, F.col("n"))).alias("least"), F.sum(F.col("n") * F.col("items")).alias("total"))
+        .agg(
+            F.max(F.when(F.col("upto") > limit, F.col("n"))).alias("edge"),
+            F.coalesce(F.max(F.when(F.col("upto") <= limit, F.col("upto"))), F.lit(0)).alias("above"),
+            F.sum(F.col("n") * F.col("items")).alias("total"),
+        )
     )
-    return totals.join(cuts, ["lang", "size"]).where("n >= least").select("lang", "size", "item", "n", "total").collect()
+    cut = totals.join(cuts, ["lang", "size"])
+    whole = cut.where("edge IS NULL OR n > edge")
+    by_item = Window.partitionBy("lang", "size").orderBy("item")
+    tied = cut.where("n = edge").withColumn("place", F.row_number().over(by_item)).where(F.col("place") <= limit - F.col("above"))
+    names = ["lang", "size", "item", "n", "total"]
+    return whole.select(*names).union(tied.select(*names)).collect()
 
 
 def _profiles(kept: list) -> Profiles:

@@ -274,7 +274,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     are treated alike. Columns of ``docs`` with the new names are replaced; all others stay.
     """
     names = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(_place(key, text), F.col(text).alias("text"), F.struct(*names).alias("row"))
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c != text]  # the text travels once
+    rows = docs.select(_place(key, text), F.col(text).alias("text"), F.struct(F.lit(0).alias("k"), *others).alias("row"))
     equal = stage(repeated_places(rows.select("doc", "text")), "equal-lines")
     lines = split_lines("text")
     kept = rows.join(_small(equal), "doc", "left").select(
@@ -288,7 +289,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     changes = stage(near.join(ends, "doc", "full"), "near-lines")
     body = F.when(F.col("text").isNotNull(), _without(split_lines("text"), F.col("dropped"))).alias(text)
     found = kept.join(_small(changes), "doc", "left")
-    columns = [body if c == text else F.col(f"row.{c}") for c in names]
+    columns = [body if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)]
     n_links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     return found.select(*columns, "n_lines", "n_equal", _count("dropped").alias("n_near"), n_links)
 

@@ -79,7 +79,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         for kind in pii.BASE_KINDS
     ]
     base = F.sha2(pii.listed("spans", base_only=True), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, pii.listed("spans").alias("spans"))
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, base, pii.listed("spans").alias("spans"), secrets, every)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,7 +193,7 @@ def _calibrated(model: ToxicityModel, held: DataFrame, sizes: dict[int, int]) ->
             for text in batch.column(0).to_pylist():
                 scores = reader.scores(text)
                 lengths.append(len(scores))
-                sums.append(sorted((x[2] for x in maximal_segments(scores)), reverse=True)[:64])
+                sums.append(sorted((x[2] for x in maximal_segments(scores)), reverse=True))
                 tallies.append(np.histogram(scores, bins=200, range=(-LARGEST - DRIFT, LARGEST))[0].tolist())
             return [labels, lengths, sums, tallies]
 

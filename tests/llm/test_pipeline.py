@@ -12,27 +12,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from linkloom.llm import shingles
-
 from .conftest import SF_DIR
-from .test_text_operators import plain_distance
+from .test_text_operators import plain_distance, plain_fingerprint
 
 near_stage = dict(corpus_pipeline.STAGES)["near_copies"]
 
 
-def plain_shingles(text):
-    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
-
-
 def plain_kept(rows):
     """Of each group of linked rows the first by (id is null, id)."""
-    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+    prints, root = [plain_fingerprint(t or "") for _, t in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] | sets[j])
-            if not both or len(sets[i] & sets[j]) / both >= 0.8:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     groups = {}
@@ -48,16 +39,16 @@ def edited_copies():
         words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([60, 120, 300]))]
         for _ in range(6):
             changed = list(words)
-            for _ in range(draw.randrange(len(words) // 30 + 1)):
+            for _ in range(draw.randrange(len(words) // 60 + 1)):
                 changed[draw.randrange(len(words))] = f"v{draw.randrange(5000)}"
             rows.append((len(rows) + 1, " ".join(changed)))
     draw.shuffle(rows)
     return rows
 
 
-@pytest.mark.parametrize("tile_rows", [2, 512])
-def test_near_copies_at_four_fifths(spark, monkeypatch, tile_rows):
-    monkeypatch.setattr(shingles, "TILE_ROWS", tile_rows)
+@pytest.mark.parametrize("few_keys", [0, 1_000_000])
+def test_near_copies_by_fingerprint(spark, monkeypatch, few_keys):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", few_keys)
     rows = edited_copies()
     want = [first for first, _ in plain_kept(rows)]
     kept = near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR).collect()
@@ -66,10 +57,10 @@ def test_near_copies_at_four_fifths(spark, monkeypatch, tile_rows):
 
 def test_one_row_of_each_group(spark):
     texts = {n: " ".join(f"{n}{i}" for i in range(40)) for n in "abcde"}
-    near = texts["a"].replace("a39", "z")
+    near = texts["a"] + "\t\n"
     rows = [
         (3, texts["a"], "x"), (3, texts["a"], "x"), (3, texts["a"], "y"), (None, near, "x"), (4, near, "x"), (None, texts["b"], "x"), (None, texts["b"], "x"),
-        (None, texts["c"], "x"), (5, texts["d"], None), (5, texts["e"], None), (6, texts["d"] + " more", "x"), (7, None, "x"), (8, "", "x"), (None, " ", "x"),
+        (None, texts["c"], "x"), (5, texts["d"], None), (5, texts["e"], None), (6, texts["d"].upper(), "x"), (7, None, "x"), (8, "", "x"), (None, " ", "x"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = [(r["doc_id"], r["text"]) for r in near_stage(spark, docs, SF_DIR).collect()]

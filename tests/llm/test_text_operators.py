@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from linkloom.llm import bpe, langid, lines, mixing, queries, simhash, toxicity
-from linkloom.llm.common import components
+from linkloom.llm.common import components, labelled
 
 from .conftest import SF_DIR
 
@@ -38,6 +38,26 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+@pytest.mark.parametrize("half", [16, 200])
+def test_components_of_a_two_sided_chain(spark, half):
+    """Ids rise along one half of the chain and fall along the other: a label would have to walk all of it."""
+    path = list(range(half, 2 * half)) + list(range(half - 1, -1, -1))
+    chain = spark.createDataFrame([(a, b) for a, b in zip(path, path[1:])], "a long, b long")
+    found, rounds = labelled(chain)
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(n, 0) for n in path}
+    assert rounds <= 2 + np.log2(2 * half)
+
+
+def test_components_of_random_paths(spark):
+    draw = random.Random(3)
+    nodes = list(range(300))
+    draw.shuffle(nodes)
+    links = [(a, b) for a, b in zip(nodes, nodes[1:]) if draw.random() < 0.9]
+    found, rounds = labelled(spark.createDataFrame(links, "a long, b long"))
+    root = plain_components({n for link in links for n in link}, links)
+    assert {r["node"]: r["root"] for r in found.collect()} == root and rounds <= 10
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (5, 5), (4, 3)]
     found = components(spark.createDataFrame(links, "a long, b long"))
@@ -128,6 +148,14 @@ def test_langid_odd_rows(spark, odd_documents):
     assert langid.predict(odd_documents.limit(0), profiles).isEmpty()
 
 
+def test_ties_at_the_limit_go_by_code_point(spark, monkeypatch):
+    monkeypatch.setattr(langid, "KEPT_WORDS", 5)
+    rows = [(1, "often often b é a", "x"), (2, "z ü often c twice twice", "x"), (3, "one two", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = langid.learn(docs).places[0]
+    assert set(known) == {"often", "twice", "a", "b", "c", "one", "two"}
+
+
 def test_unseen_word_backs_off():
     profiles = langid.Profiles(("a", "b"), ({"known": 0}, {}, {" z": 1}, {}, {}, {}), np.array([[0.0, -9.0], [-9.0, 0.0], [0.0, 0.0]]))
     assert profiles.evidence("known") == [0] and profiles.evidence("zebra") == [1] and profiles.evidence("qq") == [2]
