@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, langid, lines, mixing, shingles
+from linkloom.llm import bpe, langid, lines, mixing, simhash
 from linkloom.llm.common import table
 from linkloom.llm.queries import quality_weights
 from linkloom.session import stage
@@ -30,32 +30,41 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+#: Keys of rows up to this number (some 60 MB) are broadcast after a count; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more).
+    """Keeps one row of each group that the SimHash operator links (three-word shingles, two differing bits).
 
     It is the row with the smallest id; a null id comes last, so a group of null ids keeps one of its rows and
-    other groups are not touched by it. Rows that repeat an id are told apart by a hash of the text and one of
-    the whole row; of rows that are equal throughout one stays.
+    other groups are not touched by it. Rows that repeat an id are told apart by a hash of the whole row; of rows
+    that are equal throughout one stays. Null, empty and wordless texts are one group. No rows give no rows.
     """
-    key = shingles.text_key("text")
-    rows = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(key, ("h", "g"))], F.xxhash64(*docs.columns).alias("_row"))
-    near = shingles.near_copies(docs).toDF("_h", "_g", "root")
-    counted = rows.groupBy("_h", "_g", "doc_id", "_row").agg(F.count("*").alias("n"))
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "_g", "_row", "n")).alias("first")
-    first = counted.groupBy("_h", "_g").agg(place).join(near, ["_h", "_g"]).groupBy("root").agg(F.min("first").alias("first"))
-    first = stage(first.select("first._h", "first._g", "first._row", F.col("first.doc_id").alias("_id"), "first.n"), "first-rows")
-    met = lambda chosen: rows.join(chosen, ["_h", "_g", "_row"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
-    return met(first.where("n = 1")).union(met(first.where("n > 1")).dropDuplicates())
+    hashes = [F.xxhash64(*docs.columns).alias("h"), F.xxhash64(F.lit("g"), *docs.columns).alias("g")]
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), *hashes)
+    rows = docs.withColumn("_place", place)
+    found = simhash.near_copies(rows.select("_place", "text"), key="_place")
+    kept = F.col("_place") == F.col("component_id")
+    marked = found.groupBy("_place").agg(F.bool_and(kept).alias("kept"), F.count("*").alias("n"))
+    # Only what goes, and rows that repeat each other, are looked up; all others pass without a shuffle of texts.
+    marked = stage(marked.where("NOT kept OR n > 1").select("_place", "kept"), "other-rows")
+    known = F.broadcast(marked) if marked.count() <= BROADCAST_KEYS else marked
+    single = rows.join(known.select("_place"), "_place", "left_anti")
+    repeated = rows.join(known.where("kept").select("_place"), "_place", "left_semi").dropDuplicates(["_place"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; rows that repeat an id are mixed one by one, and a null source
+    is a source. Documents without words are taken as their source's epochs have it. No rows give no rows."""
     mixed = mixing.mix(docs, quality=quality_weights(table(spark, sf_dir, "labels")))
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of the ids and of what they decode to."""
+    """Token ids of every document, and digests of the ids and of what they decode to. A null text has no tokens;
+    repeated ids stay separate rows. No rows give no rows."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(docs, vocabulary, keep_ids=True)
 
