@@ -16,7 +16,7 @@ from ..operators import catalog, incremental, listing
 from ..plans.sync import sync
 from ..schema import BOOKMARK_COLUMNS, LAST_REFRESH_KEY
 from ..session import scratch_path
-from ..sources import feeds, landing
+from ..sources import feeds, landing, page_source
 from ..sources.tables import TableStore, default_tables
 from ..streaming import sync as stream
 from .browse import NOW_SQL, _slim, _slim_sql
@@ -306,6 +306,32 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("url string").parquet(out)
 
 
+# --- feeds as a data source -------------------------------------------------------------------
+
+
+def _served_pages(spark: SparkSession, sf_dir: str) -> str:
+    """The format that serves all pages from a folder with one file per page."""
+    path = scratch_path(spark, "served")
+    all_pages(spark, sf_dir).repartition("feed", "page_no").write.partitionBy("feed", "page_no").text(path)
+    return page_source.register(spark, page_source.FolderClient(path))
+
+
+def feed_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feed_union`` on pages that come out of the data source."""
+    pages = spark.read.format(_served_pages(spark, sf_dir)).load()
+    landed = feeds.landed_feeds(feeds.select_feeds(feeds.FEEDS), pages, BATCH_TIME)
+    batch = catalog.collapse_batch(feeds.reachable(landed), feeds.BATCH_ORDER)
+    return _slim(catalog.new_rows(_empty(spark), batch, BATCH_TIME))
+
+
+def feed_source_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages synced by a stream whose offsets are page numbers."""
+    store = new_store(spark)
+    pages = spark.readStream.format(_served_pages(spark, sf_dir)).load()
+    stream.stream_sync(pages, store, "served", clock=lambda: BATCH_TIME).awaitTermination()
+    return _slim(store.read("bookmarks"))
+
+
 # --- two fetches as a stream ------------------------------------------------------------------
 
 FETCHES = ("2024-06-01 12:00:00", "2024-06-02 12:00:00")
@@ -521,6 +547,8 @@ QUERIES = {
     "stream_first_seen": stream_first_seen,
     "stream_sync_fetches": stream_sync_fetches,
     "sync_fetches": sync_fetches,
+    "feed_source_scan": feed_source_scan,
+    "feed_source_stream": feed_source_stream,
 }
 
 ORACLE = {
@@ -561,5 +589,7 @@ UNION ALL SELECT 'missing', true UNION ALL SELECT 'broken', true""",
     "stream_sync": _UNION_SQL,
     "stream_sync_fetches": _TWO_FETCHES_SQL,
     "sync_fetches": _TWO_FETCHES_SQL,
+    "feed_source_scan": _UNION_SQL,
+    "feed_source_stream": _UNION_SQL,
     "stream_first_seen": f"WITH {_EVENT_ROWS} SELECT DISTINCT url FROM rows",
 }
