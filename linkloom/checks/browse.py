@@ -133,7 +133,7 @@ def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("summary"),
         F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("notes"),
     )
-    return _slim(catalog.apply_edits(bookmarks(spark, sf_dir), edits, BATCH_TIME))
+    return _slim(catalog.apply_edits(bookmarks(spark, sf_dir), edits, BATCH_TIME, catalog.EDIT_LIMITS))
 
 
 def manual_add(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,8 +117,8 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir)
     return rows.select(
         "doc_id",
-        F.md5(prompts.render_prompt(F.col("text"))).alias("default_prompt"),
-        F.md5(prompts.render_prompt(F.col("text"), TEMPLATE)).alias("own_prompt"),
+        F.md5(prompts.render_prompt(F.col("text"), None, prompts.PROMPT_BYTES)).alias("default_prompt"),
+        F.md5(prompts.render_prompt(F.col("text"), TEMPLATE, prompts.PROMPT_BYTES)).alias("own_prompt"),
     )
 
 

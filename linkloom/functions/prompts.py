@@ -18,13 +18,17 @@ DEFAULT_PROMPT = (
 )
 
 
-def render_prompt(content: Column, template: str | None = None) -> Column:
-    """The template with its ``%s`` replaced by the byte-capped content."""
+#: Page text in a prompt for models that take short prompts only.
+PROMPT_BYTES = MODEL_BYTES
+
+
+def render_prompt(content: Column, template: str | None = None, limit: int | None = None) -> Column:
+    """The template with its ``%s`` replaced by the content, cut to ``limit`` bytes if there is one."""
     template = template or DEFAULT_PROMPT
     if template.count("%s") != 1:
         raise ValueError("a prompt template needs exactly one %s")
     head, tail = template.split("%s")
-    return F.concat(F.lit(head), byte_cap(content, MODEL_BYTES), F.lit(tail))
+    return F.concat(F.lit(head), content if limit is None else byte_cap(content, limit), F.lit(tail))
 
 
 def _last_line(lines: Column, label: str) -> Column:

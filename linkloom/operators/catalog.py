@@ -11,7 +11,7 @@ from ..session import timestamp
 
 CONTENT_COLUMNS = ("title", "summary", "keywords", "notes", "raw_content")
 
-# Longest user-editable values, in characters.
+# Longest user-editable values, in characters, of an editor that limits its fields.
 EDIT_LIMITS = {"title": 256, "summary": 500, "keywords": 256, "notes": 500}
 
 MERGE_COLUMNS = (*CONTENT_COLUMNS, "scraped_at", "scrape_status")
@@ -154,10 +154,14 @@ def patch_rows(bookmarks: DataFrame, patch: DataFrame, batch_time: str | Column
     )
 
 
-def apply_edits(bookmarks: DataFrame, edits: DataFrame, batch_time: str | Column) -> DataFrame:
-    """User edits of title, summary, keywords and notes, cut to the field limits."""
-    cut = [F.left(F.col(c), F.lit(n)).alias(c) for c, n in EDIT_LIMITS.items() if c in edits.columns]
-    return patch_rows(bookmarks, edits.select("id", *cut), batch_time)
+def apply_edits(
+    bookmarks: DataFrame, edits: DataFrame, batch_time: str | Column, limits: dict[str, int] | None = None
+) -> DataFrame:
+    """User edits of title, summary, keywords and notes; ``limits`` (``EDIT_LIMITS``) cuts the values."""
+    limits = limits or {}
+    given = [c for c in EDIT_LIMITS if c in edits.columns]
+    values = [F.left(F.col(c), F.lit(limits[c])).alias(c) if c in limits else F.col(c) for c in given]
+    return patch_rows(bookmarks, edits.select("id", *values), batch_time)
 
 
 def mark_for_reprocess(bookmarks: DataFrame, keys: DataFrame, on: str = "id") -> DataFrame:

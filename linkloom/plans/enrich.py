@@ -7,14 +7,16 @@ using it, because the model calls must not run again for the second table.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..functions.prompts import parse_response, render_prompt
+from ..functions.prompts import PROMPT_BYTES, parse_response, render_prompt
 from ..functions.text import EMBED_BYTES, SCRAPE_BYTES, byte_cap, is_url_only_title, text_to_embed, title_from_content
 from ..operators import catalog, listing
+from ..operators.answers import AnswerBook
 from ..schema import BOOKMARK_COLUMNS, FAILED, PENDING, SUCCESS
 from ..session import observed, stage, timestamp
 from ..sources.tables import TableStore
@@ -28,6 +30,19 @@ FETCH_FAILED, MODEL_FAILED = "fetch_failed", "model_failed"
 PATCH_COLUMNS = ("title", "summary", "keywords", "raw_content", "updated_at", "scraped_at", "scrape_status")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Bytes after which page texts, the page text in a prompt, and embedded texts are cut; None: never."""
+
+    scrape_bytes: int | None = None
+    prompt_bytes: int | None = None
+    embed_bytes: int | None = None
+
+
+#: Limits for models and stores that take short texts only.
+SHORT = Limits(SCRAPE_BYTES, PROMPT_BYTES, EMBED_BYTES)
+
+
 def title_is_stale(mode: str) -> Column:
     """Whether page text may replace the title; each entry point has its own rule."""
     from_x = (F.col("source") == "x") & is_url_only_title(F.col("title"))
@@ -54,10 +69,12 @@ def page_texts(snapshot: DataFrame, urls: DataFrame) -> DataFrame:
     return wanted.groupBy("url").agg(F.max_by("content", "seq").alias("content"))
 
 
-def acquire(rows: DataFrame, snapshot: DataFrame | None = None, fetcher: models.Model | None = None) -> DataFrame:
+def acquire(
+    rows: DataFrame, snapshot: DataFrame | None = None, fetcher: models.Model | None = None, scrape_bytes: int | None = None
+) -> DataFrame:
     """Fill blank ``raw_content`` from a crawl snapshot or a fetcher; adds ``fetched``.
 
-    Rows that already have page text are neither joined nor fetched.
+    Rows that already have page text are neither joined nor fetched. ``scrape_bytes`` cuts new page texts.
     """
     blank = F.coalesce(F.col("raw_content"), F.lit("")) == ""
     have = rows.filter(~blank).withColumn("fetched", F.lit(True))
@@ -70,32 +87,64 @@ def acquire(rows: DataFrame, snapshot: DataFrame | None = None, fetcher: models.
         raise ValueError("page text needs a snapshot or a fetcher")
     filled = got.withColumns(
         {
-            "raw_content": F.coalesce(byte_cap(F.col("content"), SCRAPE_BYTES), F.lit("")),
+            "raw_content": F.coalesce(_capped(F.col("content"), scrape_bytes), F.lit("")),
             "fetched": F.col("content").isNotNull(),
         }
     )
     return have.unionByName(filled.select(*have.columns))
 
 
-def summarize(rows: DataFrame, wanted: Column, model: str | models.Model, prompt: str | None = None) -> DataFrame:
-    """Add ``asked`` and ``answer`` (struct of summary, keywords, raw_response; NULL on failure)."""
-    asked = rows.withColumn("asked", wanted)
-    text = F.when(F.col("asked"), render_prompt(F.col("raw_content"), prompt))
-    response = asked.withColumn("response", models.apply_model(models.summary_model(model), text, "string"))
+def _capped(text: Column, limit: int | None) -> Column:
+    return text if limit is None else byte_cap(text, limit)
+
+
+def _named(model: str | models.Model) -> str:
+    """What a model's answers are kept under: its name, or where its code is defined."""
+    return model if isinstance(model, str) else f"{model.__module__}.{getattr(model, '__qualname__', type(model).__qualname__)}"
+
+
+def summarize(
+    rows: DataFrame,
+    wanted: Column,
+    model: str | models.Model,
+    prompt: str | None = None,
+    prompt_bytes: int | None = None,
+    book: AnswerBook | None = None,
+) -> DataFrame:
+    """Add ``asked`` and ``answer`` (struct of summary, keywords, raw_response; NULL on failure).
+
+    ``prompt_bytes`` cuts the page text in the prompt; with a ``book`` only new prompts reach the model.
+    """
+    text = F.when(F.col("asked"), render_prompt(F.col("raw_content"), prompt, prompt_bytes))
+    asked = rows.withColumn("asked", wanted).withColumn("_prompt", text)
+    chosen = models.summary_model(model)
+    if book is None:
+        response = asked.withColumn("response", models.apply_model(chosen, F.col("_prompt"), "string"))
+    else:
+        response = book.ask(stage(asked, "prompts"), "_prompt", "response", chosen, _named(model), "string")
+    response = response.drop("_prompt")
     answer = F.when(F.col("response").isNotNull(), parse_response(F.col("response")))
     return response.withColumn("answer", answer).drop("response")
 
 
-def embed(rows: DataFrame, wanted: Column, model: str | models.Model | None) -> DataFrame:
-    """Add ``embedded_text_hash`` and ``embedding``; both NULL where no embedding was made."""
+def embed(
+    rows: DataFrame, wanted: Column, model: str | models.Model | None, embed_bytes: int | None = None, book: AnswerBook | None = None
+) -> DataFrame:
+    """Add ``embedded_text_hash`` and ``embedding``; both NULL where no embedding was made.
+
+    ``embed_bytes`` cuts the embedded text; with a ``book`` only new texts reach the model.
+    """
     chosen = models.embedder(model)
     if chosen is None:
         return rows.withColumns(
             {"embedding": F.lit(None).cast("array<float>"), "embedded_text_hash": F.lit(None).cast("string")}
         )
-    text = byte_cap(text_to_embed(F.col("title"), F.col("summary"), F.col("keywords")), EMBED_BYTES)
+    text = _capped(text_to_embed(F.col("title"), F.col("summary"), F.col("keywords")), embed_bytes)
     done = rows.withColumn("_text", F.when(wanted, text))
-    done = done.withColumn("embedding", models.apply_model(chosen, F.col("_text"), "array<float>"))
+    if book is None:
+        done = done.withColumn("embedding", models.apply_model(chosen, F.col("_text"), "array<float>"))
+    else:
+        done = book.ask(stage(done, "texts"), "_text", "embedding", chosen, _named(model), "array<float>")
     made = F.when(F.col("embedding").isNotNull(), F.sha2(F.col("_text"), 256))
     return done.withColumn("embedded_text_hash", made).drop("_text")
 
@@ -109,6 +158,8 @@ def enrich_rows(
     embedder: str | models.Model | None = "hash",
     prompt: str | None = None,
     mode: str = QUEUE,
+    limits: Limits | None = None,
+    book: AnswerBook | None = None,
 ) -> DataFrame:
     """The queue after one run: bookmark columns, embedding columns and ``outcome``.
 
@@ -116,14 +167,16 @@ def enrich_rows(
     * summary asked for only while blank; a model error is tolerated, except when reprocessing,
       where it leaves the row blank and pending;
     * otherwise ``success`` and a new scrape time, with or without summary and embedding.
+
+    Texts are cut only where ``limits`` says so. With a ``book`` models are asked for new texts only.
     """
-    now = timestamp(batch_time)
-    rows = acquire(queue.select(*BOOKMARK_COLUMNS), snapshot, fetcher).withColumn("old_title", F.col("title"))
+    now, limits = timestamp(batch_time), limits or Limits()
+    rows = acquire(queue.select(*BOOKMARK_COLUMNS), snapshot, fetcher, limits.scrape_bytes).withColumn("old_title", F.col("title"))
     rows = rows.withColumn(
         "title", F.when(F.col("fetched"), refreshed_title(mode, F.col("raw_content"))).otherwise(F.col("title"))
     )
     no_summary = F.coalesce(F.col("summary"), F.lit("")) == ""
-    rows = summarize(rows, F.col("fetched") & no_summary, summary_model, prompt)
+    rows = summarize(rows, F.col("fetched") & no_summary, summary_model, prompt, limits.prompt_bytes, book)
     answered = F.col("asked") & F.col("answer").isNotNull()
     keep_keywords = F.lit(mode == QUEUE) & (F.coalesce(F.col("keywords"), F.lit("")) != "")
     aborted = F.lit(mode == REPROCESS) & F.col("asked") & F.col("answer").isNull()
@@ -135,7 +188,7 @@ def enrich_rows(
             "outcome": outcome,
         }
     )
-    rows = embed(rows, F.col("outcome") == SUCCESS, embedder)
+    rows = embed(rows, F.col("outcome") == SUCCESS, embedder, limits.embed_bytes, book)
     failed, undone = F.col("outcome") == FETCH_FAILED, F.col("outcome") == MODEL_FAILED
     untouched = failed & F.lit(mode == MANUAL)
     missed = PENDING if mode == MANUAL else FAILED
@@ -157,9 +210,15 @@ def backfill_rows(
     summary_model: str | models.Model = "lead",
     embedder: str | models.Model | None = "hash",
     prompt: str | None = None,
+    limits: Limits | None = None,
+    book: AnswerBook | None = None,
 ) -> DataFrame:
-    """New summary and keywords for rows with page text; without a summary the row stays untouched."""
-    asked = summarize(rows.select(*BOOKMARK_COLUMNS), F.lit(True), summary_model, prompt)
+    """New summary and keywords for rows with page text; without a summary the row stays untouched.
+
+    ``limits`` and ``book`` as in ``enrich_rows``.
+    """
+    limits = limits or Limits()
+    asked = summarize(rows.select(*BOOKMARK_COLUMNS), F.lit(True), summary_model, prompt, limits.prompt_bytes, book)
     good = F.col("answer").isNotNull() & (F.col("answer.summary") != "")
     done = asked.withColumns(
         {
@@ -169,7 +228,7 @@ def backfill_rows(
             "updated_at": F.when(good, timestamp(batch_time)).otherwise(F.col("updated_at")),
         }
     )
-    done = embed(done, F.col("outcome") == SUCCESS, embedder)
+    done = embed(done, F.col("outcome") == SUCCESS, embedder, limits.embed_bytes, book)
     return done.select(*BOOKMARK_COLUMNS, "embedding", "embedded_text_hash", "outcome")
 
 
@@ -184,14 +243,15 @@ def tally(done: DataFrame) -> DataFrame:
 # --- jobs over a table store ------------------------------------------------------------------
 
 
-def save_enriched(store: TableStore, done: DataFrame, batch_id: str) -> int:
+def save_enriched(store: TableStore, done: DataFrame, batch_id: str, beside: dict[str, DataFrame] | None = None, touched_too: dict[str, list[int]] | None = None) -> int:
     """Merge staged enrichment rows into the bookmark and vector tables in one commit.
 
-    Only the buckets holding one of the rows are rewritten.
+    Only the buckets holding one of the rows are rewritten. ``beside`` holds further tables that change in
+    the same commit, ``touched_too`` their buckets.
     """
     buckets = store.touched("bookmarks", done)
     bookmarks = catalog.patch_rows(store.read("bookmarks", buckets), done.select("id", *PATCH_COLUMNS))
-    changes, touched = {"bookmarks": bookmarks}, {"bookmarks": buckets}
+    changes, touched = {"bookmarks": bookmarks, **(beside or {})}, {"bookmarks": buckets, **(touched_too or {})}
     made = done.filter(F.col("embedding").isNotNull()).select("id", "embedding", "embedded_text_hash")
     vector_buckets = store.touched("vectors", made)
     if vector_buckets:
@@ -205,27 +265,96 @@ def save_enriched(store: TableStore, done: DataFrame, batch_id: str) -> int:
     return store.commit(batch_id, changes, touched)
 
 
-def _run(store: TableStore, rows: DataFrame, batch_id: str) -> DataFrame:
-    """Rows per outcome, counted by the job that stages them."""
+def _logged(store: TableStore, done: DataFrame, run: str, batch_time: str | Column) -> tuple[DataFrame, list[int]]:
+    """The ledger's buckets after a run, and which they are: one row per run and bookmark."""
+    buckets = store.touched("enrich_log", done)
+    log = store.read("enrich_log", buckets)
+    before = log.join(done.select("id"), "id", "left_semi").groupBy("id").agg(F.max("attempt").alias("_before"))
+    rows = done.join(before, "id", "left").select(
+        F.lit(run).alias("run"), "id", (F.coalesce("_before", F.lit(0)) + 1).cast("int").alias("attempt"), "outcome",
+        F.sha2(F.concat_ws("\n", "url", "raw_content"), 256).alias("input_hash"), timestamp(batch_time).alias("at"),
+    )
+    return log.unionByName(rows), buckets
+
+
+def _run(
+    store: TableStore, rows: DataFrame, batch_id: str, run: str, batch_time: str | Column, book: AnswerBook | None = None, beside: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """Rows per outcome, counted by the job that stages them; rows, ledger and answers are one commit."""
     seen = Observation()
     counters = [F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES]
     done = stage(rows.observe(seen, *counters), "enriched")
     counts = [(name, n) for name, n in observed(seen, OUTCOMES).items() if n]
+    changes, touched = dict(beside or {}), {}
     if counts:
-        save_enriched(store, done, batch_id)
+        changes["enrich_log"], touched["enrich_log"] = _logged(store, done, run, batch_time)
+        if book is not None:
+            fresh = book.additions()
+            touched["answers"] = store.touched("answers", fresh)
+            changes["answers"] = store.read("answers", touched["answers"]).unionByName(fresh)
+        save_enriched(store, done, batch_id, changes, touched)
+    elif changes:
+        store.commit(batch_id, changes)
     return store.spark.createDataFrame(counts, "outcome string, n bigint")
 
 
-def enrich(store: TableStore, batch_time: str, batch_id: str, limit: int | None = None, **models_and_pages) -> DataFrame:
-    """Work through the pending queue and return the tally."""
-    queue = listing.pending_queue(store.read("bookmarks"), limit)
-    return _run(store, enrich_rows(queue, batch_time, **models_and_pages), batch_id)
+def due(store: TableStore, run: str, batch_time: str, parts: int = 1) -> DataFrame:
+    """``enrich_due`` with a run of so many parts to be done."""
+    values = (F.lit(run), F.lit(None).cast("string"), F.lit(parts), F.lit("due"), F.lit(None).cast("string"), timestamp(batch_time))
+    names = [f.name for f in store.tables["enrich_due"].schema.fields]
+    rows = store.spark.range(1).select(*[v.alias(n) for v, n in zip(values, names)])
+    return catalog.replace_by_key(store.read("enrich_due"), rows, "run")
+
+
+def is_due(store: TableStore, run: str) -> bool:
+    return not store.read("enrich_due").filter(F.col("run") == run).isEmpty()
+
+
+def enrich(
+    store: TableStore,
+    batch_time: str,
+    batch_id: str,
+    limit: int | None = None,
+    rows_per_commit: int | None = None,
+    most_commits: int | None = None,
+    keep_answers: bool = False,
+    **models_and_pages,
+) -> DataFrame:
+    """Work through the pending queue and return the tally of the run.
+
+    With ``rows_per_commit`` the queue is cut into parts by a hash of the id, each committed on its own; the
+    number of parts is noted first, so a run that broke off, or that stopped after ``most_commits`` parts, is taken up by
+    the next call with the same id where it stopped. ``keep_answers`` asks models only for texts that no
+    earlier run had answered. The ledger ``enrich_log`` holds every attempt with its outcome.
+    """
+    noted = store.read("enrich_due").filter(F.col("run") == batch_id).first()
+    parts = noted.attempt if noted else 1
+    if rows_per_commit and parts == 1 and not store.has_batch(batch_id):
+        waiting = listing.pending_queue(store.read("bookmarks"), limit).count()
+        parts = max(1, -(-waiting // rows_per_commit))
+        if parts > 1:
+            store.commit(f"{batch_id}:parts", {"enrich_due": due(store, batch_id, batch_time, parts)})
+    commits = 0
+    for part in range(parts):
+        last = part == parts - 1
+        part_id = batch_id if last else f"{batch_id}:{part}"
+        if store.has_batch(part_id):
+            continue
+        if most_commits is not None and commits == most_commits:
+            break
+        queue = listing.pending_queue(store.read("bookmarks"), limit)
+        queue = queue.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part) if parts > 1 else queue
+        book = AnswerBook(store.read("answers")) if keep_answers else None
+        done_with = {"enrich_due": store.read("enrich_due").filter(F.col("run") != batch_id)} if last and (noted or parts > 1) else None
+        _run(store, enrich_rows(queue, batch_time, book=book, **models_and_pages), part_id, batch_id, batch_time, book, done_with)
+        commits += 1
+    return tally(store.read("enrich_log").filter(F.col("run") == batch_id))
 
 
 def backfill(store: TableStore, batch_time: str, batch_id: str, limit: int | None = None, **models_only) -> DataFrame:
     """Summaries for rows that have page text but none; ``limit`` takes the latest only."""
     rows = listing.needs_summary(store.read("bookmarks"), limit)
-    return _run(store, backfill_rows(rows, batch_time, **models_only), batch_id)
+    return _run(store, backfill_rows(rows, batch_time, **models_only), batch_id, batch_id, batch_time)
 
 
 def reset(rows: DataFrame, batch_time: str | Column) -> DataFrame:
@@ -241,7 +370,8 @@ def reprocess(store: TableStore, keys: Iterable[str], batch_time: str, batch_id:
     wanted = store.spark.createDataFrame([(k,) for k in keys], "key string")
     found = stage(listing.lookup(store.read("bookmarks"), wanted), "keys")
     rows = found.filter(F.col("id").isNotNull()).drop("key").dropDuplicates(["id"])
-    done = _run(store, enrich_rows(reset(rows, batch_time), batch_time, mode=REPROCESS, **models_and_pages), batch_id)
+    again = enrich_rows(reset(rows, batch_time), batch_time, mode=REPROCESS, **models_and_pages)
+    done = _run(store, again, batch_id, batch_id, batch_time)
     missing = found.filter(F.col("id").isNull()).agg(F.lit("not_found").alias("outcome"), F.count("*").alias("n"))
     return done.unionByName(missing.filter("n > 0"))
 

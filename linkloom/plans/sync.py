@@ -103,13 +103,17 @@ def sync(
     """Merge landed pages into the store and, when something new arrived, enrich the queue.
 
     A batch id that was committed before is skipped, so a repeated run changes nothing. Rows,
-    deletions and marks become visible in one commit; enrichment is a second one. With ``force``
+    deletions and marks become visible in one commit, which also notes that the enrichment is due;
+    that is a second one, and a repeat of the batch makes up for it if it did not happen. With ``force``
     marks are ignored and rows a feed no longer has are removed, except for feeds of which no page
     landed and feeds with unreadable pages, whose list would be incomplete; a readable page without
     items means an empty feed. ``every_page`` as in ``fetch``. A stored index follows the changed rows.
     """
+    run = f"{batch_id}:enrich"
     if store.has_batch(batch_id):
-        return SyncResult(skipped=True)
+        resumed = enrichment is not None and enrich_plan.is_due(store, run)
+        tally = enrich_plan.enrich(store, batch_time, run, enrich_limit, **enrichment) if resumed else None
+        return SyncResult(skipped=True, tally=tally)
     specs = feed_source.select_feeds(enabled, requested)
     marks = incremental.marks_from_state(store.read("sync_state"), [s.name for s in specs], force)
     fetched = fetch(specs, pages, marks, batch_time, every_page)
@@ -118,12 +122,12 @@ def sync(
     whole = [s.name for s in good if s.name in fetched.landed and s.name not in keep_orphans]
     result = publish(
         store, good, fetched.rows, incremental.advance_marks(marks, fetched.newest), batch_time, batch_id,
-        swept=whole if force else None, reprocess=reprocess, blank_is_null=blank_is_null,
+        swept=whole if force else None, reprocess=reprocess, blank_is_null=blank_is_null, due=None if enrichment is None else run,
     )
     result.quarantine, result.failed_feeds = fetched.quarantine, fetched.failed
     result.kept_orphans = keep_orphans if force else []
     if enrichment is not None and (result.new_items > 0 or reprocess):
-        result.tally = enrich_plan.enrich(store, batch_time, f"{batch_id}:enrich", enrich_limit, **enrichment)
+        result.tally = enrich_plan.enrich(store, batch_time, run, enrich_limit, **enrichment)
     return result
 
 
@@ -144,12 +148,14 @@ def publish(
     blank_is_null: bool = True,
     only_new: bool = False,
     beside: dict[str, DataFrame] | None = None,
+    due: str | None = None,
 ) -> SyncResult:
     """Commit feed rows and the next marks; a stored index follows.
 
     ``swept`` names the feeds whose stored rows go when the feed no longer has them (None: a plain
     merge that reads and replaces the touched buckets only). ``only_new`` leaves stored rows as they are.
-    ``beside`` holds further tables that change in the same commit. The counters of a plain merge are
+    ``beside`` holds further tables that change in the same commit; ``due`` names the enrichment run that is noted
+    in it when something new arrived or ``reprocess`` is set. The counters of a plain merge are
     observed while its rows are staged and written; no job reads them for that.
     """
     state = store.read("sync_state")
@@ -177,6 +183,8 @@ def publish(
     moved = incremental.marks_to_state(marks)
     changes["sync_state"] = catalog.put_state(state, moved.unionByName(_refresh_stamp(store, batch_time)))
     changes |= beside or {}
+    if due and (reprocess or not catalog.fresh(existing, batch).isEmpty()):
+        changes["enrich_due"] = enrich_plan.due(store, due, batch_time)
     if index_plan.is_current(store):
         ids = catalog.batch_ids(existing, batch)
         changed = ids if gone is None else ids.unionByName(gone)
@@ -234,9 +242,9 @@ def remove(store: TableStore, ids: DataFrame, batch_id: str) -> int:
     return store.commit(batch_id, changes, touched)
 
 
-def edit(store: TableStore, edits: DataFrame, batch_time: str, batch_id: str) -> int:
+def edit(store: TableStore, edits: DataFrame, batch_time: str, batch_id: str, limits: dict[str, int] | None = None) -> int:
     """Apply user edits of ``(id, title, summary, keywords, notes)``; a stored index follows."""
-    bookmarks = catalog.apply_edits(store.read("bookmarks"), edits, batch_time)
+    bookmarks = catalog.apply_edits(store.read("bookmarks"), edits, batch_time, limits)
     changes, touched = {"bookmarks": bookmarks}, {}
     if index_plan.is_current(store):
         index_changes, touched = index_plan.changes_for(store, edits, bookmarks)

@@ -68,6 +68,24 @@ CODE_SCHEMA = T.StructType(
         T.StructField("codes", T.BinaryType()),
     ]
 )
+ANSWER_SCHEMA = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("response", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+    ]
+)
+LEDGER_SCHEMA = T.StructType(
+    [
+        T.StructField("run", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("attempt", T.IntegerType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField("input_hash", T.StringType()),
+        T.StructField("at", T.TimestampType()),
+    ]
+)
 PART_SCHEMA = T.StructType(
     [T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total_length", T.LongType())]
 )
@@ -101,6 +119,11 @@ def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
         "postings_recent": TableSpec(POSTING_SCHEMA, "id", buckets, (), ("term",)),
         "stale_ids": TableSpec(ID_SCHEMA, "id", buckets),
         "doc_lengths": TableSpec(LENGTH_SCHEMA, "id", buckets),
+        # Model answers by the hash of what was asked.
+        "answers": TableSpec(ANSWER_SCHEMA, "key", buckets, (), ("key",)),
+        # What each run of the enrichment did to a row, and runs that are due (rows without an id).
+        "enrich_log": TableSpec(LEDGER_SCHEMA, "id", buckets),
+        "enrich_due": TableSpec(LEDGER_SCHEMA, "run", 1),
         # What each bucket of ``doc_lengths`` adds to the corpus statistics.
         "corpus_parts": TableSpec(PART_SCHEMA, "part", buckets, keyed_by_bucket=True),
         # Decisions on fetches that a stream has not merged yet.

@@ -129,7 +129,7 @@ def test_orphans_and_delete(spark):
 def test_edits_change_named_columns_only(spark):
     stored = table(spark, {"url": "a", "raw_content": "raw", "scraped_at": at("2024-02-01")}, {"url": "b"})
     edits = stored.filter("url = 'a'").select("id", F.lit("t" * 300).alias("title"), F.lit("n").alias("notes"))
-    got = by(catalog.apply_edits(stored, edits, T0))
+    got = by(catalog.apply_edits(stored, edits, T0, catalog.EDIT_LIMITS))
     assert got["a"]["title"] == "t" * 256 and got["a"]["notes"] == "n" and got["a"]["raw_content"] == "raw"
     assert got["a"]["scraped_at"] == at("2024-02-01") and got["b"]["updated_at"] == at("2024-01-01")
     unknown = edits.withColumn("id", F.lit("nobody"))

@@ -396,3 +396,43 @@ def test_stream_upsert_keeps_the_index_current(spark, store, tmp_path):
     rows = spark.readStream.schema(store.read("bookmarks").schema).parquet(str(tmp_path / "rows"))
     stream.stream_upsert(rows, store, "s", ["updated_at"], clock=lambda: T0).awaitTermination()
     assert index.open_index(store)[0].where("term = 'spark'").count() == 2
+
+
+def test_a_sync_that_broke_before_its_enrichment_makes_up_for_it(spark, store, monkeypatch):
+    snapshot = spark.createDataFrame([("https://g/a/one", "Title: One\nText.", 1)], "url string, content string, seq int")
+    given = {"snapshot": snapshot}
+    landed = pages(spark, github=[[star("a/one", "2024-05-01T00:00:00Z")]])
+
+    def broken(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broke:
+        broke.setattr(jobs.enrich_plan, "enrich", broken)
+        with pytest.raises(RuntimeError):
+            jobs.sync(store, landed, T1, "b1", enrichment=given)
+    assert by(store.read("bookmarks"))["https://g/a/one"]["scrape_status"] == "pending"
+    again = jobs.sync(store, landed, T1, "b1", enrichment=given)
+    assert again.skipped and {r.outcome: r.n for r in again.tally.collect()} == {"success": 1}
+    assert by(store.read("bookmarks"))["https://g/a/one"]["scrape_status"] == "success"
+    assert jobs.sync(store, landed, T1, "b1", enrichment=given).tally is None
+    assert [(r.attempt, r.outcome) for r in store.read("enrich_log").collect()] == [(1, "success")]
+
+
+def test_answers_are_kept_by_text(spark, store):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        calls.add(len(prompts))
+        return prompts.map(lambda p: None if "bad" in p else f"SUMMARY: {len(p)}\nKEYWORDS: k")
+
+    rows = table(spark, *[{"url": f"https://e.org/{i}", "raw_content": text} for i, text in enumerate(["same", "same", "other", "bad", ""])])
+    store.commit("rows", {"bookmarks": rows})
+    snapshot = spark.createDataFrame([("https://e.org/4", "same", 1)], "url string, content string, seq int")
+    enrich.enrich(store, T0, "e1", keep_answers=True, snapshot=snapshot, summary_model=model)
+    assert calls.value == 3 and store.read("answers").filter("response IS NOT NULL").count() == 2
+    store.commit("more", {"bookmarks": store.read("bookmarks").unionByName(table(spark, {"url": "https://e.org/9", "raw_content": "other"}, {"url": "https://e.org/8", "raw_content": "bad"}))})
+    enrich.enrich(store, T0, "e2", keep_answers=True, snapshot=snapshot, summary_model=model)
+    assert calls.value == 4  # the text that failed is asked again, the known one is not
+    found = by(store.read("bookmarks"))
+    assert found["https://e.org/9"]["summary"] == found["https://e.org/2"]["summary"] != ""
+    assert found["https://e.org/4"]["summary"] == found["https://e.org/0"]["summary"]
