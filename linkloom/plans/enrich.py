@@ -362,12 +362,17 @@ def reset(rows: DataFrame, batch_time: str | Column) -> DataFrame:
     return catalog.reset_for_reprocess(rows, rows.select("id"), batch_time)
 
 
-def reprocess(store: TableStore, keys: Iterable[str], batch_time: str, batch_id: str, **models_and_pages) -> DataFrame:
-    """Fetch and summarize the bookmarks with these ids or urls again.
+def _column(store: TableStore, values: Iterable[str] | DataFrame, name: str) -> DataFrame:
+    """A few given values, or a table of any size with the column ``name``."""
+    return values.select(name) if isinstance(values, DataFrame) else store.spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def reprocess(store: TableStore, keys: Iterable[str] | DataFrame, batch_time: str, batch_id: str, **models_and_pages) -> DataFrame:
+    """Fetch and summarize the bookmarks with these ids or urls (or those in the column ``key``) again.
 
     Keys without a bookmark are reported with the outcome ``not_found``.
     """
-    wanted = store.spark.createDataFrame([(k,) for k in keys], "key string")
+    wanted = _column(store, keys, "key")
     found = stage(listing.lookup(store.read("bookmarks"), wanted), "keys")
     rows = found.filter(F.col("id").isNotNull()).drop("key").dropDuplicates(["id"])
     again = enrich_rows(reset(rows, batch_time), batch_time, mode=REPROCESS, **models_and_pages)
@@ -376,9 +381,9 @@ def reprocess(store: TableStore, keys: Iterable[str], batch_time: str, batch_id:
     return done.unionByName(missing.filter("n > 0"))
 
 
-def add_manual(store: TableStore, urls: Iterable[str], batch_time: str, batch_id: str, **models_and_pages) -> DataFrame:
-    """Store new urls as manual bookmarks and enrich them; returns the urls already stored."""
-    wanted = store.spark.createDataFrame([(u,) for u in urls], "url string")
+def add_manual(store: TableStore, urls: Iterable[str] | DataFrame, batch_time: str, batch_id: str, **models_and_pages) -> DataFrame:
+    """Store new urls (or those in the column ``url``) as manual bookmarks and enrich them; returns the urls already stored."""
+    wanted = _column(store, urls, "url")
     buckets = store.touched("bookmarks", wanted)
     stored = store.read("bookmarks", buckets)
     rejected = stage(catalog.already_stored(stored, wanted), "rejected")

@@ -47,13 +47,13 @@ def _of_rule(specs: list[FeedSpec], rule: str):
 
 
 def fetch(specs: list[FeedSpec], pages: DataFrame, marks: DataFrame, batch_time: str, every_page: bool = False) -> Fetch:
-    """Decode all pages once, then cut each feed to what a fetch after its mark would take.
+    """Decode all pages once, then cut each feed to what is new after its mark.
 
-    With ``every_page`` nothing that landed is cut and unreadable pages are only set aside. Only rows
+    Every page that landed before an unreadable one is read, also behind a short or empty page. With ``every_page`` nothing that landed is cut and unreadable pages are only set aside. Only rows
     with one entry per registered feed reach the driver.
     """
     landed = stage(feed_source.landed_feeds(specs, pages, batch_time), "landed")
-    read = feed_source.all_items(landed) if every_page else feed_source.reachable(landed)
+    read = feed_source.all_items(landed) if every_page else feed_source.reachable(landed, to_end=False)
     if every_page:
         marks = marks.withColumn("mark", F.lit(None).cast(marks.schema["mark"].dataType))
     in_page = read.filter(_of_rule(specs, feed_source.IN_PAGE))
@@ -228,12 +228,19 @@ def refresh_due(store: TableStore, now: str) -> bool:
     return bool(is_stale(store.read("sync_state"), now).first().stale)
 
 
+def _holding(store: TableStore, ids: DataFrame) -> list[int]:
+    """Buckets of the bookmark table that hold any of ``ids``; reads the narrow key columns only."""
+    keys = store.read("bookmarks").select("id", "url").join(ids.select("id"), "id", "left_semi")
+    return store.touched("bookmarks", keys)
+
+
 def remove(store: TableStore, ids: DataFrame, batch_id: str) -> int:
-    """Delete bookmarks with their vectors and index entries in one commit."""
-    bookmarks = catalog.delete_ids(store.read("bookmarks"), ids)
+    """Delete bookmarks with their vectors and index entries in one commit; only buckets that hold them are rewritten."""
+    held = _holding(store, ids)
+    bookmarks = catalog.delete_ids(store.read("bookmarks", held), ids)
     buckets = store.touched("vectors", ids)
     changes = {"bookmarks": bookmarks, "vectors": catalog.delete_ids(store.read("vectors", buckets), ids)}
-    touched = {"vectors": buckets}
+    touched = {"bookmarks": held, "vectors": buckets}
     if index_plan.is_current(store):
         index_changes, index_touched = index_plan.changes_for(store, ids, bookmarks)
         changes |= index_changes
@@ -243,10 +250,12 @@ def remove(store: TableStore, ids: DataFrame, batch_id: str) -> int:
 
 
 def edit(store: TableStore, edits: DataFrame, batch_time: str, batch_id: str, limits: dict[str, int] | None = None) -> int:
-    """Apply user edits of ``(id, title, summary, keywords, notes)``; a stored index follows."""
-    bookmarks = catalog.apply_edits(store.read("bookmarks"), edits, batch_time, limits)
-    changes, touched = {"bookmarks": bookmarks}, {}
+    """Apply user edits of ``(id, title, summary, keywords, notes)`` to the buckets that hold them; a stored index follows."""
+    held = _holding(store, edits)
+    bookmarks = catalog.apply_edits(store.read("bookmarks", held), edits, batch_time, limits)
+    changes, touched = {"bookmarks": bookmarks}, {"bookmarks": held}
     if index_plan.is_current(store):
-        index_changes, touched = index_plan.changes_for(store, edits, bookmarks)
+        index_changes, index_touched = index_plan.changes_for(store, edits, bookmarks)
         changes |= index_changes
+        touched |= index_touched
     return store.commit(batch_id, changes, touched)

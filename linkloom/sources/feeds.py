@@ -259,17 +259,18 @@ def all_items(landed: DataFrame) -> DataFrame:
     return landed.filter(F.col("pos").isNotNull()).drop("bad", "ends", "body")
 
 
-def reachable(landed: DataFrame) -> DataFrame:
-    """The items a fetch reads: up to the last page of their feed and before its first bad page.
+def reachable(landed: DataFrame, to_end: bool = True) -> DataFrame:
+    """The items before the first bad page of their feed and, with ``to_end``, up to its last page.
 
-    One row per registered feed is broadcast.
+    The last page is where a client that fetches page by page would stop: a short or empty one, or one without
+    a cursor. One row per registered feed is broadcast.
     """
     reach = page_reach(landed).select("feed", "last_page", "bad_page")
     read = landed.filter(F.col("pos").isNotNull()).join(F.broadcast(reach), "feed")
-    return read.filter(
-        (F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page")))
-        & (F.col("bad_page").isNull() | (F.col("page_no") < F.col("bad_page")))
-    ).drop("last_page", "bad_page", "bad", "ends", "body")
+    good = F.col("bad_page").isNull() | (F.col("page_no") < F.col("bad_page"))
+    if to_end:
+        good = good & (F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page")))
+    return read.filter(good).drop("last_page", "bad_page", "bad", "ends", "body")
 
 
 BATCH_ORDER = ["source_order", "page_no", "pos"]

@@ -227,3 +227,17 @@ def test_damaged_vectors_score_zero_on_every_path(spark):
         assert [(r.id, r.score) for r in many] == want
     scored = table_.select("id", v.cosine_similarity(F.col("embedding"), F.array(F.lit(1.0), F.lit(0.0))).alias("s"))
     assert {r.id: r.s for r in scored.collect()} == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": -1.0}
+
+
+def test_vector_codec_keeps_bits_and_nulls(spark):
+    from linkloom.sources.vector_codec import decode_vector, encode_vector
+
+    vectors = [[1.0, -2.5, 3e38], None, [], [0.1], [float("nan"), 1.0]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i int, v array<float>").repartition(2)
+    back = {r.i: r for r in rows.select("i", "v", encode_vector("v").alias("b")).select("*", decode_vector("b").alias("w")).collect()}
+    for i, v in enumerate(vectors):
+        want = None if v is None else np.asarray(v, "<f4").tobytes()
+        assert (None if back[i].b is None else bytes(back[i].b)) == want
+        assert back[i].w is None if v is None else np.asarray(back[i].w, "<f4").tobytes() == want
+    broken = spark.createDataFrame([(bytearray(b"1234567"),), (None,), (bytearray(b"abcd"),), (bytearray(),)], "b binary").coalesce(1)
+    assert [None if r.v is None else len(r.v) for r in broken.select(decode_vector("b").alias("v")).collect()] == [None, None, 1, 0]
