@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, enriching, ingest, scalar, search, stored
+from . import browse, enriching, ingest, jobs, scalar, search, stored
 
-MODULES = (search, browse, scalar, ingest, enriching, stored)
+MODULES = (search, browse, scalar, ingest, enriching, stored, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
