@@ -115,6 +115,20 @@ def update_index(store: TableStore, changed_ids: DataFrame, batch_id: str) -> in
     return store.commit(batch_id, changes, touched)
 
 
+def fold_in(store: TableStore, batch_id: str, share: float = 0.1) -> bool:
+    """Build the index again once more than ``share`` of the bookmarks have recent postings or masked old ones.
+
+    Searches read recent postings whole and check old ones against the masked ids, so both must stay a small
+    part; a rebuild empties them. Returns whether one was made.
+    """
+    total = corpus_stats(store.read("corpus_parts")).first().n
+    masked = store.read("stale_ids").count()
+    if not is_current(store) or masked <= share * total:
+        return False
+    build_index(store, batch_id)
+    return True
+
+
 def open_index(store: TableStore) -> tuple[DataFrame, DataFrame]:
     """``(postings, corpus_stats)`` as the search jobs take them."""
     live = live_postings(store.read("postings"), store.read("postings_recent"), store.read("stale_ids"))

@@ -76,6 +76,10 @@ def test_edits_and_deletions_are_seen(spark, rows):
     for query in ("spark", "new spar"):
         want = bm25(now, query)
         assert {u: s for u, _, s, _ in ranking(store, query, 300)[0]} == pytest.approx(want, rel=1e-9)
+    assert not index_plan.fold_in(store, "fold-0", share=0.5) and store.read("postings_recent").count() > 0
+    before = ranking(store, "spark", 300)[0]
+    assert index_plan.fold_in(store, "fold-1") and store.read("stale_ids").isEmpty() and store.read("postings_recent").isEmpty()
+    assert [(u, i) for u, i, *_ in ranking(store, "spark", 300)[0]] == [(u, i) for u, i, *_ in before]
     stats = index_plan.corpus_stats(store.read("corpus_parts")).first()
     plain = fulltext.corpus_stats(fulltext.doc_lengths(store.read("bookmarks"))).first()
     assert (stats.n, stats.mean_length) == (plain.n, pytest.approx(plain.mean_length))
