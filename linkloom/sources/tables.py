@@ -12,7 +12,6 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,12 +152,10 @@ class TableStore:
         self.tables = tables or default_tables()
 
     def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_LOG_SCHEMA).json(f"{self.root}/log")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
+        return self.spark.read.schema(_LOG_SCHEMA).json(f"{self.root}/log")
 
     def snapshot(self) -> Snapshot:
         log = self._log()

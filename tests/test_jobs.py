@@ -233,7 +233,8 @@ def test_fetcher_instead_of_a_snapshot(spark):
         return wanted.map(lambda u: None if u.endswith("2") else "é" * 30_000)
 
     rows = table(spark, {"url": "u1"}, {"url": "u2"}, {"url": "u3", "raw_content": "own"})
-    got = by(enrich.acquire(rows, fetcher=fetch))
+    assert len(by(enrich.acquire(rows, fetcher=fetch))["u1"]["raw_content"].encode()) == 60_000
+    got = by(enrich.acquire(rows, fetcher=fetch, scrape_bytes=enrich.SHORT.scrape_bytes))
     assert len(got["u1"]["raw_content"].encode()) == 50_000 and not got["u2"]["fetched"] and got["u3"]["raw_content"] == "own"
     with pytest.raises(ValueError):
         enrich.acquire(rows)
