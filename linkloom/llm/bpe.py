@@ -241,6 +241,16 @@ class Encoder:
         return [int(i) for ids, _, _ in self.pieces(text or "") for i in ids.split()]
 
 
+#: The encoder of a worker, kept from task to task of one vocabulary.
+_KEPT: list[Encoder] = []
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    if not _KEPT or _KEPT[0].vocabulary is not vocabulary:
+        _KEPT[:] = [Encoder(vocabulary)]
+    return _KEPT[0]
+
+
 def encode(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids`` (array of token ids) of every whole text; a null text has none.
 
@@ -250,7 +260,7 @@ def encode(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
 
     def transform():
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         return lambda batch: [batch.column(0), [encoder.encode(t) for t in batch.column(1).to_pylist()]]
 
     kind = docs.schema[key].dataType.simpleString()
@@ -279,7 +289,7 @@ def digests(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: st
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
 
     def transform():
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
 
         def digest(body: str | None) -> tuple:
             found = [p for p in encoder.pieces(body or "") if p[1]]

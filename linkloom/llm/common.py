@@ -16,6 +16,7 @@ from ..session import stage
 MEMO_ENTRIES = 100_000
 #: Input of one step in a Python worker, on average: what a step holds at once is a multiple of it.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,14 @@ def spread_order(key: str) -> Column:
 
 def map_batches(rows: DataFrame, transform: Callable[[], Callable[[pa.RecordBatch], list[list]]], schema: str) -> DataFrame:
     """Rows made from parts of each Arrow batch; ``transform()`` is called once per task and returns the batch
-    function, which gives one list of values per output column."""
+    function, which gives one list of values per output column.
+
+    Batches are limited in bytes on their way to the workers too: both ends hold a whole one.
+    """
+    conf = rows.sparkSession.conf
+    limit = conf.get(BATCH_SETTING).rstrip("b")  # a limit given with a unit is somebody's choice
+    if limit.isdigit() and int(limit) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
     fields = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(fields)
 
