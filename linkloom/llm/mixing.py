@@ -12,6 +12,9 @@ ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Weights given to sources in code-point order, repeating.
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
+#: Weights up to this number (some 30 MB) are broadcast after a count, so that no text is shuffled for them; more are
+#: joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -101,6 +104,8 @@ def _with_order(rows: DataFrame, key: str, quality: DataFrame | None) -> DataFra
     if quality is not None:
         best = quality.select(F.col(key).alias("key"), F.col("weight").cast("double").alias("weight"))
         best = best.where("key is not null").groupBy("key").agg(F.max("weight").alias("weight"))
+        best = stage(best.where("weight <> 1"), "weights")  # the others are as good as not there
+        best = F.broadcast(best) if best.count() <= BROADCAST_KEYS else best
         rows, weight = rows.join(best, "key", "left"), F.coalesce("weight", F.lit(1.0))
     order = F.when(weight > 0, -F.log(uniform("key")) / weight).otherwise(F.lit(float("inf")))
     return rows.withColumn("order", order).drop("weight")
