@@ -218,8 +218,10 @@ def near_equal(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     degrees = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     reps = distinct.join(degrees, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
-    reps = reps.select("label", "vector", n_links.alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    linked = good.join(reps, ["label", "vector"]).select("id", "n_links", "component_id")
+    # 128 bits of hash stand for a vector on the way back to its copies.
+    name = [F.xxhash64("vector").alias("h"), F.xxhash64(F.lit("g"), "vector").alias("g")]
+    reps = reps.select("label", *name, n_links.alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    linked = good.select("id", "label", *name).join(reps, ["label", "h", "g"]).select("id", "n_links", "component_id")
     alone = rows.where("not good").select("id", F.lit(0).cast("long"), F.col("id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return linked.union(alone).select(F.col("id").alias(key), "n_links", "component_id", kept.alias("kept"))
