@@ -182,7 +182,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
 def _without(lines: Column, dropped: Column) -> Column:
     """The lines whose place is not in ``dropped``, joined again."""
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(dropped, F.array().cast("array<int>")))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
     return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
 
 
@@ -208,25 +208,37 @@ def near_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
 
 
 def _links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``near_links`` of lines ``doc, at, line`` that differ from each other."""
+    """``near_links`` of lines ``doc, at, line`` that differ from each other.
+
+    Keys that occur on both sides are found by eight bytes alone, each row once, without making pairs. Letters are
+    counted only for lines behind such keys, and a pair is made only where the counts allow it.
+    """
     lines = lines.withColumn("length", F.length("line")).where(F.col("length") >= min_chars)
     lines = lines.withColumn("h", F.xxhash64("line"))
-    sketched = lines.select("h", "line", "length", letter_counts("line").alias("counts"))
-    index = sketched.select("h", "counts", F.explode(index_keys("line", "length", edits)).alias("key"))
-    probes = sketched.select(F.col("h").alias("h2"), F.col("counts").alias("counts2"), F.explode(probe_keys("line", "length", edits)).alias("key"))
+    index = lines.select("h", F.explode(index_keys("line", "length", edits)).alias("key"))
+    probes = lines.select(F.col("h").alias("h2"), F.explode(probe_keys("line", "length", edits)).alias("key"))
+    other = (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h2"))
+    left = stage(index.alias("i").join(probes.alias("p"), other, "left_semi"), "shared-keys")
+    right = stage(probes.join(_few(left.select("key").distinct(), "keys"), "key", "left_semi"), "shared-probes")
+    named = _few(left.select("h").union(right.select("h2")).distinct(), "sharing-lines")
+    counted = stage(lines.join(named, "h").select("h", letter_counts("line").alias("counts")), "letters")
     near = counts_near(F.col("counts"), F.col("counts2"), edits) & (F.col("h") != F.col("h2"))
-    met = index.join(probes, "key").where(near)
+    met = left.join(counted, "h").join(right.join(counted.toDF("h2", "counts2"), "h2"), "key").where(near)
     pairs = stage(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted = stage(wanted, "wanted-lines")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = lines.join(wanted, "h").select("h", F.struct("doc", "at").alias("place"), code_points(F.col("line")).alias("line"))
-    texts = stage(texts, "line-texts")
+    texts = lines.join(_few(wanted, "wanted-lines"), "h")
+    texts = stage(texts.select("h", F.struct("doc", "at").alias("place"), code_points(F.col("line")).alias("line")), "line-texts")
     sides = pairs.join(texts.toDF("a", "place_a", "line_a"), "a").join(texts.toDF("b", "place_b", "line_b"), "b")
     linked = edits_within(sides, "line_a", "line_b", edits)
     return linked.select(F.least("place_a", "place_b").alias("earlier"), F.greatest("place_a", "place_b").alias("later"))
 
 
+def _few(rows: DataFrame, name: str) -> DataFrame:
+    """A narrow table, written out, and marked for broadcast if a count shows that its rows are few."""
+    rows = stage(rows, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
+
+
 def classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS
 ) -> tuple[DataFrame, DataFrame]:
@@ -278,16 +290,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
     rows = docs.select(_place(key, text), F.col(text).alias("text"), F.struct(F.lit(0).alias("k"), *others).alias("row"))
     equal = stage(repeated_places(rows.select("doc", "text")), "equal-lines")
     lines = split_lines("text")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     kept = rows.join(_small(equal), "doc", "left").select(
-        "doc", "row", F.when(F.col("text").isNotNull(), _without(lines, F.col("dropped"))).alias("text"),
-        F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).alias("n_lines"), _count("dropped").alias("n_equal"),
+        "doc", "row", F.when(F.col("dropped").isNotNull(), _without(lines, F.col("dropped"))).otherwise(F.col("text")).alias("text"),
+        F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"), _count("dropped").alias("n_equal"),
     )
     kept = stage(kept, "distinct-lines")
     links = stage(near_links(kept.select("doc", "text"), edits, min_chars), "line-links")
     near = _places(links.select("later.*"))
     ends = links.select("earlier.doc").union(links.select("later.doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     changes = stage(near.join(ends, "doc", "full"), "near-lines")
-    body = F.when(F.col("text").isNotNull(), _without(split_lines("text"), F.col("dropped"))).alias(text)
+    body = F.when(F.col("dropped").isNotNull(), _without(split_lines("text"), F.col("dropped"))).otherwise(F.col("text")).alias(text)
     found = kept.join(_small(changes), "doc", "left")
     columns = [body if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)]
     n_links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
