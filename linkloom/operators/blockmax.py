@@ -17,14 +17,17 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens
+from ..schema import INDEXED_FIELDS
 from ..session import observed, stage
-from .fulltext import CANDIDATES, IDF_FLOOR, doc_lengths, lead, postings, prefix_filter, term_score
+from .fulltext import CANDIDATES, IDF_FLOOR, doc_lengths, lead, postings_of, prefix_filter, term_score, token_rows
 from .numbering import numbered
 
 #: Rows of a block. Smaller blocks bound tighter and make more block rows.
 BLOCK_ROWS = 1024
 #: Longest prefix kept per block. A longer query term is bounded by its first characters.
 PREFIX_CHARS = 16
+#: Tokens whose prefixes one task counts while an index is built.
+TASK_TOKENS = 200_000
 #: Blocks read in the first round; every further round reads twice as many.
 FIRST_BLOCKS = 8
 #: Blocks named one by one in a scan filter; more are joined.
@@ -59,20 +62,32 @@ class Report:
         return sum(rows for _, rows in self.rounds)
 
 
-def block_postings(bookmarks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``postings`` with ``lead`` and ``block``."""
-    lengths = numbered(doc_lengths(bookmarks), [F.col("length"), F.col("id")], "block")
-    blocks = lengths.select("id", F.floor(F.col("block") / block_rows).cast("int").alias("block"))
-    return postings(bookmarks).withColumn("lead", lead(F.col("term"))).join(blocks, "id")
+def block_tokens(bookmarks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``fulltext.token_rows`` with ``block``. Only ids and lengths are numbered, so no text travels for that."""
+    lengths = numbered(doc_lengths(bookmarks).distinct(), [F.col("length"), F.col("id")], "block")
+    blocks = lengths.select("id", "length", F.floor(F.col("block") / block_rows).cast("int").alias("block"))
+    return token_rows(bookmarks).join(blocks, ["id", "length"])
 
 
-def prefix_blocks(rows: DataFrame) -> DataFrame:
-    """``(lead, prefix, block, rows, max_freq, min_length)`` of block postings."""
-    words = rows.groupBy("block", "id", "term").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+def block_postings(tokens: DataFrame) -> DataFrame:
+    """``postings`` with ``lead`` and ``block`` of block tokens."""
+    return postings_of(tokens).withColumn("lead", lead(F.col("term")))
+
+
+def prefix_blocks(tokens: DataFrame) -> DataFrame:
+    """``(lead, prefix, block, rows, max_freq, min_length)`` of block tokens.
+
+    Texts are dealt by block, and a block is counted to the end where it lies: the prefixes of its rows, many times
+    the text, are neither shuffled nor spilled. A task gets some ``TASK_TOKENS`` tokens, whatever the table holds.
+    """
+    total = tokens.agg(F.sum(F.col("length").cast("bigint")).alias("n")).first().n or 0
+    dealt = tokens.repartition(1 + total // TASK_TOKENS, "block")
+    words = F.explode(F.split(F.concat_ws(" ", *[F.nullif(F.col(f), F.lit("")) for f in INDEXED_FIELDS]), " "))
+    terms = dealt.filter("length > 0").select("block", "id", "length", words.alias("term"))
     sizes = F.sequence(F.lit(1), F.least(F.char_length("term"), F.lit(PREFIX_CHARS)))
-    prefixes = words.select("block", "id", "tf", "length", F.explode(F.transform(sizes, lambda n: F.left("term", n))).alias("prefix"))
-    per_row = prefixes.groupBy("prefix", "block", "id").agg(F.sum("tf").alias("freq"), F.max("length").alias("length"))
-    counts = per_row.groupBy("prefix", "block").agg(
+    prefixes = terms.select("block", "id", "length", F.explode(F.transform(sizes, lambda n: F.left("term", n))).alias("prefix"))
+    per_row = prefixes.groupBy("block", "id", "prefix").agg(F.count("*").alias("freq"), F.max("length").alias("length"))
+    counts = per_row.groupBy("block", "prefix").agg(
         F.count("*").alias("rows"), F.max("freq").alias("max_freq"), F.min("length").alias("min_length")
     )
     return counts.select(lead(F.col("prefix")).alias("lead"), "prefix", "block", "rows", "max_freq", "min_length")

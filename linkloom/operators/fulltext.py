@@ -134,18 +134,38 @@ def search_scan(
 # --- the index --------------------------------------------------------------------------------
 
 
+def token_rows(bookmarks: DataFrame) -> DataFrame:
+    """``id, length`` and the tokens of each field, one row per id and length.
+
+    This is the only shuffle of the index: texts travel once, as short as they are, and the rows of an id that is
+    there more than once are put together. All that is counted per bookmark is then counted within its row.
+    """
+    joined = {f: F.array_join(F.filter(F.collect_list(f), lambda t: t != ""), " ").alias(f) for f in INDEXED_FIELDS}
+    return _tokenized(bookmarks, ["id"]).groupBy("id", "length").agg(*joined.values())
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """``(term, id, field, tf, length)`` and what else ``token_rows`` carry, one row per term and field of a row.
+
+    The words of a field are sorted in its row and counted as the lengths of runs, without a shuffle or a hash table.
+    """
+    keep = [c for c in tokens.columns if c not in INDEXED_FIELDS]
+    more = [c for c in keep if c not in ("id", "length")]
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in INDEXED_FIELDS])
+    rows = tokens.select(*keep, F.explode(per_field).alias("f")).filter(F.col("f.tokens") != "")
+    rows = rows.select(*keep, F.col("f.field").alias("field"), F.col("f.tokens").alias("tokens"))
+    rows = computed_once(rows, [*keep, "field"], {"words": F.sort_array(F.split("tokens", " "))})
+    word = lambda i: F.element_at("words", i)
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i == 1) | (word(i) != word(F.greatest(i - 1, F.lit(1)))))
+    rows = computed_once(rows, [*keep, "field", "words"], {"starts": starts})
+    end = lambda n: F.coalesce(F.get("starts", n + 1), F.size("words") + 1)
+    runs = F.transform("starts", lambda i, n: F.struct(word(i).alias("term"), (end(n) - i).cast("int").alias("tf")))
+    return rows.select(*keep, "field", F.inline(runs)).select("term", "id", "field", "tf", "length", *more)
+
+
 def postings(bookmarks: DataFrame) -> DataFrame:
     """``(term, id, field, tf, length)``, one row per term and field of a bookmark."""
-    tokens = _tokenized(bookmarks, ["id"])
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in INDEXED_FIELDS])
-    return (
-        tokens.select("id", "length", F.explode(per_field).alias("f"))
-        .filter(F.col("f.tokens") != "")
-        .select("id", "length", F.col("f.field").alias("field"), F.explode(F.split("f.tokens", " ")).alias("term"))
-        .groupBy("term", "id", "field", "length")
-        .agg(F.count("*").cast("int").alias("tf"))
-        .select("term", "id", "field", "tf", "length")
-    )
+    return postings_of(token_rows(bookmarks))
 
 
 def doc_lengths(bookmarks: DataFrame) -> DataFrame:

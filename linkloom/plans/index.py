@@ -48,12 +48,12 @@ def is_current(store: TableStore) -> bool:
 def build_index(store: TableStore, batch_id: str, block_rows: int = blockmax.BLOCK_ROWS) -> int:
     """Index every bookmark, hidden ones included. Page text is not read."""
     bookmarks = store.read("bookmarks")
-    rows = stage(blockmax.block_postings(bookmarks, block_rows), "postings")
+    tokens = stage(blockmax.block_tokens(bookmarks, block_rows), "tokens")
     lengths = fulltext.doc_lengths(bookmarks)
     version = store.spark.createDataFrame([(INDEX_VERSION_KEY, INDEX_VERSION)], "key string, value string")
     changes = {
-        "postings": rows,
-        "prefix_blocks": blockmax.prefix_blocks(rows),
+        "postings": blockmax.block_postings(tokens),
+        "prefix_blocks": blockmax.prefix_blocks(tokens),
         "postings_recent": store.empty("postings_recent"),
         "stale_ids": store.empty("stale_ids"),
         "doc_lengths": lengths,

@@ -231,7 +231,7 @@ class TableStore:
         rows = rows.select(*spec.schema.fieldNames())
         if spec.ranged:
             # The id is part of the range, so a word found in most rows is cut over many files.
-            laid = rows.withColumn("bucket", F.lit(0)).repartitionByRange(*spec.sort_by)
+            laid = rows.repartitionByRange(*spec.sort_by).withColumn("bucket", F.lit(0))
         else:
             laid = rows.withColumn("bucket", self.bucket_of(name)).repartition("bucket")
         if spec.sort_by:
