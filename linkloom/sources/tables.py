@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BOOKMARK_SCHEMA, SYNC_STATE_SCHEMA, VECTOR_SCHEMA
+from ..session import COMPRESSION
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,9 @@ FETCH_SCHEMA = T.StructType(
 
 DEFAULT_BUCKETS = 64
 
+# Tasks that a bucket is written by at most.
+BUCKET_TASKS = 256
+
 # Distinct values a Bloom filter is sized for; about the rows of one row group.
 BLOOM_ROWS = 50_000
 
@@ -233,12 +237,14 @@ class TableStore:
             # The id is part of the range, so a word found in most rows is cut over many files.
             laid = rows.repartitionByRange(*spec.sort_by).withColumn("bucket", F.lit(0))
         else:
-            laid = rows.withColumn("bucket", self.bucket_of(name)).repartition("bucket")
+            # A bucket of a large table is written by several tasks, a file each; small ones are put together again.
+            share = F.pmod(F.xxhash64(F.lit("file"), F.col(spec.key)), F.lit(BUCKET_TASKS))
+            laid = rows.withColumn("bucket", self.bucket_of(name)).repartition("bucket", share)
         if spec.sort_by:
             laid = laid.sortWithinPartitions("bucket", *spec.partition_by, *spec.sort_by)
         # A version left behind by a crash has no log row; its files are simply replaced.
         path = f"{self.root}/{name}/v={version}"
-        writer = laid.write.mode("overwrite").partitionBy("bucket", *spec.partition_by)
+        writer = laid.write.mode("overwrite").option("compression", COMPRESSION).partitionBy("bucket", *spec.partition_by)
         for column in spec.bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
             writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_ROWS))
