@@ -300,7 +300,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pages synced by a stream."""
     store, landed = new_store(spark), scratch_path(spark, "landing")
-    all_pages(spark, sf_dir).write.json(landed)
+    all_pages(spark, sf_dir).write.json(landed, compression="gzip")
     pages = landing.stream_page_rows(spark, landed)
     stream.stream_sync(pages, store, "pages", clock=lambda: BATCH_TIME).awaitTermination()
     return _slim(store.read("bookmarks"))
@@ -322,7 +322,7 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _served_pages(spark: SparkSession, sf_dir: str) -> str:
     """The format that serves all pages from a folder with one file per page."""
     path = scratch_path(spark, "served")
-    all_pages(spark, sf_dir).repartition("feed", "page_no").write.partitionBy("feed", "page_no").text(path)
+    all_pages(spark, sf_dir).write.partitionBy("feed", "page_no").text(path)
     return page_source.register(spark, page_source.FolderClient(path))
 
 
@@ -349,6 +349,10 @@ FETCHES = ("2024-06-01 12:00:00", "2024-06-02 12:00:00")
 LATE_PAGE = "feed = 'x' AND fetched_at < '2024-06-02' AND page_no = 0"
 
 
+#: Documents whose pages two landed files hold, some tens of MB; more documents make more files, not larger ones.
+DOCS_PER_FILE = 20_000
+
+
 def fetch_listing(spark: SparkSession, sf_dir: str, no: int) -> DataFrame:
     """What the feeds list at each of two fetches, newest first: ``doc_id``, its time ``t`` and place ``pos``.
 
@@ -404,14 +408,20 @@ def fetched_pages(spark: SparkSession, sf_dir: str, no: int) -> DataFrame:
     return every.withColumn("fetched_at", F.lit(FETCHES[no]).cast("timestamp"))
 
 
-def stream_sync_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two fetches of all feeds, their pages mixed over several micro-batches, one old page after all others."""
-    store, path = new_store(spark), scratch_path(spark, "landing")
+def landed_fetches(spark: SparkSession, sf_dir: str) -> landing.FetchedPages:
+    """The pages of two fetches mixed over landed files, half of them a micro-batch; one old page lands after all others."""
+    path = scratch_path(spark, "landing")
     both = fetched_pages(spark, sf_dir, 0).unionByName(fetched_pages(spark, sf_dir, 1))
     late = F.expr(LATE_PAGE)
-    both.filter(~late).repartition(4, "page_no", "feed").write.json(path)
-    both.filter(late).write.mode("append").json(path)
-    pages = landing.FetchedPages(spark, path, files_per_batch=2)
+    half = 2 * (1 + documents(spark, sf_dir).count() // DOCS_PER_FILE)
+    both.filter(~late).repartition(2 * half, "page_no", "feed").write.json(path, compression="gzip")
+    both.filter(late).write.mode("append").json(path, compression="gzip")
+    return landing.FetchedPages(spark, path, files_per_batch=half)
+
+
+def stream_sync_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fetches of all feeds, their pages mixed over several micro-batches, one old page after all others."""
+    store, pages = new_store(spark), landed_fetches(spark, sf_dir)
     stream.stream_sync_fetches(pages, store, "fetches").awaitTermination()
     return _slim(store.read("bookmarks"))
 
