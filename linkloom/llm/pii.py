@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, spread_order
+from ..session import stage
+from .common import map_batches
 
 #: Kinds in the order in which spans are listed; the first four have fixed base rules.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-#: Documents with candidates that the trees learn from, a fixed choice by key, and candidates taken from each.
-SAMPLE_ROWS, SAMPLE_CANDIDATES = 4_000, 20
+#: Different rows of snapped features that the trees are grown from; with more of them the grids get coarser.
+TRAINING_ROWS = 60_000
 #: Share of true spans among the redacted ones that a kind's threshold must keep on held-out candidates.
 PRECISION = 0.98
 CONTEXT = 24
@@ -136,6 +137,9 @@ def long_mixes(text: str) -> list[tuple[int, int]]:
     return found
 
 
+#: Numbers that ``features`` gives for a span.
+N_FEATURES = 37
+
 #: Words near a span that name its kind.
 CUES = {
     "email": ("mail", "@", "contact", "write"),
@@ -213,6 +217,32 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+def _steps(exact: int) -> list[float]:
+    """Every whole number from -1 to ``exact``, then eight steps for each doubling."""
+    wide = {math.floor(exact * 2 ** (i / 8)) for i in range(8 * 24)}
+    return [float(v) for v in sorted({*range(-1, exact), *wide})]
+
+
+def finest_grids() -> list[list[float]]:
+    """For each feature the values it is snapped down to, rising."""
+    shares = [i / 64 for i in range(64 * 17)]
+    grids = [_steps(256) for _ in range(N_FEATURES)]
+    grids[0] = [float(i) for i in range(len(KINDS))]
+    for place in (3, 10, 15):
+        grids[place] = shares
+    grids[8], grids[22], grids[23] = _steps(1024), _steps(100), _steps(10_000)
+    return grids
+
+
+def coarser(grids: list[list[float]]) -> list[list[float]]:
+    """Every other value of each grid; the kind stays as it is."""
+    return [grids[0], *(grid[::2] for grid in grids[1:])]
+
+
+def snapped(row: list[float], grids: list[list[float]]) -> list[float]:
+    return [grid[max(0, bisect.bisect_right(grid, v) - 1)] for v, grid in zip(row, grids)]
+
+
 def extra_label(text: str, kind: str, start: int, end: int) -> bool:
     """Whether a candidate that is not a base span is personal data, by a rule of its own: an IPv6 address, a
     spelt-out address with a known top-level domain, a card number of a known issuer with a right check digit,
@@ -261,8 +291,9 @@ class Tree:
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
 
-    def grow(self, rows: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int) -> int:
-        """Adds the subtree of these rows: the split with the largest gain of second order, or a leaf."""
+    def grow(self, rows: np.ndarray, values: list[np.ndarray], gradient: np.ndarray, hessian: np.ndarray, depth: int) -> int:
+        """Adds the subtree of these rows, given as places in the rising ``values`` of each feature: the split with the
+        largest gain of second order, or a leaf."""
         node = len(self.feature)
         self.feature.append(-1)
         self.cut.append(0.0)
@@ -271,21 +302,29 @@ class Tree:
         self.value.append(float(gradient.sum() / (hessian.sum() + 1.0)))
         best = (1e-6, -1, 0.0)
         for f in range(rows.shape[1] if depth else 0):
-            order = np.argsort(rows[:, f], kind="stable")
-            values = rows[order, f]
-            g, h = np.cumsum(gradient[order]), np.cumsum(hessian[order])
+            size = len(values[f])
+            there = np.flatnonzero(np.bincount(rows[:, f], minlength=size))
+            g = np.cumsum(np.bincount(rows[:, f], gradient, size)[there])
+            h = np.cumsum(np.bincount(rows[:, f], hessian, size)[there])
             gain = (g**2 / (h + 1) + (g[-1] - g) ** 2 / (h[-1] - h + 1) - g[-1] ** 2 / (h[-1] + 1))[:-1]
-            gain[values[1:] == values[:-1]] = -1.0
             if len(gain) and gain.max() > best[0]:
                 at = int(gain.argmax())
-                best = (float(gain[at]), f, float((values[at] + values[at + 1]) / 2))
+                best = (float(gain[at]), f, float((values[f][there[at]] + values[f][there[at + 1]]) / 2))
         if best[1] >= 0:
-            side = rows[:, best[1]] <= best[2]
+            side = values[best[1]][rows[:, best[1]]] <= best[2]
             self.feature[node], self.cut[node] = best[1], best[2]
-            self.left[node] = self.grow(rows[side], gradient[side], hessian[side], depth - 1)
-            self.right[node] = self.grow(rows[~side], gradient[~side], hessian[~side], depth - 1)
+            self.left[node] = self.grow(rows[side], values, gradient[side], hessian[side], depth - 1)
+            self.right[node] = self.grow(rows[~side], values, gradient[~side], hessian[~side], depth - 1)
         return node
 
+    def apply_all(self, rows: np.ndarray) -> np.ndarray:
+        feature, cut, left, right = (np.array(c) for c in (self.feature, self.cut, self.left, self.right))
+        node = np.zeros(len(rows), int)
+        while (inner := feature[node] >= 0).any():
+            low = rows[np.arange(len(rows)), feature[node]] <= cut[node]
+            node = np.where(inner, np.where(low, left[node], right[node]), node)
+        return np.array(self.value)[node]
+
     def apply(self, row: list[float]) -> float:
         node = 0
         while self.feature[node] >= 0:
@@ -295,74 +334,130 @@ class Tree:
 
 @dataclass
 class Boosting:
-    """Boosted trees for the logistic loss with a threshold per kind."""
+    """Boosted trees for the logistic loss with a threshold per kind; ``grids`` are what its features are snapped to."""
 
     trees: list[Tree]
     start: float
     rate: float
     thresholds: dict[str, float]
+    grids: list[list[float]] | None = None
 
     def probability(self, row: list[float]) -> float:
+        row = snapped(row, self.grids) if self.grids else row
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.start + self.rate * sum(t.apply(row) for t in self.trees)))))
 
 
-def boost(rows: np.ndarray, labels: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.3) -> Boosting:
-    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
+def boost(
+    rows: np.ndarray, labels: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.3, counts: np.ndarray | None = None
+) -> Boosting:
+    """Trees for rows that stand for ``counts`` candidates each, or for one."""
+    counts = np.ones(len(rows)) if counts is None else counts
+    share = float(np.clip((labels * counts).sum() / counts.sum(), 1e-3, 1 - 1e-3))
     start = math.log(share / (1 - share))
+    ranked = [np.unique(column, return_inverse=True) for column in rows.T]
+    values, places = [v for v, _ in ranked], np.column_stack([at.reshape(-1) for _, at in ranked])
     total, trees = np.full(len(rows), start), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-total))
         tree = Tree()
-        tree.grow(rows, labels - p, p * (1 - p), depth)
+        tree.grow(places, values, counts * (labels - p), counts * p * (1 - p), depth)
         trees.append(tree)
-        total = total + rate * np.array([tree.apply(r) for r in rows.tolist()])
+        total = total + rate * tree.apply_all(rows)
     return Boosting(trees, start, rate, {})
 
 
-def calibrate(model: Boosting, kinds: list[str], scores: np.ndarray, labels: np.ndarray, precision: float = PRECISION) -> None:
+def calibrate(
+    model: Boosting, kinds: list[str], scores: np.ndarray, labels: np.ndarray, precision: float = PRECISION, counts: np.ndarray | None = None
+) -> None:
     """Per kind the lowest threshold that keeps the precision among all held-out candidates above it; a kind
-    without such a threshold adds nothing."""
+    without such a threshold adds nothing. ``counts`` as in ``boost``."""
+    counts = np.ones(len(scores)) if counts is None else counts
     for kind in KINDS:
         own = np.array([k == kind for k in kinds], bool)
         model.thresholds[kind] = 2.0
         order = np.argsort(-scores[own], kind="stable")
-        ranked, hits = scores[own][order], np.cumsum(labels[own][order])
-        good = hits / np.arange(1, len(hits) + 1) >= precision
+        ranked, hits = scores[own][order], np.cumsum((labels * counts)[own][order])
+        good = hits / np.cumsum(counts[own][order]) >= precision
         last_of_tie = np.append(ranked[1:] != ranked[:-1], True)[: len(ranked)]
         if (good & last_of_tie).any():
             model.thresholds[kind] = float(ranked[np.flatnonzero(good & last_of_tie)[-1]])
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Boosting:
-    """Trees and thresholds from candidates in about ``rows`` documents that hold a digit or an @.
+_COUNTED = "checks boolean, label int, places binary"
 
-    The choice is by a fixed hash of the key, and of each document at most SAMPLE_CANDIDATES, evenly spread,
-    so the driver gets a bounded table of numbers. Two thirds train, the others set the thresholds.
-    """
-    body = F.col(text).cast("string")
-    likely = docs.select(F.col(key).alias("key"), body.alias("text")).where(F.col("text").rlike("[0-9@]"))
-    share = min(1.0, rows / max(1, likely.count()))
-    sample = likely.where(spread_order("key") < share).withColumn("checks", F.pmod(F.xxhash64("key"), F.lit(3)) == 0)
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Equal rows of ``checks, label, places`` as one with their number ``n``."""
+    n = F.sum("n") if "n" in rows.columns else F.count("*")
+    return stage(rows.groupBy("checks", "label", "places").agg(n.cast("long").alias("n")), "candidates")
+
+
+def counted_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``checks, label, places, n``: all candidates of all documents, counted by their label and the places of their
+    features in the finest grids (two bytes each). ``checks`` marks a third of the documents, by a fixed hash of the key."""
+    likely = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    marked = likely.select("text", (F.pmod(F.xxhash64("key"), F.lit(3)) == 0).alias("checks"))
+
+    def transform():
+        grids = finest_grids()
+
+        def places(row: list[float]) -> bytes:
+            return np.array([max(0, bisect.bisect_right(g, v) - 1) for v, g in zip(row, grids)], np.uint16).tobytes()
+
+        def step(batch: pa.RecordBatch) -> list:
+            checks, labels, rows = [], [], []
+            for body, check in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, s, e in candidates(body):
+                    checks.append(bool(check))
+                    labels.append(rule_label(body, k, s, e))
+                    rows.append(places(features(body, k, s, e)))
+            return [checks, labels, rows]
+
+        return step
+
+    return _counted(map_batches(marked, transform, _COUNTED))
+
+
+def _halved(counted: DataFrame) -> DataFrame:
+    """Counted candidates on grids of every other value."""
 
     def transform():
         def step(batch: pa.RecordBatch) -> list:
-            out: list[tuple] = []
-            for body, checks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = candidates(body)
-                found = found[:: max(1, -(-len(found) // SAMPLE_CANDIDATES))]
-                out += [(k, bool(checks), rule_label(body, k, s, e), features(body, k, s, e)) for k, s, e in found]
-            return [list(c) for c in zip(*out)] if out else [[], [], [], []]
+            places = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, N_FEATURES).copy()
+            places[:, 1:] >>= 1
+            return [batch.column(0), batch.column(1), [row.tobytes() for row in places], batch.column(3)]
 
         return step
 
-    given = map_batches(sample.select("text", "checks"), transform, "kind string, checks boolean, label int, features array<double>").collect()
-    given.sort(key=lambda r: (r["kind"], r["checks"], r["label"], r["features"]))
+    return _counted(map_batches(counted, transform, f"{_COUNTED}, n long"))
+
+
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAINING_ROWS) -> Boosting:
+    """Trees and thresholds from every candidate in every document.
+
+    Candidates are counted by label and snapped features; the trees are grown and the thresholds set with these counts, so
+    none is left out. While there are more than ``rows`` different ones, the grids are halved, so the
+    driver gets a bounded table of numbers. Two thirds train, the others set the thresholds.
+    """
+    grids, counted = finest_grids(), counted_candidates(docs, key, text)
+    while counted.count() > rows and max(map(len, grids[1:])) > 1:
+        grids, counted = coarser(grids), _halved(counted)
+    given = sorted(counted.collect(), key=lambda r: (r["checks"], r["label"], bytes(r["places"])))
     fit, held = ([r for r in given if bool(r["checks"]) == side] for side in (False, True))
     if not fit or not held:
         return Boosting([], -30.0, 0.0, {})
-    model = boost(np.array([r["features"] for r in fit]), np.array([r["label"] for r in fit], float))
-    scores = np.array([model.probability(r["features"]) for r in held])
-    calibrate(model, [r["kind"] for r in held], scores, np.array([r["label"] for r in held], float))
+
+    def table(given: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        places = np.frombuffer(b"".join(bytes(r["places"]) for r in given), np.uint16).reshape(-1, N_FEATURES)
+        values = np.column_stack([np.array(grid)[places[:, f]] for f, grid in enumerate(grids)])
+        return values, np.array([r["label"] for r in given], float), np.array([r["n"] for r in given], float)
+
+    values, labels, counts = table(fit)
+    model = boost(values, labels, counts=counts)
+    model.grids = grids
+    values, labels, counts = table(held)
+    scores = np.array([model.probability(row) for row in values.tolist()])
+    calibrate(model, [KINDS[int(kind)] for kind in values[:, 0]], scores, labels, counts=counts)
     return model
 
 

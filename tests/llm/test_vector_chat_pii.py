@@ -231,3 +231,17 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
     assert last.count() == counts[-1] and {"n_tokens", "ids", "decoded_sha256"} <= set(last.columns)
     assert corpus_pipeline.STAGES[2][1](spark, docs.limit(0), SF_DIR).isEmpty()
+
+
+def test_learning_counts_every_candidate(spark):
+    """No document and no candidate is left out, on coarser grids neither."""
+    rows = [(i, f"call +44 20 {i:04d} 1234, card 4111 1111 1111 1111, ") for i in range(300)]
+    rows.append((300, " ".join(f"10.0.{n // 250}.{n % 250}" for n in range(2000))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = sum(len(pii.candidates(text)) for _, text in rows)
+    assert every > 2500
+    counted = pii.counted_candidates(docs, "doc_id", "text")
+    halved = pii._halved(counted)
+    assert [c.agg({"n": "sum"}).first()[0] for c in (counted, halved)] == [every, every]
+    assert halved.count() < counted.count()
+    assert len(pii.learn(docs, rows=halved.count()).grids[1]) < len(pii.finest_grids()[1])
