@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import stage
+from ..session import BATCH_BYTES, bound_batches, stage
 
 #: Entries a Python worker keeps for words it has already seen; the memo is emptied when full.
 MEMO_ENTRIES = 100_000
-#: Input of one step in a Python worker, on average: what a step holds at once is a multiple of it.
-BATCH_BYTES = 4 << 20
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +36,7 @@ def map_batches(rows: DataFrame, transform: Callable[[], Callable[[pa.RecordBatc
 
     Batches are limited in bytes on their way to the workers too: both ends hold a whole one.
     """
-    conf = rows.sparkSession.conf
-    limit = conf.get(BATCH_SETTING).rstrip("b")  # a limit given with a unit is somebody's choice
-    if limit.isdigit() and int(limit) > BATCH_BYTES:
-        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    bound_batches(rows.sparkSession)
     fields = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(fields)
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import models
 from linkloom.operators import fulltext, listing
 from linkloom.operators.listing import hidden_ids
 from linkloom.plans import enrich, index
@@ -437,3 +438,10 @@ def test_answers_are_kept_by_text(spark, store):
     found = by(store.read("bookmarks"))
     assert found["https://e.org/9"]["summary"] == found["https://e.org/2"]["summary"] != ""
     assert found["https://e.org/4"]["summary"] == found["https://e.org/0"]["summary"]
+
+
+def test_model_batches_are_limited_in_bytes(spark):
+    """A worker holds some MB of whole texts at once, not thousands of them."""
+    rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    held = rows.select(models.apply_model(lambda t: t.map(lambda _: str(t.str.len().sum())), F.col("t"), "string").alias("n"))
+    assert held.agg(F.max(F.col("n").cast("long"))).first()[0] < 8_000_000
