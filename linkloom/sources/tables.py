@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,9 @@ DEFAULT_BUCKETS = 64
 # Tasks that a bucket is written by at most.
 BUCKET_TASKS = 256
 
+# Marks the rows that take the place of stored rows with the same key.
+NEWER = "_newer"
+
 # Distinct values a Bloom filter is sized for; about the rows of one row group.
 BLOOM_ROWS = 50_000
 
@@ -187,6 +190,13 @@ class TableStore:
         buckets = self.snapshot().buckets.get(name, spec.buckets)
         return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
+    def slice_of(self, name: str, slices: int) -> Column:
+        """Which of so many slices of about one size a row is in. A slice lies in as few buckets as it can."""
+        spec = self.tables[name]
+        buckets = self.snapshot().buckets.get(name, spec.buckets)
+        place = self.bucket_of(name) + F.pmod(F.xxhash64(F.lit("slice"), F.col(spec.key)), F.lit(1 << 20)) / (1 << 20)
+        return F.floor(place * slices / buckets).cast("int")
+
     def touched(self, name: str, keys: DataFrame) -> list[int]:
         """Buckets the rows of ``keys`` fall into; at most the bucket count of the table."""
         rows = keys.select(self.bucket_of(name).alias("bucket")).distinct().collect()
@@ -213,7 +223,8 @@ class TableStore:
 
         ``touched`` limits the replacement of a table to some of its buckets; the DataFrame then
         holds the new contents of these buckets only. Unreplaced buckets and tables are kept. A batch
-        id that was committed before changes nothing.
+        id that was committed before changes nothing. Rows with a column ``_newer`` are merged while they are
+        written: those of a key that are not newer go when it has newer ones.
         """
         before = self.snapshot()
         if self.has_batch(batch_id):
@@ -232,14 +243,19 @@ class TableStore:
 
     def _write(self, name: str, rows: DataFrame, version: int) -> list[int]:
         spec = self.tables[name]
-        rows = rows.select(*spec.schema.fieldNames())
+        merged = [NEWER] if NEWER in rows.columns else []
+        rows = rows.select(*spec.schema.fieldNames(), *merged)
         if spec.ranged:
             # The id is part of the range, so a word found in most rows is cut over many files.
             laid = rows.repartitionByRange(*spec.sort_by).withColumn("bucket", F.lit(0))
         else:
             # A bucket of a large table is written by several tasks, a file each; small ones are put together again.
             share = F.pmod(F.xxhash64(F.lit("file"), F.col(spec.key)), F.lit(BUCKET_TASKS))
-            laid = rows.withColumn("bucket", self.bucket_of(name)).repartition("bucket", share)
+            laid = rows.withColumns({"bucket": self.bucket_of(name), "_share": share}).repartition("bucket", "_share")
+            if merged:  # the rows of a key are already together
+                newest = Window.partitionBy("bucket", "_share", spec.key).orderBy(F.col(NEWER).desc())
+                laid = laid.withColumn("_place", F.rank().over(newest)).filter("_place = 1").drop("_place", NEWER)
+            laid = laid.drop("_share")
         if spec.sort_by:
             laid = laid.sortWithinPartitions("bucket", *spec.partition_by, *spec.sort_by)
         # A version left behind by a crash has no log row; its files are simply replaced.

@@ -47,3 +47,13 @@ def test_more_documents_land_in_more_files(spark, monkeypatch):
     files = [len(list(Path(p.path).glob("*.json.gz"))) for p in (few, many)]
     assert files[1] > 2 * files[0] and many.files_per_batch > few.files_per_batch == 2
     assert few.read().exceptAll(many.read()).isEmpty() and many.read().exceptAll(few.read()).isEmpty()
+
+
+def test_slices_lie_in_few_buckets(spark):
+    """A slice of a table rewrites the buckets next to each other that it lies in, not all of them."""
+    store = TableStore(spark, scratch_path(spark, "sliced"), default_tables(8))
+    urls = spark.range(4000).select(F.concat(F.lit("https://e.org/"), F.col("id")).alias("url"))
+    placed = urls.select(store.slice_of("bookmarks", 3).alias("slice"), store.bucket_of("bookmarks").alias("bucket"))
+    found = placed.groupBy("slice").agg(F.count("*").alias("n"), F.count_distinct("bucket").alias("buckets")).collect()
+    assert sorted(r.slice for r in found) == [0, 1, 2]
+    assert max(r.buckets for r in found) <= 4 and min(r.n for r in found) > 1000
