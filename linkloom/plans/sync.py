@@ -162,7 +162,9 @@ def publish(
     plain = swept is None and not reprocess
     seen, added = Observation(), Observation()
     watched = rows.observe(seen, *_per_feed(specs, F.lit(True))) if plain else rows
-    batch = stage(catalog.collapse_batch(watched, BATCH_ORDER, blank_is_null), "batch")
+    batch = catalog.collapse_batch(watched, BATCH_ORDER, blank_is_null)
+    # Feeds that are merged in turn are collapsed one by one there; here only their urls and ids are asked for.
+    batch = stage(batch if plain else batch.select("id", "url"), "batch")
     buckets = None if swept is not None else store.touched("bookmarks", batch)
     existing = store.read("bookmarks", buckets)
     if plain:
@@ -173,7 +175,7 @@ def publish(
             merged = existing.select(*BOOKMARK_COLUMNS).unionByName(merged)
     else:
         counts = catalog.upsert_stats(existing, rows, BATCH_ORDER).collect()
-        merged = _merge_in_turn(existing, rows, specs, batch_time, swept or [], reprocess, blank_is_null)
+        merged = _merge_in_turn(existing, rows, specs, batch_time, swept or [], reprocess, blank_is_null, {c.source for c in counts})
     changes = {"bookmarks": merged}
     touched = {} if buckets is None else {"bookmarks": buckets}
     gone = None
@@ -200,20 +202,23 @@ def publish(
     return SyncResult(stats=stats, new_items=sum(c[1] for c in counts))
 
 
-def _merge_in_turn(existing, rows, specs, batch_time, swept, reprocess, blank_is_null) -> DataFrame:
+def _merge_in_turn(existing, rows, specs, batch_time, swept, reprocess, blank_is_null, given) -> DataFrame:
     """Merge one feed after the other, as deletions and resets of a feed are seen by the next.
 
-    Without either, one merge of all feeds gives the same rows.
+    Without either, one merge of all feeds gives the same rows. The merge itself tells which urls it met again and which rows
+    of the feed it did not meet, so neither needs a join of its own. A feed without rows that is not swept changes nothing.
     """
     current = existing
     for spec in specs:
+        if spec.name not in given and spec.name not in swept:
+            continue
         mine = rows.filter(F.col("source") == spec.name)
         batch = stage(catalog.collapse_batch(mine, BATCH_ORDER, blank_is_null), "batch")
-        following = catalog.upsert(current, batch, batch_time, blank_is_null).select(*BOOKMARK_COLUMNS)
-        if reprocess:
-            following = catalog.mark_for_reprocess(following, catalog.repeated_urls(current, batch), "url")
+        following = catalog.upsert_met(current, batch, batch_time, blank_is_null)
         if spec.name in swept:
-            following = catalog.delete_ids(following, catalog.orphans(following, batch, spec.name))
+            following = following.filter(~F.col("source").eqNullSafe(spec.name) | F.col("changed"))
+        if reprocess:
+            following = catalog.clear_where(following, F.col("met_again"))
         current = stage(following.select(*BOOKMARK_COLUMNS), "merged")
     return current
 

@@ -183,3 +183,13 @@ def test_state_and_vectors_are_replaced_by_key(spark):
     assert listing.read_state(put, "b").first().value == "3"
     assert listing.read_state(put, "zzz").first().value == ""
     assert catalog.id_collisions(table(spark, {"url": "a", "id": "1"}, {"url": "b", "id": "1"})).first().urls == 2
+
+
+def test_a_merge_tells_which_urls_it_met_again(spark):
+    """What ``repeated_urls`` finds by joins of its own: stored urls, and those a batch holds twice."""
+    stored = table(spark, {"url": "known"}, {"url": "left alone"})
+    incoming = batch(spark, {"url": "known"}, {"url": "new"}, {"url": "twice"}, {"url": "twice", "title": "later"})
+    merged = catalog.upsert_met(stored, incoming, T0)
+    met = {r.url for r in merged.filter("met_again").collect()}
+    assert met == {r.url for r in catalog.repeated_urls(stored, incoming).collect()} == {"known", "twice"}
+    assert {r.url for r in merged.filter("changed").collect()} == {"known", "new", "twice"}
