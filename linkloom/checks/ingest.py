@@ -6,6 +6,7 @@ back through the same code that reads landed pages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,28 +27,46 @@ from .views import BATCH_TIME, doc_url, documents, shown_time, sql_id, sql_time,
 BUCKETS = 4
 
 
-def _doc_time() -> Column:
+def _doc_time(doc: Column) -> Column:
     start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return F.timestamp_seconds(start + F.col("doc_id") * 60)
+    return F.timestamp_seconds(start + doc * 60)
 
 
-def _undated() -> Column:
-    return F.col("doc_id") % 13 == 0
+def _undated(doc: Column) -> Column:
+    return doc % 13 == 0
 
 
-def _packed(rows: DataFrame, item: Column, size: int) -> DataFrame:
-    """``(page_no, items)`` with ``size`` items to a page in document order."""
-    pages = rows.select((F.col("doc_id") / size).cast("int").alias("page_no"), F.struct("doc_id", item.alias("item")).alias("e"))
-    ordered = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["item"])
-    return pages.groupBy("page_no").agg(ordered.alias("items"))
+def _doc_link(doc: Column) -> Column:
+    return F.concat(F.lit("https://example.org/d/"), doc.cast("string"))
+
+
+#: Documents that travel together; pages of all feeds are cut from them.
+GROUP = 100
+
+
+def _packed(rows: DataFrame, item: Callable[[Column], Column], size: int) -> DataFrame:
+    """``(page_no, items)`` with ``size`` items to a page in document order; ``size`` divides ``GROUP``.
+
+    Whole documents are grouped, and pages made from a group: the feeds then have one shuffle between them.
+    """
+    doc = F.struct("doc_id", "text", "lang", "source").alias("doc")
+    groups = rows.select((F.col("doc_id") / GROUP).cast("int").alias("group"), doc).groupBy("group").agg(F.collect_list("doc").alias("docs"))
+    page = lambda d: (d["doc_id"] / size).cast("int")
+    pages = groups.select("docs", F.explode(F.array_distinct(F.transform("docs", page))).alias("page_no"))
+    own = F.filter("docs", lambda d: page(d).eqNullSafe(F.col("page_no")))
+    placed = F.transform(own, lambda d: F.struct(d["doc_id"].alias("doc_id"), item(d).alias("item")))
+    return pages.select("page_no", F.transform(F.array_sort(placed), lambda e: e["item"]).alias("items"))
 
 
 def x_pages(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """Object pages with a cursor that runs out on the last page."""
     docs = documents(spark, sf_dir).filter(where)
-    when = F.when(_undated(), "soon").otherwise(F.date_format(_doc_time(), "EEE MMM dd HH:mm:ss Z yyyy"))
-    author = F.struct(F.col("source").alias("username"), F.col("lang").alias("name"))
-    item = F.struct(F.col("doc_id").cast("string").alias("id"), "text", when.alias("createdAt"), author.alias("author"))
+
+    def item(d: Column) -> Column:
+        when = F.when(_undated(d["doc_id"]), "soon").otherwise(F.date_format(_doc_time(d["doc_id"]), "EEE MMM dd HH:mm:ss Z yyyy"))
+        author = F.struct(d["source"].alias("username"), d["lang"].alias("name"))
+        return F.struct(d["doc_id"].cast("string").alias("id"), d["text"].alias("text"), when.alias("createdAt"), author.alias("author"))
+
     pages = _packed(docs, item, 100)
     last = docs.agg((F.max("doc_id") / 100).cast("int").alias("last"))
     cursor = F.when(F.col("page_no") < F.col("last"), F.concat(F.lit("c"), F.col("page_no").cast("string")))
@@ -58,16 +77,19 @@ def x_pages(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
 def raindrop_pages(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """Bare arrays and object pages in turn."""
     docs = documents(spark, sf_dir).filter(where)
-    created = F.when(_undated(), "").otherwise(format_rfc3339(_doc_time()))
-    item = F.struct(
-        F.col("doc_id").alias("_id"),
-        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
-        doc_url().alias("link"),
-        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("excerpt"),
-        F.col("source").alias("note"),
-        created.alias("created"),
-        F.array("lang", "source").alias("tags"),
-    )
+
+    def item(d: Column) -> Column:
+        created = F.when(_undated(d["doc_id"]), "").otherwise(format_rfc3339(_doc_time(d["doc_id"])))
+        return F.struct(
+            d["doc_id"].alias("_id"),
+            F.concat(F.lit("doc "), d["doc_id"].cast("string")).alias("title"),
+            _doc_link(d["doc_id"]).alias("link"),
+            F.when(d["doc_id"] % 5 == 0, "").otherwise(d["text"]).alias("excerpt"),
+            d["source"].alias("note"),
+            created.alias("created"),
+            F.array(d["lang"], d["source"]).alias("tags"),
+        )
+
     bare, whole = F.to_json("items"), F.to_json(F.struct("items"))
     body = F.when(F.col("page_no") % 2 == 0, bare).otherwise(whole)
     return _packed(docs, item, 50).select(F.lit("raindrop").alias("feed"), "page_no", body.alias("body"))
@@ -76,13 +98,17 @@ def raindrop_pages(spark: SparkSession, sf_dir: str, where: str = "true") -> Dat
 def github_pages(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """Every page printed as two arrays back to back."""
     docs = documents(spark, sf_dir).filter(where)
-    starred = F.when(_undated(), "never").otherwise(format_rfc3339(_doc_time()))
-    repo = F.struct(
-        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("full_name"),
-        doc_url().alias("html_url"),
-        F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("description"),
-    )
-    pages = _packed(docs, F.struct(starred.alias("starred_at"), repo.alias("repo")), 100)
+
+    def item(d: Column) -> Column:
+        starred = F.when(_undated(d["doc_id"]), "never").otherwise(format_rfc3339(_doc_time(d["doc_id"])))
+        repo = F.struct(
+            F.concat(d["source"], F.lit("/"), d["doc_id"].cast("string")).alias("full_name"),
+            _doc_link(d["doc_id"]).alias("html_url"),
+            F.when(d["doc_id"] % 3 > 0, d["text"]).alias("description"),
+        )
+        return F.struct(starred.alias("starred_at"), repo.alias("repo"))
+
+    pages = _packed(docs, item, 100)
     body = F.concat(F.to_json(F.slice("items", 1, 60)), F.lit("\n "), F.to_json(F.slice("items", 61, 100)))
     return pages.select(F.lit("github").alias("feed"), "page_no", body.alias("body"))
 

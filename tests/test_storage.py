@@ -57,3 +57,15 @@ def test_slices_lie_in_few_buckets(spark):
     found = placed.groupBy("slice").agg(F.count("*").alias("n"), F.count_distinct("bucket").alias("buckets")).collect()
     assert sorted(r.slice for r in found) == [0, 1, 2]
     assert max(r.buckets for r in found) <= 4 and min(r.n for r in found) > 1000
+
+
+def test_the_pages_of_all_feeds_have_one_shuffle_of_texts(spark):
+    """Documents are grouped once; the pages of the other feeds are cut from the same groups."""
+    adaptive = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        plan = ingest.all_pages(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(adaptive, before)
+    assert plan.count("ReusedExchange") >= 2
