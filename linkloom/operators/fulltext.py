@@ -140,8 +140,18 @@ def token_rows(bookmarks: DataFrame) -> DataFrame:
     This is the only shuffle of the index: texts travel once, as short as they are, and the rows of an id that is
     there more than once are put together. All that is counted per bookmark is then counted within its row.
     """
+    return put_together(_tokenized(bookmarks, ["id"]))
+
+
+def token_texts(bookmarks: DataFrame) -> DataFrame:
+    """``token_rows`` before the rows of an id are put together: ``id, length`` and tokens of every bookmark, without a shuffle."""
+    return _tokenized(bookmarks, ["id"])
+
+
+def put_together(tokens: DataFrame, place: Sequence[str] = ()) -> DataFrame:
+    """One row per id and length of ``token_texts``; ``place`` names columns that follow from the id, by which rows already lie."""
     joined = {f: F.array_join(F.filter(F.collect_list(f), lambda t: t != ""), " ").alias(f) for f in INDEXED_FIELDS}
-    return _tokenized(bookmarks, ["id"]).groupBy("id", "length").agg(*joined.values())
+    return tokens.groupBy(*place, "id", "length").agg(*joined.values())
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
@@ -171,7 +181,7 @@ def postings(bookmarks: DataFrame) -> DataFrame:
 def doc_lengths(bookmarks: DataFrame) -> DataFrame:
     """``(id, length)`` of every bookmark, those without a single token included."""
     tokens = computed_once(bookmarks, ["id"], {"tokens": token_text(F.concat_ws(" ", *INDEXED_FIELDS))})
-    return tokens.select("id", token_count(F.col("tokens")).alias("length"))
+    return computed_once(tokens, ["id"], {"length": token_count(F.col("tokens"))})
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

@@ -9,14 +9,17 @@ of ``doc_lengths``, replaced together with its bucket, so no search reads the le
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import blockmax, catalog, fulltext, quantised
 from ..operators.listing import read_state
+from ..operators.skew import near_keys
 from ..schema import BOOKMARK_COLUMNS, INDEXED_FIELDS
 from ..session import stage
-from ..sources.tables import TableStore
+from ..sources.tables import DEALT, Parts, TableStore
 
 INDEX_VERSION_KEY = "index_version"
 
@@ -83,17 +86,40 @@ def recent_postings(recent: DataFrame, changed_ids: DataFrame, bookmarks: DataFr
     return catalog.delete_ids(recent, changed_ids).unionByName(rows.select(*recent.columns))
 
 
+def dealt_postings(bookmarks: DataFrame, ids: DataFrame | None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """What is dealt for the postings of bookmarks, those of ``ids`` if given, and what makes the postings of it.
+
+    Tokens are dealt by id, as short as they are, and become postings behind the shuffle; ``ids`` are dealt with them.
+    """
+    tokens = fulltext.token_texts(bookmarks)
+    if ids is not None:
+        tokens = tokens.withColumn("_wanted", F.lit(False)).unionByName(ids.withColumn("_wanted", F.lit(True)), allowMissingColumns=True)
+
+    def made(dealt: DataFrame) -> DataFrame:
+        if ids is not None:
+            named = dealt.withColumn("_named", F.bool_or("_wanted").over(Window.partitionBy(*DEALT, "id")))
+            dealt = named.filter(F.col("_named") & ~F.col("_wanted")).drop("_named", "_wanted")
+        rows = fulltext.postings_of(fulltext.put_together(dealt, DEALT))
+        return rows.withColumns({"lead": fulltext.lead(F.col("term")), "block": F.lit(None).cast("int")})
+
+    return tokens, made
+
+
 def changes_for(
     store: TableStore, changed_ids: DataFrame, bookmarks: DataFrame
-) -> tuple[dict[str, DataFrame], dict[str, list[int]]]:
+) -> tuple[dict[str, DataFrame | Parts], dict[str, list[int]]]:
     """Table changes and touched buckets that bring the index up to date for ``changed_ids``."""
-    ids = changed_ids.select("id").distinct()
-    now = bookmarks.join(ids, "id", "left_semi")
+    ids = stage(changed_ids.select("id").distinct(), "ids")
     buckets = store.touched("doc_lengths", ids)
-    lengths = catalog.delete_ids(store.read("doc_lengths", buckets), ids).unionByName(fulltext.doc_lengths(now))
-    lengths = stage(lengths, "lengths")
+    near, few = near_keys(ids)
+    # Texts are cut to the changed ids where they lie, or else after their words were counted.
+    now = bookmarks.join(near, "id", "left_semi") if few else bookmarks
+    counted = fulltext.doc_lengths(now) if few else fulltext.doc_lengths(bookmarks).join(ids, "id", "left_semi")
+    lengths = stage(store.read("doc_lengths", buckets).join(near, "id", "left_anti").unionByName(counted), "lengths")
+    kept = store.read("postings_recent", buckets).join(near, "id", "left_anti")
+    kept = kept if few else store.deal("postings_recent", kept)
     changes = {
-        "postings_recent": recent_postings(store.read("postings_recent", buckets), ids, bookmarks),
+        "postings_recent": Parts(kept, *dealt_postings(now, None if few else ids)),
         "stale_ids": store.read("stale_ids", buckets).union(ids).distinct(),
         "doc_lengths": lengths,
         "corpus_parts": corpus_parts(store, lengths),

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, incremental
 from ..operators.listing import is_stale
+from ..operators.skew import near_keys
 from ..schema import BOOKMARK_COLUMNS, LAST_REFRESH_KEY
 from ..session import observed, stage
 from ..sources import feeds as feed_source
 from ..sources.feeds import BATCH_ORDER, FeedSpec
-from ..sources.tables import TableStore
+from ..sources.tables import Parts, TableStore
 from . import enrich as enrich_plan
 from . import index as index_plan
 
@@ -162,21 +163,28 @@ def publish(
     plain = swept is None and not reprocess
     seen, added = Observation(), Observation()
     watched = rows.observe(seen, *_per_feed(specs, F.lit(True))) if plain else rows
+    # Feeds are collapsed while they are merged; here only their urls and ids are asked for.
     batch = catalog.collapse_batch(watched, BATCH_ORDER, blank_is_null)
-    # Feeds that are merged in turn are collapsed one by one there; here only their urls and ids are asked for.
-    batch = stage(batch if plain else batch.select("id", "url"), "batch")
+    batch = stage(batch if plain and only_new else batch.select("id", "url"), "batch")
     buckets = None if swept is not None else store.touched("bookmarks", batch)
     existing = store.read("bookmarks", buckets)
-    if plain:
-        kept = existing.limit(0) if only_new else existing
-        merged = catalog.upsert(kept, catalog.fresh(existing, batch) if only_new else batch, batch_time, blank_is_null)
+    if plain and only_new:
+        merged = catalog.upsert(existing.limit(0), catalog.fresh(existing, batch), batch_time, blank_is_null)
         merged = merged.observe(added, *_per_feed(specs, F.col("is_new"))).select(*BOOKMARK_COLUMNS)
-        if only_new:
-            merged = existing.select(*BOOKMARK_COLUMNS).unionByName(merged)
+        written = store.prepare("bookmarks", Parts(existing, merged))
+        merged = written.rows
+    elif plain:
+        whole = catalog.collapse_batch(rows, BATCH_ORDER, blank_is_null)
+        near, few = near_keys(batch.select("url"))
+        met = existing.join(near, "url", "left_semi") if few else existing
+        dealt, merge = catalog.dealt_upsert(met, whole, batch_time, blank_is_null)
+        counted = lambda d: merge(d).observe(added, *_per_feed(specs, F.col("is_new")))
+        written = store.prepare("bookmarks", Parts(existing.join(near, "url", "left_anti") if few else None, dealt, counted))
+        merged = written.rows
     else:
         counts = catalog.upsert_stats(existing, rows, BATCH_ORDER).collect()
         merged = _merge_in_turn(existing, rows, specs, batch_time, swept or [], reprocess, blank_is_null, {c.source for c in counts})
-    changes = {"bookmarks": merged}
+    changes = {"bookmarks": written if plain else merged}
     touched = {} if buckets is None else {"bookmarks": buckets}
     gone = None
     if swept is not None:
@@ -241,13 +249,17 @@ def _holding(store: TableStore, ids: DataFrame) -> list[int]:
 
 def remove(store: TableStore, ids: DataFrame, batch_id: str) -> int:
     """Delete bookmarks with their vectors and index entries in one commit; only buckets that hold them are rewritten."""
-    held = _holding(store, ids)
-    bookmarks = catalog.delete_ids(store.read("bookmarks", held), ids)
-    buckets = store.touched("vectors", ids)
-    changes = {"bookmarks": bookmarks, "vectors": catalog.delete_ids(store.read("vectors", buckets), ids)}
+    if store.has_batch(batch_id):
+        return store.snapshot().version
+    near, few = near_keys(stage(ids.select("id").distinct(), "ids"))
+    held = _holding(store, near)
+    bookmarks = store.read("bookmarks", held).join(near, "id", "left_anti")
+    written = store.prepare("bookmarks", Parts(bookmarks) if few else bookmarks)
+    buckets = store.touched("vectors", near)
+    changes = {"bookmarks": written, "vectors": store.read("vectors", buckets).join(near, "id", "left_anti")}
     touched = {"bookmarks": held, "vectors": buckets}
     if index_plan.is_current(store):
-        index_changes, index_touched = index_plan.changes_for(store, ids, bookmarks)
+        index_changes, index_touched = index_plan.changes_for(store, near, written.rows)
         changes |= index_changes
         touched |= index_touched
     index_plan.with_codes(changes, touched)
@@ -256,11 +268,16 @@ def remove(store: TableStore, ids: DataFrame, batch_id: str) -> int:
 
 def edit(store: TableStore, edits: DataFrame, batch_time: str, batch_id: str, limits: dict[str, int] | None = None) -> int:
     """Apply user edits of ``(id, title, summary, keywords, notes)`` to the buckets that hold them; a stored index follows."""
-    held = _holding(store, edits)
-    bookmarks = catalog.apply_edits(store.read("bookmarks", held), edits, batch_time, limits)
-    changes, touched = {"bookmarks": bookmarks}, {"bookmarks": held}
+    if store.has_batch(batch_id):
+        return store.snapshot().version
+    near, few = near_keys(stage(edits.select("id").distinct(), "ids"))
+    held = _holding(store, near)
+    stored = store.read("bookmarks", held)
+    edited = catalog.apply_edits(stored, edits, batch_time, limits, every=few)
+    written = store.prepare("bookmarks", Parts(stored.join(near, "id", "left_anti") if few else None, edited))
+    changes, touched = {"bookmarks": written}, {"bookmarks": held}
     if index_plan.is_current(store):
-        index_changes, index_touched = index_plan.changes_for(store, edits, bookmarks)
+        index_changes, index_touched = index_plan.changes_for(store, near, written.rows)
         changes |= index_changes
         touched |= index_touched
     return store.commit(batch_id, changes, touched)

@@ -9,8 +9,9 @@ buckets its rows fall into: the log keeps the version of each bucket. One writer
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,9 @@ DEFAULT_BUCKETS = 64
 # Tasks that a bucket is written by at most.
 BUCKET_TASKS = 256
 
+# Where dealt rows lie: a bucket, and the task of it that writes a row. Both follow from the key.
+DEALT = ("bucket", "_share")
+
 # Marks the rows that take the place of stored rows with the same key.
 NEWER = "_newer"
 
@@ -137,6 +141,28 @@ def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
     }
 
 
+@dataclass
+class Parts:
+    """New contents of a table, or of some of its buckets, in two parts.
+
+    ``kept`` comes from the table's own files and is written by the tasks that hold it, without a shuffle. ``dealt`` is
+    shuffled to ``DEALT``; there ``made`` turns it into the rows to write, which keep these columns and their key.
+    """
+
+    kept: DataFrame | None = None
+    dealt: DataFrame | None = None
+    made: Callable[[DataFrame], DataFrame] | None = None
+
+
+@dataclass
+class Written:
+    """Contents of a table that are written and wait for their commit."""
+
+    version: int
+    buckets: list[int]
+    rows: DataFrame
+
+
 _LOG_SCHEMA = "version bigint, batch_id string, layout string"
 
 
@@ -203,11 +229,14 @@ class TableStore:
         return sorted(row.bucket for row in rows)
 
     def read(self, name: str, buckets: Iterable[int] | None = None, at: Snapshot | None = None) -> DataFrame:
-        spec = self.tables[name]
         layout = (at or self.snapshot()).layout.get(name, {})
         wanted = None if buckets is None else {str(b) for b in buckets}
+        return self._files(name, {b: v for b, v in layout.items() if wanted is None or b in wanted})
+
+    def _files(self, name: str, layout: dict[str, int]) -> DataFrame:
+        spec = self.tables[name]
         base = f"{self.root}/{name}"
-        paths = [f"{base}/v={v}/bucket={b}" for b, v in sorted(layout.items()) if wanted is None or b in wanted]
+        paths = [f"{base}/v={v}/bucket={b}" for b, v in sorted(layout.items())]
         if not paths:
             return self.empty(name)
         rows = self.spark.read.schema(spec.schema).option("basePath", base).parquet(*paths)
@@ -216,7 +245,7 @@ class TableStore:
     def commit(
         self,
         batch_id: str,
-        changes: dict[str, DataFrame],
+        changes: dict[str, DataFrame | Parts | Written],
         touched: dict[str, list[int]] | None = None,
     ) -> int:
         """Publish new contents of the changed tables as one version and return it.
@@ -232,7 +261,12 @@ class TableStore:
         version = before.version + 1
         layout = {name: dict(buckets) for name, buckets in before.layout.items()}
         for name, rows in changes.items():
-            written = self._write(name, rows, version)
+            if isinstance(rows, Written):
+                if rows.version != version:
+                    raise RuntimeError(f"{name} was written for version {rows.version}, not {version}")
+                written = rows.buckets
+            else:
+                written = self._write(name, rows, version)
             replaced = (touched or {}).get(name)
             kept = {} if replaced is None else {b: v for b, v in layout.get(name, {}).items() if int(b) not in replaced}
             layout[name] = kept | {str(b): version for b in written}
@@ -241,21 +275,41 @@ class TableStore:
         self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{self.root}/log")
         return version
 
-    def _write(self, name: str, rows: DataFrame, version: int) -> list[int]:
+    def prepare(self, name: str, rows: DataFrame | Parts) -> Written:
+        """Writes what the next commit is to publish of a table, so that the other changes of that commit can be made from
+        what was written. Nothing of it is visible before; there is no other commit in between."""
+        version = self.snapshot().version + 1
+        buckets = self._write(name, rows, version)
+        return Written(version, buckets, self._files(name, {str(b): version for b in buckets}))
+
+    def deal(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``DEALT``, shuffled there."""
+        # A bucket of a large table is written by several tasks, a file each; small ones are put together again.
+        share = F.pmod(F.xxhash64(F.lit("file"), F.col(self.tables[name].key)), F.lit(BUCKET_TASKS))
+        return rows.withColumns(dict(zip(DEALT, (self.bucket_of(name), share)))).repartition(*DEALT)
+
+    def _laid(self, name: str, parts: Parts) -> DataFrame:
+        spec, found = self.tables[name], []
+        names = spec.schema.fieldNames()
+        if parts.kept is not None:
+            found.append(parts.kept.select(*names).withColumn("bucket", self.bucket_of(name)))
+        if parts.dealt is not None:
+            dealt = self.deal(name, parts.dealt)
+            if parts.made:
+                dealt = parts.made(dealt)
+            elif NEWER in dealt.columns:  # the rows of a key are already together
+                newest = Window.partitionBy(*DEALT, spec.key).orderBy(F.col(NEWER).desc())
+                dealt = dealt.withColumn("_place", F.rank().over(newest)).filter("_place = 1")
+            found.append(dealt.select(*names, "bucket"))
+        return reduce(DataFrame.union, found)
+
+    def _write(self, name: str, rows: DataFrame | Parts, version: int) -> list[int]:
         spec = self.tables[name]
-        merged = [NEWER] if NEWER in rows.columns else []
-        rows = rows.select(*spec.schema.fieldNames(), *merged)
         if spec.ranged:
             # The id is part of the range, so a word found in most rows is cut over many files.
-            laid = rows.repartitionByRange(*spec.sort_by).withColumn("bucket", F.lit(0))
+            laid = rows.select(*spec.schema.fieldNames()).repartitionByRange(*spec.sort_by).withColumn("bucket", F.lit(0))
         else:
-            # A bucket of a large table is written by several tasks, a file each; small ones are put together again.
-            share = F.pmod(F.xxhash64(F.lit("file"), F.col(spec.key)), F.lit(BUCKET_TASKS))
-            laid = rows.withColumns({"bucket": self.bucket_of(name), "_share": share}).repartition("bucket", "_share")
-            if merged:  # the rows of a key are already together
-                newest = Window.partitionBy("bucket", "_share", spec.key).orderBy(F.col(NEWER).desc())
-                laid = laid.withColumn("_place", F.rank().over(newest)).filter("_place = 1").drop("_place", NEWER)
-            laid = laid.drop("_share")
+            laid = self._laid(name, rows if isinstance(rows, Parts) else Parts(dealt=rows))
         if spec.sort_by:
             laid = laid.sortWithinPartitions("bucket", *spec.partition_by, *spec.sort_by)
         # A version left behind by a crash has no log row; its files are simply replaced.
