@@ -402,24 +402,37 @@ def fetch_listing(spark: SparkSession, sf_dir: str, no: int) -> DataFrame:
 def fetched_pages(spark: SparkSession, sf_dir: str, no: int) -> DataFrame:
     """``(feed, page_no, body, fetched_at)`` of one fetch; every feed lands all its pages."""
     docs = fetch_listing(spark, sf_dir, no)
-    saved = F.timestamp_seconds("t")
-    again = F.when(F.col("again"), " again").otherwise("")
-    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), again)
-    repo = F.struct(name.alias("full_name"), doc_url().alias("html_url"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("description"))
-    link = F.struct(
-        F.col("doc_id").alias("_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), again).alias("title"), doc_url().alias("link"),
-        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("excerpt"), F.col("source").alias("note"),
-        format_rfc3339(saved).alias("created"), F.array("lang", "source").alias("tags"),
-    )
-    post = F.struct(
-        F.col("doc_id").cast("string").alias("id"), F.concat(F.ltrim(again), "text").alias("text"),
-        F.date_format(saved, "EEE MMM dd HH:mm:ss Z yyyy").alias("createdAt"), F.struct(F.col("source").alias("username")).alias("author"),
-    )
+    # Whole documents are grouped, and pages made from a group: the feeds then have one shuffle between them.
+    doc = F.struct("doc_id", "text", "lang", "source", "again", "t", "pos").alias("doc")
+    groups = docs.select((F.col("pos") / GROUP).cast("int").alias("group"), doc).groupBy("group").agg(F.collect_list("doc").alias("docs"))
+    again = lambda d: F.when(d["again"], " again").otherwise("")
+
+    def repo(d: Column) -> Column:
+        name = F.concat(d["source"], F.lit("/"), d["doc_id"].cast("string"), again(d))
+        told = F.when(d["doc_id"] % 3 > 0, d["text"])
+        one = F.struct(name.alias("full_name"), _doc_link(d["doc_id"]).alias("html_url"), told.alias("description"))
+        return F.struct(format_rfc3339(F.timestamp_seconds(d["t"])).alias("starred_at"), one.alias("repo"))
+
+    def link(d: Column) -> Column:
+        return F.struct(
+            d["doc_id"].alias("_id"), F.concat(F.lit("doc "), d["doc_id"].cast("string"), again(d)).alias("title"),
+            _doc_link(d["doc_id"]).alias("link"), F.when(d["doc_id"] % 5 == 0, "").otherwise(d["text"]).alias("excerpt"),
+            d["source"].alias("note"), format_rfc3339(F.timestamp_seconds(d["t"])).alias("created"), F.array(d["lang"], d["source"]).alias("tags"),
+        )
+
+    def post(d: Column) -> Column:
+        when = F.date_format(F.timestamp_seconds(d["t"]), "EEE MMM dd HH:mm:ss Z yyyy")
+        return F.struct(
+            d["doc_id"].cast("string").alias("id"), F.concat(F.ltrim(again(d)), d["text"]).alias("text"), when.alias("createdAt"),
+            F.struct(d["source"].alias("username")).alias("author"),
+        )
+
     parts = []
-    for feed, item, size in (("github", F.struct(format_rfc3339(saved).alias("starred_at"), repo.alias("repo")), 100), ("raindrop", link, 50), ("x", post, 100)):
-        place = docs.select((F.col("pos") / size).cast("int").alias("page_no"), F.struct("pos", item.alias("item")).alias("e"))
-        items = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["item"])
-        pages = place.groupBy("page_no").agg(items.alias("items"))
+    for feed, item, size in (("github", repo, 100), ("raindrop", link, 50), ("x", post, 100)):
+        page = lambda d: (d["pos"] / size).cast("int")  # noqa: B023, E731
+        placed = groups.select("docs", F.explode(F.array_distinct(F.transform("docs", page))).alias("page_no"))
+        own = F.array_sort(F.transform(F.filter("docs", lambda d: page(d) == F.col("page_no")), lambda d: F.struct(d["pos"].alias("pos"), item(d).alias("item"))))
+        pages = placed.select("page_no", F.transform(own, lambda e: e["item"]).alias("items"))
         if feed == "x":
             last = docs.agg((F.max("pos") / size).cast("int").alias("last"))
             cursor = F.when(F.col("page_no") < F.col("last"), F.concat(F.lit("c"), F.col("page_no").cast("string"))).otherwise("")

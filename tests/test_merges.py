@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.checks import ingest
 from linkloom.operators import catalog, skew
 from linkloom.plans import index
 from linkloom.plans import sync as jobs
@@ -72,3 +73,9 @@ def test_rows_that_stay_are_written_where_they_are_read(spark):
         kept = store.read(name).join(F.broadcast(ids), "id", "left_anti")
         plan = store._laid(name, Parts(kept))._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan
+
+
+def test_feeds_of_a_fetch_have_one_shuffle_between_them(spark):
+    pages = ingest.fetched_pages(spark, "/root/testdata/sf0.001", 1)
+    assert {r.feed for r in pages.collect()} == {"github", "raindrop", "x"}
+    assert pages._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2
