@@ -9,6 +9,7 @@ from ..functions.text import fold, query_tokens, stable_id, TOKEN_GAP
 from ..operators import fulltext, vectors as vector_ops
 from ..operators.fusion import reciprocal_rank_fusion, top_ranked
 from ..operators.listing import hidden_ids
+from ..operators.skew import near_keys
 from ..plans import index as index_plan
 from ..plans import search as search_plan
 from ..schema import INDEXED_FIELDS
@@ -141,13 +142,17 @@ def search_many_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bookmarks(spark, sf_dir)
     embedded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    firsts = embedded.join(docs, "doc_id").groupBy(F.col("label").cast("string").alias("query_id")).agg(
-        F.min_by("embedding", "doc_id").alias("embedding"), F.min_by("text", "doc_id").alias("text")
+    # Which documents come first is found on ids alone, so that only their texts are moved.
+    firsts = embedded.join(docs.select("doc_id"), "doc_id").groupBy(F.col("label").cast("string").alias("query_id")).agg(
+        F.min_by("embedding", "doc_id").alias("embedding"), F.min("doc_id").alias("doc_id")
     )
+    firsts = stage(firsts, "firsts")
+    texts = docs.join(near_keys(firsts.select("doc_id").distinct())[0], "doc_id", "left_semi")
+    firsts = firsts.join(texts.groupBy("doc_id").agg(F.first("text").alias("text")), "doc_id")
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(fold("text"), TOKEN_GAP, " ")), " "))
     by_length = F.array_sort(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w"))))
     query = F.element_at(by_length, 1)["w"]
-    queries = firsts.select("query_id", query.alias("query"), "embedding")
+    queries = stage(firsts.select("query_id", query.alias("query"), "embedding"), "queries")
     stats = fulltext.corpus_stats(fulltext.doc_lengths(rows))
     index = stage(fulltext.postings(rows), "postings")
     found = search_plan.search_many(rows, index, stats, queries, vectors(spark, sf_dir))
