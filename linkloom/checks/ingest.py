@@ -16,7 +16,7 @@ from ..functions.times import format_rfc3339
 from ..operators import catalog, incremental, listing
 from ..plans.sync import sync
 from ..schema import BOOKMARK_COLUMNS, LAST_REFRESH_KEY
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import feeds, landing, page_source
 from ..sources.tables import TableStore, default_tables
 from ..streaming import sync as stream
@@ -353,8 +353,8 @@ def _served_pages(spark: SparkSession, sf_dir: str) -> str:
 
 
 def feed_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``feed_union`` on pages that come out of the data source."""
-    pages = spark.read.format(_served_pages(spark, sf_dir)).load()
+    """``feed_union`` on pages that come out of the data source, each of which is asked for once."""
+    pages = stage(spark.read.format(_served_pages(spark, sf_dir)).load(), "fetched")
     landed = feeds.landed_feeds(feeds.select_feeds(feeds.FEEDS), pages, BATCH_TIME)
     batch = catalog.collapse_batch(feeds.reachable(landed), feeds.BATCH_ORDER)
     return _slim(catalog.new_rows(_empty(spark), batch, BATCH_TIME))

@@ -18,8 +18,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 FORMAT = "feed_pages"
 SCHEMA = "feed string, page_no int, body string"
-#: Pages of one feed that a task asks for one after the other.
-RUN = 8
+#: Pages of one feed that a task asks for one after the other: few, for many tasks, until there are ``RUNS`` runs;
+#: then more, up to some tens of MB, because a task's start costs as much as several pages.
+RUN, LONGEST_RUN, RUNS = 8, 64, 256
 
 
 class Client(Protocol):
@@ -72,7 +73,9 @@ class PageRun(InputPartition):
 
 
 def _runs(ranges: dict[str, tuple[int, int]]) -> list[PageRun]:
-    return [PageRun(feed, at, min(at + RUN, end)) for feed, (first, end) in sorted(ranges.items()) for at in range(first, end, RUN)]
+    total = sum(max(0, end - first) for first, end in ranges.values())
+    run = max(RUN, min(LONGEST_RUN, total // RUNS))
+    return [PageRun(feed, at, min(at + run, end)) for feed, (first, end) in sorted(ranges.items()) for at in range(first, end, run)]
 
 
 def _read(client: Client, run: PageRun) -> Iterator[tuple]:

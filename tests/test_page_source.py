@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 
+from linkloom.checks import ingest
 from linkloom.sources import page_source
 from linkloom.sources.page_source import FolderClient, PageRun
 
@@ -87,3 +88,23 @@ def test_folder_client(tmp_path):
         assert client.pages() == {"x": 3, "github": 1}
         assert client.page("x", 2) == "[2]\n" and client.page("x", 1) is None
     assert FolderClient(str(tmp_path / "nothing")).pages() == {}
+
+
+def test_many_pages_make_longer_runs():
+    assert [len(page_source._runs({"a": (0, n)})) for n in (2048, 256 * 20, 256 * 640)] == [256, 256, 2560]
+
+
+@dataclass
+class CountingFolder(FolderClient):
+    def page(self, feed, page_no):
+        with open(f"{self.uri}-asked", "a") as out:
+            out.write(f"{feed}-{page_no}\n")
+        return super().page(feed, page_no)
+
+
+def test_a_scan_asks_for_each_page_once(spark, monkeypatch):
+    clients = []
+    monkeypatch.setattr(page_source, "FolderClient", lambda uri: clients.append(CountingFolder(uri)) or clients[-1])
+    ingest.feed_source_scan(spark, "/root/testdata/sf0.001").count()
+    lines = Path(f"{clients[0].uri}-asked").read_text().splitlines()
+    assert lines and sorted(lines) == sorted(set(lines))
