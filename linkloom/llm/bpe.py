@@ -1,4 +1,4 @@
-"""Byte-pair encoding by backtracking over Aho-Corasick matches; decoding through an offset table."""
+"""Byte-pair encoding by backtracking over the longest Aho-Corasick matches; decoding through an offset table."""
 
 from __future__ import annotations
 
@@ -115,9 +115,10 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
-    def get(self, key: str):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
+    def recall(self, key: str):
+        """The value of a key that is not ``young``."""
+        found = self.old.get(key)
+        if found is not None:
             self.add(key, found)
         return found
 
@@ -137,12 +138,19 @@ class Encoder:
         (self.left_half, self.right_half), self.rank = vocabulary.halves, vocabulary.rank_of_pair
         self.decoder = Decoder(vocabulary)
         self.size = len(vocabulary.tokens)
+        self.names = [str(i) for i in range(self.size)]
         self.pairs: dict[int, bool] = {}
-        self.lengths = [0] * self.size
+        self.spelling, self.lengths = vocabulary.spelling, [0] * self.size
+        #: The longest shorter token that a token begins with; -1 where there is none.
+        self.shorter = [-1] * self.size
         self.matcher = ahocorasick.Automaton()
-        for letters, number in vocabulary.spelling.items():
+        for letters, number in self.spelling.items():
             self.lengths[number] = len(letters)
-            self.matcher.add_word(letters, (len(letters), number))
+            self.shorter[number] = next((t for n in range(len(letters) - 1, 0, -1) if (t := self.spelling.get(letters[:n])) is not None), -1)
+            self.matcher.add_word(letters, number)
+        for letter in map(chr, range(512)):  # a match begins at every place, if with no token
+            if letter not in self.spelling:
+                self.matcher.add_word(letter, -1)
         self.matcher.make_automaton()
         self.memo: Memo = Memo()
         self.word_memo: Memo = Memo()
@@ -177,45 +185,53 @@ class Encoder:
                 used, right = right + 1, self.left_half[right]
 
     def word(self, data: bytes) -> list[int]:
-        """Ids of one word given as its UTF-8 bytes."""
+        """Ids of one word given as its UTF-8 bytes.
+
+        The leftmost longest match from a place on begins there. Tokens are tried longest first, shorter ones along
+        ``shorter``; places from which no way leads on are not tried again.
+        """
         letters = data[:-1].decode("latin-1") + chr(data[-1] + 256)
-        whole = self.vocabulary.spelling.get(letters)
+        whole = self.spelling.get(letters)
         if whole is not None:
             return [whole]
-        starts: list[list[int]] = [[] for _ in letters]
-        for end, (length, number) in self.matcher.iter(letters):
-            starts[end - length + 1].append(number)  # ends ascend, so the longest match comes last
-        size, ids, tries = len(letters), [], [len(starts[0]) - 1]
-        at, dead = 0, set()
-        while at < size:
-            step = tries[-1]
-            matches = starts[at]
-            while step >= 0:
-                token = matches[step]
-                step -= 1
-                after = at + self.lengths[token]
-                if after not in dead and (not ids or self.fits(ids[-1], token)):
-                    tries[-1] = step
-                    ids.append(token)
-                    at = after
-                    tries.append(len(starts[at]) - 1 if at < size else -1)
-                    break
+        matches, lengths, shorter = self.matcher.iter_long, self.lengths, self.shorter
+        pairs, width, size = self.pairs, self.size, len(letters)
+        ids, at, dead = [], 0, set()
+        _, token = next(matches(letters))
+        while True:
+            while token >= 0:
+                after = at + lengths[token]
+                if after not in dead:
+                    if not ids:
+                        break
+                    holds = pairs.get(ids[-1] * width + token)
+                    if holds or holds is None and self.fits(ids[-1], token):
+                        break
+                token = shorter[token]
+            if token >= 0:
+                ids.append(token)
+                if after == size:
+                    return ids
+                at = after
+                _, token = next(matches(letters, at))
             else:
                 dead.add(at)
-                tries.pop()
-                at -= self.lengths[ids.pop()]
-        return ids
+                last = ids.pop()
+                at -= lengths[last]
+                token = shorter[last]
 
     def chunk(self, chunk: str) -> tuple[str, int, str]:
         """Ids as text, their number, and the decoded tokens of one lower-case chunk without white space."""
         ids: list[int] = []
-        for word in WORDS.findall(chunk):
-            known = self.word_memo.get(word)
+        get, old = self.word_memo.young.get, self.word_memo.recall
+        for word in (chunk,) if chunk.isascii() and chunk.isalpha() else WORDS.findall(chunk):
+            known = get(word) or old(word)
             if known is None:
                 known = self.word(word.encode())
                 self.word_memo.add(word, known)
             ids += known
-        found = (" ".join(map(str, ids)), len(ids), self.decoder.decode(ids))
+        names = self.names
+        found = (" ".join([names[i] for i in ids]), len(ids), self.decoder.decode(ids))
         self.memo.add(chunk, found)
         return found
 
@@ -234,7 +250,7 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         text = text.lower()
         chunks = text.split() if not SEPARATORS.search(text) else regex.split(f"[{SPACE}]+", text)
-        get, old = self.memo.young.get, self.memo.get
+        get, old = self.memo.young.get, self.memo.recall
         return [get(c) or old(c) or self.chunk(c) for c in chunks]
 
     def encode(self, text: str | None) -> list[int]:

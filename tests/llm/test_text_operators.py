@@ -272,3 +272,19 @@ def test_mix_takes_near_the_target(spark):
     )
     sums = found.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
     assert all(abs(r["t"] - r["target"]) <= r["most"] for r in sums)
+
+
+def test_bpe_looks_at_few_matches_of_a_word():
+    """A match for each token taken, not all of a word's matches: making them up was most of the time of new words."""
+    encoder, seen = bpe.Encoder(bpe.Vocabulary.load(VOCABULARY)), []
+
+    class Noting:
+        def __init__(self, matcher):
+            self.matcher = matcher
+
+        def __getattr__(self, name):
+            return lambda *given: (seen.append(m) or m for m in getattr(self.matcher, name)(*given))
+
+    encoder.matcher = Noting(encoder.matcher)
+    ids = [encoder.word(w.encode()) for w in ("thattherretionsbnghtkaw", "xqzvbrionalishmentarx", "erünsÄtthäusern")]
+    assert len(seen) <= 2 * sum(map(len, ids))
