@@ -10,6 +10,7 @@ down and stops when no unread block can reach the ``k``-th best score found.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,16 +19,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens
 from ..schema import INDEXED_FIELDS
-from ..session import observed, stage
-from .fulltext import CANDIDATES, IDF_FLOOR, doc_lengths, lead, postings_of, prefix_filter, term_score, token_rows
+from ..session import bound_batches, observed, stage
+from .fulltext import CANDIDATES, IDF_FLOOR, lead, prefix_filter, put_together, term_score, token_texts
 from .numbering import numbered
+from .wordcounts import PACKED, PREFIX_CHARS, PREFIX_COUNTS, WORD_COUNTS, Cuts, count_prefixes, count_words, unpacked
 
 #: Rows of a block. Smaller blocks bound tighter and make more block rows.
 BLOCK_ROWS = 1024
-#: Longest prefix kept per block. A longer query term is bounded by its first characters.
-PREFIX_CHARS = 16
 #: Tokens whose prefixes one task counts while an index is built.
-TASK_TOKENS = 200_000
+TASK_TOKENS = 1_000_000
+#: Tokens whose words or prefixes lie in one range, as far as that; small tables get a range per task slot.
+RANGE_TOKENS = 2_000_000
+MIN_RANGE_TOKENS = 100_000
+#: Tokens, and least number of blocks, from which the cuts between ranges are learnt.
+SAMPLE_TOKENS = 1_000_000
+SAMPLE_BLOCKS = 8
 #: Blocks read in the first round; every further round reads twice as many.
 FIRST_BLOCKS = 8
 #: Blocks named one by one in a scan filter; more are joined.
@@ -63,34 +69,69 @@ class Report:
 
 
 def block_tokens(bookmarks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``fulltext.token_rows`` with ``block``. Only ids and lengths are numbered, so no text travels for that."""
-    lengths = numbered(doc_lengths(bookmarks).distinct(), [F.col("length"), F.col("id")], "block")
+    """``fulltext.token_rows`` with ``block``."""
+    return blocked(stage(token_texts(bookmarks), "texts"), block_rows)
+
+
+def blocked(texts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``put_together`` of staged ``token_texts``, with ``block``. Only ids and lengths are numbered, so no text travels for that."""
+    lengths = numbered(texts.select("id", "length").distinct(), [F.col("length"), F.col("id")], "block")
     blocks = lengths.select("id", "length", F.floor(F.col("block") / block_rows).cast("int").alias("block"))
-    return token_rows(bookmarks).join(blocks, ["id", "length"])
+    return put_together(texts).join(blocks, ["id", "length"])
 
 
 def block_postings(tokens: DataFrame) -> DataFrame:
-    """``postings`` with ``lead`` and ``block`` of block tokens."""
-    return postings_of(tokens).withColumn("lead", lead(F.col("term")))
+    """``postings`` with ``lead`` and ``block`` of staged block tokens, in partitions that are ranges of term and block."""
+    rows = tokens.filter("length > 0").select("id", "length", "block", *INDEXED_FIELDS)
+
+    def counted(rows: DataFrame, cuts: Cuts) -> DataFrame:
+        return rows.mapInArrow(count_words(cuts), PACKED)
+
+    return _ranges(rows, counted, WORD_COUNTS).withColumn("lead", lead(F.col("term")))
 
 
 def prefix_blocks(tokens: DataFrame) -> DataFrame:
-    """``(lead, prefix, block, rows, max_freq, min_length)`` of block tokens.
+    """``(lead, prefix, block, rows, max_freq, min_length)`` of staged block tokens, in partitions that are ranges of
+    prefix and block.
+
+    Texts are dealt by block, and a block is counted to the end where it lies. A task gets some ``TASK_TOKENS`` tokens,
+    whatever the table holds.
+    """
+    text = F.concat_ws(" ", *[F.nullif(F.col(f), F.lit("")) for f in INDEXED_FIELDS]).alias("text")
+    rows = tokens.filter("length > 0").select("block", "id", "length", text)
+    tasks = 1 + _size(tokens)[0] // TASK_TOKENS
+
+    def counted(rows: DataFrame, cuts: Cuts) -> DataFrame:
+        return rows.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(count_prefixes(cuts), PACKED)
+
+    found = _ranges(rows, counted, PREFIX_COUNTS)
+    return found.select(lead(F.col("prefix")).alias("lead"), "prefix", "block", "rows", "max_freq", "min_length")
+
+
+def _size(tokens: DataFrame) -> tuple[int, int]:
+    """Numbers of tokens and of blocks."""
+    size = tokens.agg(F.sum(F.col("length").cast("bigint")).alias("n"), F.max("block").alias("last")).first()
+    return size.n or 0, 0 if size.last is None else size.last + 1
+
+
+def _ranges(rows: DataFrame, counted: Callable[[DataFrame, Cuts], DataFrame], schema: str) -> DataFrame:
+    """What ``counted`` packs of ``rows``, unpacked in one partition for each range.
 
-    Texts are dealt by block, and a block is counted to the end where it lies: the prefixes of its rows, many times
-    the text, are neither shuffled nor spilled. A task gets some ``TASK_TOKENS`` tokens, whatever the table holds.
+    Where ranges are cut is learnt from some blocks in equal distances, so that nothing is counted twice for it.
+    A shuffle by range of Spark's own would count everything once more to sample it.
     """
-    total = tokens.agg(F.sum(F.col("length").cast("bigint")).alias("n")).first().n or 0
-    dealt = tokens.repartition(1 + total // TASK_TOKENS, "block")
-    words = F.explode(F.split(F.concat_ws(" ", *[F.nullif(F.col(f), F.lit("")) for f in INDEXED_FIELDS]), " "))
-    terms = dealt.filter("length > 0").select("block", "id", "length", words.alias("term"))
-    sizes = F.sequence(F.lit(1), F.least(F.char_length("term"), F.lit(PREFIX_CHARS)))
-    prefixes = terms.select("block", "id", "length", F.explode(F.transform(sizes, lambda n: F.left("term", n))).alias("prefix"))
-    per_row = prefixes.groupBy("block", "id", "prefix").agg(F.count("*").alias("freq"), F.max("length").alias("length"))
-    counts = per_row.groupBy("block", "prefix").agg(
-        F.count("*").alias("rows"), F.max("freq").alias("max_freq"), F.min("length").alias("min_length")
-    )
-    return counts.select(lead(F.col("prefix")).alias("lead"), "prefix", "block", "rows", "max_freq", "min_length")
+    bound_batches(rows.sparkSession)
+    total, blocks = _size(rows)
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    n = 1 + max(total // RANGE_TOKENS, min(slots - 1, total // MIN_RANGE_TOKENS))
+    cuts: Cuts = []
+    if n > 1:
+        step = max(1, min(total // SAMPLE_TOKENS, blocks // SAMPLE_BLOCKS))
+        some = counted(rows.filter(F.col("block") % step == step // 2), []).mapInArrow(unpacked, schema)
+        some = stage(some.select(F.col(some.columns[0]).alias("name"), "block"), "sample")
+        parts = some.repartitionByRange(n, "name", "block").groupBy(F.spark_partition_id()).agg(F.min(F.struct("name", "block")))
+        cuts = sorted((first.name, first.block) for _, first in parts.collect())[1:]
+    return counted(rows, cuts).repartitionById(len(cuts) + 1, F.col("range")).mapInArrow(unpacked, schema)
 
 
 def _frequencies(index: BlockIndex, bounds: DataFrame, terms: list[str]) -> list[int]:

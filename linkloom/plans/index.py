@@ -19,7 +19,7 @@ from ..operators.listing import read_state
 from ..operators.skew import near_keys
 from ..schema import BOOKMARK_COLUMNS, INDEXED_FIELDS
 from ..session import stage
-from ..sources.tables import DEALT, Parts, TableStore
+from ..sources.tables import DEALT, Parts, Ranges, TableStore
 
 INDEX_VERSION_KEY = "index_version"
 
@@ -51,12 +51,14 @@ def is_current(store: TableStore) -> bool:
 def build_index(store: TableStore, batch_id: str, block_rows: int = blockmax.BLOCK_ROWS) -> int:
     """Index every bookmark, hidden ones included. Page text is not read."""
     bookmarks = store.read("bookmarks")
-    tokens = stage(blockmax.block_tokens(bookmarks, block_rows), "tokens")
-    lengths = fulltext.doc_lengths(bookmarks)
+    # Texts are cut into words once; all that follows reads these.
+    texts = stage(fulltext.token_texts(bookmarks), "texts")
+    tokens = stage(blockmax.blocked(texts, block_rows), "tokens")
+    lengths = texts.select("id", "length")
     version = store.spark.createDataFrame([(INDEX_VERSION_KEY, INDEX_VERSION)], "key string, value string")
     changes = {
-        "postings": blockmax.block_postings(tokens),
-        "prefix_blocks": blockmax.prefix_blocks(tokens),
+        "postings": Ranges(blockmax.block_postings(tokens)),
+        "prefix_blocks": Ranges(blockmax.prefix_blocks(tokens)),
         "postings_recent": store.empty("postings_recent"),
         "stale_ids": store.empty("stale_ids"),
         "doc_lengths": lengths,

@@ -124,7 +124,7 @@ def default_tables(buckets: int = DEFAULT_BUCKETS) -> dict[str, TableSpec]:
         "vectors": TableSpec(VECTOR_SCHEMA, "id", buckets, (), ("id",), bloom=("id",)),
         "vector_codes": TableSpec(CODE_SCHEMA, "id", buckets),
         "sync_state": TableSpec(SYNC_STATE_SCHEMA, "key", 1),
-        "postings": TableSpec(POSTING_SCHEMA, "term", 1, ("lead",), ("lead", "term", "block", "id"), ranged=True),
+        "postings": TableSpec(POSTING_SCHEMA, "term", 1, ("lead",), ("lead", "term", "block"), ranged=True),
         "prefix_blocks": TableSpec(BLOCK_SCHEMA, "prefix", 1, ("lead",), ("lead", "prefix", "block"), ranged=True),
         "postings_recent": TableSpec(POSTING_SCHEMA, "id", buckets, (), ("term",)),
         "stale_ids": TableSpec(ID_SCHEMA, "id", buckets),
@@ -154,6 +154,13 @@ class Parts:
     made: Callable[[DataFrame], DataFrame] | None = None
 
 
+@dataclass
+class Ranges:
+    """New contents of a table laid out by range: each partition of ``rows`` holds a range of its own."""
+
+    rows: DataFrame
+
+
 @dataclass
 class Written:
     """Contents of a table that are written and wait for their commit."""
@@ -245,7 +252,7 @@ class TableStore:
     def commit(
         self,
         batch_id: str,
-        changes: dict[str, DataFrame | Parts | Written],
+        changes: dict[str, DataFrame | Parts | Ranges | Written],
         touched: dict[str, list[int]] | None = None,
     ) -> int:
         """Publish new contents of the changed tables as one version and return it.
@@ -303,22 +310,26 @@ class TableStore:
             found.append(dealt.select(*names, "bucket"))
         return reduce(DataFrame.union, found)
 
-    def _write(self, name: str, rows: DataFrame | Parts, version: int) -> list[int]:
+    def _write(self, name: str, rows: DataFrame | Parts | Ranges, version: int) -> list[int]:
         spec = self.tables[name]
+        # A version left behind by a crash has no log row; its files are simply replaced.
+        path = target = f"{self.root}/{name}/v={version}"
+        folders = ("bucket", *spec.partition_by)
         if spec.ranged:
-            # The id is part of the range, so a word found in most rows is cut over many files.
-            laid = rows.select(*spec.schema.fieldNames()).repartitionByRange(*spec.sort_by).withColumn("bucket", F.lit(0))
+            # The only bucket is part of the path: as a constant column it would drop out of the sort below, and the
+            # writer would then sort by folder alone.
+            target, folders = f"{path}/bucket=0", spec.partition_by
+            laid = rows.rows if isinstance(rows, Ranges) else rows.repartitionByRange(*spec.sort_by)
+            laid = laid.select(*spec.schema.fieldNames())
         else:
             laid = self._laid(name, rows if isinstance(rows, Parts) else Parts(dealt=rows))
         if spec.sort_by:
-            laid = laid.sortWithinPartitions("bucket", *spec.partition_by, *spec.sort_by)
-        # A version left behind by a crash has no log row; its files are simply replaced.
-        path = f"{self.root}/{name}/v={version}"
-        writer = laid.write.mode("overwrite").option("compression", COMPRESSION).partitionBy("bucket", *spec.partition_by)
+            laid = laid.sortWithinPartitions(*folders, *[c for c in spec.sort_by if c not in folders])
+        writer = laid.write.mode("overwrite").option("compression", COMPRESSION).partitionBy(*folders)
         for column in spec.bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
             writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_ROWS))
-        writer.parquet(path)
+        writer.parquet(target)
         schema = T.StructType([*spec.schema.fields, T.StructField("bucket", T.IntegerType())])
         found = self.spark.read.schema(schema).parquet(path).select("bucket").distinct().collect()
         return sorted(row.bucket for row in found)
