@@ -84,7 +84,7 @@ def block_postings(tokens: DataFrame) -> DataFrame:
     """``postings`` with ``lead`` and ``block`` of staged block tokens, in partitions that are ranges of term and block."""
     rows = tokens.filter("length > 0").select("id", "length", "block", *INDEXED_FIELDS)
 
-    def counted(rows: DataFrame, cuts: Cuts) -> DataFrame:
+    def counted(rows: DataFrame, size: int, cuts: Cuts) -> DataFrame:
         return rows.mapInArrow(count_words(cuts), PACKED)
 
     return _ranges(rows, counted, WORD_COUNTS).withColumn("lead", lead(F.col("term")))
@@ -99,39 +99,35 @@ def prefix_blocks(tokens: DataFrame) -> DataFrame:
     """
     text = F.concat_ws(" ", *[F.nullif(F.col(f), F.lit("")) for f in INDEXED_FIELDS]).alias("text")
     rows = tokens.filter("length > 0").select("block", "id", "length", text)
-    tasks = 1 + _size(tokens)[0] // TASK_TOKENS
 
-    def counted(rows: DataFrame, cuts: Cuts) -> DataFrame:
-        return rows.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(count_prefixes(cuts), PACKED)
+    def counted(rows: DataFrame, size: int, cuts: Cuts) -> DataFrame:
+        dealt = rows.repartition(1 + size // TASK_TOKENS, "block").sortWithinPartitions("block", "id")
+        return dealt.mapInArrow(count_prefixes(cuts), PACKED)
 
     found = _ranges(rows, counted, PREFIX_COUNTS)
     return found.select(lead(F.col("prefix")).alias("lead"), "prefix", "block", "rows", "max_freq", "min_length")
 
 
-def _size(tokens: DataFrame) -> tuple[int, int]:
-    """Numbers of tokens and of blocks."""
-    size = tokens.agg(F.sum(F.col("length").cast("bigint")).alias("n"), F.max("block").alias("last")).first()
-    return size.n or 0, 0 if size.last is None else size.last + 1
-
-
-def _ranges(rows: DataFrame, counted: Callable[[DataFrame, Cuts], DataFrame], schema: str) -> DataFrame:
-    """What ``counted`` packs of ``rows``, unpacked in one partition for each range.
+def _ranges(rows: DataFrame, counted: Callable[[DataFrame, int, Cuts], DataFrame], schema: str) -> DataFrame:
+    """What ``counted`` packs of ``rows`` (of some number of tokens), unpacked in one partition for each range.
 
     Where ranges are cut is learnt from some blocks in equal distances, so that nothing is counted twice for it.
     A shuffle by range of Spark's own would count everything once more to sample it.
     """
     bound_batches(rows.sparkSession)
-    total, blocks = _size(rows)
+    size = rows.agg(F.sum(F.col("length").cast("bigint")).alias("n"), F.min("block").alias("first"), F.max("block").alias("last")).first()
+    total = size.n or 0
     slots = rows.sparkSession.sparkContext.defaultParallelism
     n = 1 + max(total // RANGE_TOKENS, min(slots - 1, total // MIN_RANGE_TOKENS))
     cuts: Cuts = []
     if n > 1:
-        step = max(1, min(total // SAMPLE_TOKENS, blocks // SAMPLE_BLOCKS))
-        some = counted(rows.filter(F.col("block") % step == step // 2), []).mapInArrow(unpacked, schema)
+        step = max(1, min(total // SAMPLE_TOKENS, (size.last - size.first) // SAMPLE_BLOCKS))
+        some = rows.filter((F.col("block") - size.first) % step == step // 2)
+        some = counted(some, total // step, []).mapInArrow(unpacked, schema)
         some = stage(some.select(F.col(some.columns[0]).alias("name"), "block"), "sample")
         parts = some.repartitionByRange(n, "name", "block").groupBy(F.spark_partition_id()).agg(F.min(F.struct("name", "block")))
         cuts = sorted((first.name, first.block) for _, first in parts.collect())[1:]
-    return counted(rows, cuts).repartitionById(len(cuts) + 1, F.col("range")).mapInArrow(unpacked, schema)
+    return counted(rows, total, cuts).repartitionById(len(cuts) + 1, F.col("range")).mapInArrow(unpacked, schema)
 
 
 def _frequencies(index: BlockIndex, bounds: DataFrame, terms: list[str]) -> list[int]:

@@ -28,11 +28,13 @@ WORD_COUNTS = "term string, id string, field string, tf int, length int, block i
 _WORDS = pa.schema(
     [("term", pa.string()), ("id", pa.string()), ("field", pa.string()), ("tf", pa.int32()), ("length", pa.int32()), ("block", pa.int32())]
 )
+_PACKED_WORDS = pa.schema([("id", pa.string()), ("field", pa.int8()), ("tf", pa.int32()), ("length", pa.int32()), ("block", pa.int32())])
 PREFIX_COUNTS = "prefix string, block int, rows bigint, max_freq bigint, min_length int"
 _PREFIXES = pa.schema(
     [("prefix", pa.string()), ("block", pa.int32()), ("rows", pa.int64()), ("max_freq", pa.int64()), ("min_length", pa.int32())]
 )
-#: Rows of one range as an Arrow stream.
+_PACKED_PREFIXES = pa.schema([("block", pa.int32()), ("rows", pa.int32()), ("max_freq", pa.int32()), ("min_length", pa.int32())])
+#: Rows of one range as an Arrow stream, terms and prefixes by their place in a sorted list and numbers no wider than they are.
 PACKED = "range int, rows binary"
 _PACKED = pa.schema([("range", pa.int32()), ("rows", pa.binary())])
 
@@ -76,7 +78,7 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def _ranked(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The number of each word in the sorted list of different words, and that list."""
-    coded = words.dictionary_encode()
+    coded = words if isinstance(words, pa.DictionaryArray) else words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary)
     rank = np.empty(len(order), np.int64)
     rank[order.to_numpy()] = np.arange(len(order))
@@ -88,24 +90,32 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
 
 
+def _coded(codes: np.ndarray, names: pa.Array) -> pa.DictionaryArray:
+    return pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), names)
+
+
 def _packed(rows: pa.Table, cuts: Cuts) -> Batches:
-    """``PACKED`` of rows sorted by their first column and block."""
-    names = _array(rows.column(0)).dictionary_encode()
-    codes, names = names.indices.to_numpy(), names.dictionary.to_pylist()
-    blocks, at = _array(rows.column("block")).to_numpy(), [0]
+    """``PACKED`` of rows sorted by block and, before that, by their first column, which names its sorted values by number."""
+    if not rows.num_rows:
+        return
+    first, blocks = _array(rows.column(0)), _array(rows.column("block")).to_numpy()
+    codes, names, at = first.indices.to_numpy(), first.dictionary, [0]
     for name, block in cuts:
-        code = bisect_left(names, name)
+        code = bisect_left(range(len(names)), name, key=lambda i: names[i].as_py())
         low = int(np.searchsorted(codes, code))
-        if code < len(names) and names[code] == name:
+        if code < len(names) and names[code].as_py() == name:
             low += int(np.searchsorted(blocks[low : int(np.searchsorted(codes, code, side="right"))], block))
         at.append(low)
     for n, (start, end) in enumerate(zip(at, [*at[1:], rows.num_rows])):
         if end > start:
+            low, high = int(codes[start]), int(codes[end - 1])
+            own = _coded(codes[start:end] - low, names.slice(low, high - low + 1))
+            piece = rows.slice(start, end - start).set_column(0, rows.column_names[0], own)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_table(rows.slice(start, end - start))
-            piece = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), piece], schema=_PACKED)
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(piece)
+            packed = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), packed], schema=_PACKED)
 
 
 def unpacked(batches: Batches) -> Batches:
@@ -124,11 +134,20 @@ def unpacked(batches: Batches) -> Batches:
 
 
 def _merged(pieces: list[pa.Table]) -> Batches:
-    rows = pa.concat_tables(pieces).combine_chunks()
+    rows = pa.concat_tables(pieces).unify_dictionaries().combine_chunks()
     pieces.clear()
-    blocks = _array(rows.column("block")).to_numpy()
-    order = np.argsort(_ranked(_array(rows.column(0)))[0] * (int(blocks.max()) + 1) + blocks)
-    yield from rows.take(pa.array(order)).to_batches(OUT_ROWS)
+    first, blocks = _array(rows.column(0)), _array(rows.column("block")).to_numpy()
+    ranks, names = _ranked(first)
+    keys = ranks * (int(blocks.max()) + 1) + blocks
+    order = np.argsort(keys)
+    schema = _WORDS if rows.column_names[0] == "term" else _PREFIXES
+    for at in range(0, len(order), OUT_ROWS):
+        now = order[at : at + OUT_ROWS]
+        part = rows.select(rows.column_names[1:]).take(pa.array(now))
+        columns = {rows.column_names[0]: names.take(pa.array(ranks[now]))} | {c: _array(part.column(c)) for c in part.column_names}
+        if "field" in columns:
+            columns["field"] = pa.array(INDEXED_FIELDS).take(columns["field"])
+        yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
 # --- words ------------------------------------------------------------------------------------
@@ -152,8 +171,8 @@ def _words(chunk: pa.Table) -> pa.Table:
     rank, row = np.divmod(place, chunk.num_rows)
     given = [_array(chunk.column(c)).take(pa.array(row)) for c in ("id", "length", "block")]
     counts = pa.array(np.diff(starts, append=len(keys)), pa.int32())
-    names = pa.array(INDEXED_FIELDS).take(pa.array(field))
-    return pa.Table.from_arrays([terms.take(pa.array(rank)), given[0], names, counts, *given[1:]], schema=_WORDS)
+    found = pa.Table.from_arrays([given[0], pa.array(field, pa.int8()), counts, *given[1:]], schema=_PACKED_WORDS)
+    return found.add_column(0, "term", _coded(rank, terms))
 
 
 def count_words(cuts: Cuts) -> Callable[[Batches], Batches]:
@@ -185,11 +204,12 @@ def _prefixes(chunk: pa.Table) -> pa.Table:
     blocks, block = np.unique(_array(chunk.column("block")).to_numpy()[first], return_inverse=True)
     row, words = _split(_array(chunk.column("text")))
     ranks, words = _ranked(words)
-    keys = np.sort(bookmark[row] * len(words) + ranks)
+    bits = len(words).bit_length()
+    keys = np.sort(bookmark[row] << bits | ranks)
     starts = _starts(keys)
-    rows, ranks = np.divmod(keys[starts], len(words))
-    counts, sizes = np.diff(starts, append=len(keys)), pc.utf8_length(words).to_numpy()
-    prefixes, codes, at, freqs, known = [], [], [], [], 0
+    rows, ranks = (keys[starts] >> bits).astype(np.int32), (keys[starts] & (1 << bits) - 1).astype(np.int32)
+    counts, sizes = np.diff(starts, append=len(keys)).astype(np.int32), pc.utf8_length(words).to_numpy()
+    prefixes, places, codes, at, freqs, known = [], [], [], [], [], 0
     for size in range(1, PREFIX_CHARS + 1):
         kept = sizes[ranks] >= size
         rows, ranks, counts = rows[kept], ranks[kept], counts[kept]
@@ -199,37 +219,44 @@ def _prefixes(chunk: pa.Table) -> pa.Table:
         long = np.flatnonzero(sizes >= size)
         cut = pc.utf8_slice_codeunits(words.take(pa.array(long)), 0, size)
         new = np.append(True, pc.not_equal(cut[1:], cut[:-1]).to_numpy(zero_copy_only=False))
-        code = np.zeros(len(words), np.int64)
+        code = np.zeros(len(words), np.int32)
         code[long] = np.cumsum(new) - 1
         prefixes.append(cut.take(pa.array(np.flatnonzero(new))))
-        keys = rows * len(prefixes[-1]) + code[ranks]
-        starts = _starts(keys)
+        places.append(long[new] * (PREFIX_CHARS + 1) + size)
+        of_word = code[ranks]
+        starts = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (of_word[1:] != of_word[:-1])))
         freqs.append(np.add.reduceat(counts, starts))
         at.append(rows[starts])
-        codes.append(code[ranks[starts]] + known)
+        codes.append(of_word[starts] + known)
         known += len(prefixes[-1])
-    rank, prefixes = _ranked(pa.concat_arrays(prefixes))
+    # By the first word that begins with it, and then by size, is the order of prefixes.
+    sorted_places = np.argsort(np.concatenate(places))
+    rank = np.empty(known, np.int64)
+    rank[sorted_places] = np.arange(known)
     at, freqs = np.concatenate(at), np.concatenate(freqs)
-    keys = rank[np.concatenate(codes)] * len(blocks) + block[at]
+    bits = len(blocks).bit_length()
+    keys = rank[np.concatenate(codes)] << bits | block[at]
     order = np.argsort(keys)
     keys = keys[order]
     starts = _starts(keys)
-    code, block = np.divmod(keys[starts], len(blocks))
+    code, block = keys[starts] >> bits, keys[starts] & (1 << bits) - 1
     found = [
-        prefixes.take(pa.array(code)),
         pa.array(blocks[block], pa.int32()),
-        pa.array(np.diff(starts, append=len(keys)), pa.int64()),
-        pa.array(np.maximum.reduceat(freqs[order], starts), pa.int64()),
+        pa.array(np.diff(starts, append=len(keys)), pa.int32()),
+        pa.array(np.maximum.reduceat(freqs[order], starts), pa.int32()),
         pa.array(np.minimum.reduceat(lengths[at[order]], starts), pa.int32()),
     ]
-    return pa.Table.from_arrays(found, schema=_PREFIXES)
+    names = pa.concat_arrays(prefixes).take(pa.array(sorted_places))
+    return pa.Table.from_arrays(found, schema=_PACKED_PREFIXES).add_column(0, "prefix", _coded(code, names))
 
 
 def _added_up(parts: list[pa.Table]) -> pa.Table:
     """Counts of different bookmarks of one block, put together."""
-    sums = pa.concat_tables(parts).group_by(["prefix", "block"]).aggregate([("rows", "sum"), ("max_freq", "max"), ("min_length", "min")])
-    names = ["prefix", "block", "rows_sum", "max_freq_max", "min_length_min"]
-    return sums.select(names).rename_columns(_PREFIXES.names).cast(_PREFIXES).sort_by("prefix")
+    plain = [p.set_column(0, "prefix", p.column(0).cast(pa.string())) for p in parts]
+    sums = pa.concat_tables(plain).group_by(["prefix", "block"]).aggregate([("rows", "sum"), ("max_freq", "max"), ("min_length", "min")])
+    sums = sums.sort_by("prefix").select(["block", "rows_sum", "max_freq_max", "min_length_min", "prefix"])
+    found = pa.Table.from_arrays([_array(c).cast(t) for c, t in zip(sums.columns, _PACKED_PREFIXES.types)], schema=_PACKED_PREFIXES)
+    return found.add_column(0, "prefix", _array(sums.column("prefix")).dictionary_encode())
 
 
 def _whole_bookmarks(chunks: Iterator[pa.Table]) -> Iterator[pa.Table]:

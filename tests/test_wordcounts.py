@@ -34,12 +34,12 @@ def random_rows(n, seed, per_block=5):
 
 
 def unpacked(packed):
-    """Rows by range, as they were packed."""
-    found = defaultdict(list)
+    """Rows by range."""
+    by_range = defaultdict(list)
     for batch in packed:
-        for n, piece in zip(batch.column("range").to_pylist(), batch.column("rows").to_pylist()):
-            found[n] += [tuple(r.values()) for r in pa.ipc.open_stream(piece).read_all().to_pylist()]
-    return found
+        for n in batch.column("range").to_pylist():
+            by_range[n].append(batch)
+    return {n: [tuple(r.values()) for b in wordcounts.unpacked(iter(batches)) for r in b.to_pylist()] for n, batches in by_range.items()}
 
 
 def in_their_ranges(found, cuts, block_at):
