@@ -252,6 +252,9 @@ def _prefixes(chunk: pa.Table) -> pa.Table:
 
 def _added_up(parts: list[pa.Table]) -> pa.Table:
     """Counts of different bookmarks of one block, put together."""
+    parts = [p for p in parts if p.num_rows]
+    if len(parts) == 1:
+        return parts[0]
     plain = [p.set_column(0, "prefix", p.column(0).cast(pa.string())) for p in parts]
     sums = pa.concat_tables(plain).group_by(["prefix", "block"]).aggregate([("rows", "sum"), ("max_freq", "max"), ("min_length", "min")])
     sums = sums.sort_by("prefix").select(["block", "rows_sum", "max_freq_max", "min_length_min", "prefix"])
@@ -279,22 +282,25 @@ def count_prefixes(cuts: Cuts) -> Callable[[Batches], Batches]:
     """
 
     def run(batches: Batches) -> Batches:
-        waiting: pa.Table | None = None
+        waiting: list[pa.Table] = []
         for chunk in _whole_bookmarks(_chunks(batches)):
-            found = _prefixes(chunk)
-            if waiting is not None:
-                block = waiting.column("block")[0]
+            found, last = _prefixes(chunk), chunk.column("block")[-1]
+            if waiting:
+                block = waiting[0].column("block")[0]
                 same = pc.equal(found.column("block"), block)
-                waiting = _added_up([waiting, found.filter(same)])
-                found = found.filter(pc.invert(same))
-                if chunk.column("block")[-1] == block:
+                waiting.append(found.filter(same))
+                # Parts are put together when they have grown to twice the size, so a long block costs no squares.
+                if sum(part.num_rows for part in waiting[1:]) > waiting[0].num_rows:
+                    waiting = [_added_up(waiting)]
+                if last == block:
                     continue
-                yield from _packed(waiting, cuts)
-            same = pc.equal(found.column("block"), chunk.column("block")[-1])
-            waiting = found.filter(same)
+                found = found.filter(pc.invert(same))
+                yield from _packed(_added_up(waiting), cuts)
+            same = pc.equal(found.column("block"), last)
+            waiting = [found.filter(same)]
             yield from _packed(found.filter(pc.invert(same)), cuts)
-        if waiting is not None:
-            yield from _packed(waiting, cuts)
+        if waiting:
+            yield from _packed(_added_up(waiting), cuts)
         pa.default_memory_pool().release_unused()
 
     return run
