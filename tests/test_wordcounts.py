@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.checks import registry
 from linkloom.checks.ingest import new_store
 from linkloom.operators import blockmax, fulltext, wordcounts
 from linkloom.plans import index as index_plan
@@ -147,3 +148,18 @@ def test_lead_is_one_ascii_letter_or_digit(spark):
     rows = spark.createDataFrame([(t,) for t in terms], "term string")
     plain = F.when(F.left("term", F.lit(1)).rlike("^[a-z0-9]$"), F.left("term", F.lit(1))).otherwise("_")
     assert rows.filter(fulltext.lead(F.col("term")) != plain).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["hybrid_search_indexed", "index_version"])
+def test_queries_sample_no_counted_rows(spark, monkeypatch, name):
+    """Words and prefixes were counted once more for each shuffle by range that sampled them."""
+    seen, plain = [], type(spark.range(1)).repartitionByRange
+
+    def watched(rows, *args):
+        seen.append(set(rows.columns))
+        return plain(rows, *args)
+
+    monkeypatch.setattr(blockmax, "MIN_RANGE_TOKENS", 10_000, raising=False)
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", watched)
+    assert not registry.queries()[name](spark, "/root/testdata/sf0.001").isEmpty()
+    assert seen and not any(columns & {"tf", "max_freq"} for columns in seen)
